@@ -53,5 +53,15 @@ def earliest(df: DataFrame, ts: str = "timestamp") -> Column:
     return df.select(F.min(ts)).scalar()
 
 
+def trailing(df: DataFrame, ts: str, as_of, back_hours: int) -> DataFrame:
+    """Rows of the ``back_hours`` up to ``as_of`` (default: the newest row), ends included.
+
+    Bounds are scalar subqueries or literals, so the filter reaches the scan.
+    """
+    end = as_of_or_latest(df, ts, as_of)
+    recent = F.col(ts) >= end - hours(back_hours)
+    return df.filter(recent if as_of is None else recent & (F.col(ts) <= end))
+
+
 def as_of_or_latest(df: DataFrame, ts: str, as_of) -> Column:
     return latest(df, ts) if as_of is None else moment(as_of)

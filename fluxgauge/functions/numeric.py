@@ -38,10 +38,6 @@ def all_of(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def round_half_up(value: Column, digits: int) -> Column:
     """Rounding by ``floor``, the same in every SQL engine also on decimal ties."""
     scale = float(10**digits)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fluxgauge.functions.numeric import any_of
-
 # Protocol names per traffic type. Exact names match case-sensitively; a name
 # that matches none exactly takes the first type (in this order) with a name it contains,
 # ignoring case.
@@ -52,8 +50,8 @@ def map_protocol(name: Column) -> Column:
     rules = [(exact.isin(*names), kind) for kind, names in PROTOCOL_NAMES.items()]
     for table in (PROTOCOL_NAMES, PROTOCOL_KEYWORDS):
         for kind, names in table.items():
-            needles = dict.fromkeys(n.lower() for n in names)
-            rules.append((any_of([lowered.contains(n) for n in needles]), kind))
+            needles = "|".join(dict.fromkeys(n.lower() for n in names))
+            rules.append((lowered.rlike(needles), kind))
     first_condition, first_kind = rules[0]
     chain = F.when(first_condition, first_kind)
     for condition, kind in rules[1:]:

@@ -9,14 +9,13 @@ hour: a single shuffle, right where the number of sites is known to be small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxgauge.functions.clock import floor_hour
 from fluxgauge.functions.numeric import ratio
 from fluxgauge.operators.joins import join_null_safe, join_sized
 from fluxgauge.operators.series import SITE_SERIES, Series
-from fluxgauge.session import materialize
 
 _USED = "utilization_pct"
 
@@ -68,10 +67,17 @@ def value_ranks(
     )
 
 
-def add_cross_site(df: DataFrame, ts: str = "timestamp", spread: bool = True) -> DataFrame:
-    """``site_rank_current_hour``, ``site_relative_to_avg`` and ``cross_site_stddev``."""
+def add_cross_site(
+    df: DataFrame, ts: str = "timestamp", spread: bool = True, others: bool = False
+) -> DataFrame:
+    """``site_rank_current_hour``, ``site_relative_to_avg`` and ``cross_site_stddev``; with
+    ``others`` also ``mean_of_others``, the hour's mean utilisation of all other sites.
+
+    With ``spread``, ``df`` is read three times (twice for two columns only), so hand in a
+    stored table rather than a long plan.
+    """
     if spread:
-        table = materialize(df.withColumn("__hour", floor_hour(F.col(ts))))
+        table = df.withColumn("__hour", floor_hour(F.col(ts)))
         narrow = table.select("__hour", _USED)
         ranked = join_null_safe(table, value_ranks(narrow), ["__hour", _USED], "inner")
         joined = join_sized(ranked, hour_stats(narrow), "__hour")
@@ -80,27 +86,35 @@ def add_cross_site(df: DataFrame, ts: str = "timestamp", spread: bool = True) ->
         joined = df.withColumn("__hour", floor_hour(F.col(ts))).withColumns(
             {
                 "site_rank_current_hour": F.rank().over(hour.orderBy(F.desc_nulls_last(_USED))),
+                "__sum": F.sum(_USED).over(hour),
+                "__count": F.count(_USED).over(hour),
                 "__mean": F.avg(_USED).over(hour),
                 "__std": F.stddev_samp(_USED).over(hour),
             }
         )
-    return joined.withColumns(
-        {
-            "site_relative_to_avg": ratio(F.col(_USED), F.col("__mean")),
-            "cross_site_stddev": F.col("__std"),
-        }
-    ).drop("__hour", "__sum", "__count", "__mean", "__std")
+    signals = {
+        "site_relative_to_avg": ratio(F.col(_USED), F.col("__mean")),
+        "cross_site_stddev": F.col("__std"),
+    }
+    if others:
+        signals["mean_of_others"] = _mean_of_others()
+    return joined.withColumns(signals).drop("__hour", *_STATS)
+
+
+_STATS = ("__sum", "__count", "__mean", "__std")
+
+
+def _mean_of_others() -> Column:
+    own = F.coalesce(F.col(_USED), F.lit(0.0))
+    count = F.col("__count") - F.when(F.col(_USED).isNull(), 0).otherwise(1)
+    return ratio(F.col("__sum") - own, count)
 
 
 def add_mean_of_others(df: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """``mean_of_others``: the hour's mean utilisation of all other sites."""
+    """``mean_of_others`` alone."""
     table = df.withColumn("__hour", floor_hour(F.col(ts)))
-    joined = join_sized(table, hour_stats(table), "__hour")
-    own = F.coalesce(F.col(_USED), F.lit(0.0))
-    others = F.col("__count") - F.when(F.col(_USED).isNull(), 0).otherwise(1)
-    return joined.withColumn("mean_of_others", ratio(F.col("__sum") - own, others)).drop(
-        "__hour", "__sum", "__count", "__mean", "__std"
-    )
+    joined = join_sized(table, hour_stats(table.select("__hour", _USED)), "__hour")
+    return joined.withColumn("mean_of_others", _mean_of_others()).drop("__hour", *_STATS)
 
 
 def add_correlation(df: DataFrame, series: Series = SITE_SERIES, rows: int = 24) -> DataFrame:

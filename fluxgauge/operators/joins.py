@@ -8,27 +8,19 @@ from pyspark.sql import functions as F
 from fluxgauge.functions.clock import epoch_hours, hours
 from fluxgauge.functions.numeric import all_of, flag
 from fluxgauge.schemas import DEFAULT_CAPACITY, holiday_dimension, site_dimension
-from fluxgauge.session import BROADCAST_ROWS, materialize
+from fluxgauge.session import materialize
 
 
-def join_sized(
-    big: DataFrame,
-    small: DataFrame,
-    on,
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Equi-join that broadcasts ``small`` only after counting it.
+def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Equi-join with a table whose size is known before ``big`` is planned.
 
-    ``small`` (an aggregate, as a rule) is computed once into the checkpoint folder and
-    counted up to the bound. Above the bound the join is a shuffled one, where adaptive
-    execution splits skewed keys. Keys compare NULL-safely, so no row of ``big`` is lost.
+    ``small`` (an aggregate, as a rule) is stored first. The optimiser then broadcasts it if
+    its stored size is below ``spark.sql.autoBroadcastJoinThreshold``, without a shuffle of
+    ``big``; otherwise the join is shuffled and adaptive execution splits skewed keys. Keys
+    compare NULL-safely, so no row of ``big`` is lost.
     """
     names = [on] if isinstance(on, str) else list(on)
-    small = materialize(small)
-    if small.limit(max_rows + 1).count() <= max_rows:
-        small = F.broadcast(small)
-    return join_null_safe(big, small, names, how)
+    return join_null_safe(big, materialize(small), names, how)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
@@ -53,7 +45,7 @@ def with_capacity(
 ) -> DataFrame:
     """Adds ``capacity_gbps``; sites absent from the dimension get ``default``.
 
-    The built-in dimension has five rows and is broadcast; one handed in is counted first.
+    The built-in dimension has five rows and is broadcast; one handed in is sized first.
     """
     own = sites is None
     dim = (site_dimension(df.sparkSession) if own else sites).select("site", "capacity_gbps")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxgauge.functions.clock import as_of_or_latest, earliest, floor_to, hours, latest
+from fluxgauge.functions.clock import earliest, floor_to, hours, latest, trailing
 from fluxgauge.functions.numeric import nan_to_null
 from fluxgauge.operators.catalogue import catalogue
 from fluxgauge.operators.kpis import HIGH_UTILIZATION
@@ -89,19 +89,14 @@ def anomaly_report(
     """Flagged rows of the last ``hours_back`` (1..720) hours, newest first."""
     if not 1 <= hours_back <= 720:
         raise ValueError("hours_back must be between 1 and 720")
-    since = as_of_or_latest(df, ts, as_of) - hours(hours_back)
     return (
-        df.filter((F.col(ts) >= since) & F.col("is_anomaly"))
+        trailing(df, ts, as_of, hours_back)
+        .filter("is_anomaly")
         .select(ts, "site", "total_gbps", "utilization_pct", "anomaly_type")
         .orderBy(F.desc(ts))
     )
 
 
-def since(df: DataFrame, ts: str, as_of, back_hours: int) -> DataFrame:
-    """Rows not older than ``back_hours`` before ``as_of`` (default: the newest row)."""
-    return df.filter(F.col(ts) >= as_of_or_latest(df, ts, as_of) - hours(back_hours))
-
-
 def anomaly_count(df: DataFrame, hours_back: int = 24, as_of=None) -> DataFrame:
     """Number of rows of ``anomaly_report``."""
     report = anomaly_report(df, hours_back, as_of)
@@ -196,7 +191,7 @@ def feature_group_sizes(spark) -> DataFrame:
 
 def anomaly_timeline(hourly: DataFrame, days: int = 30, as_of=None, ts: str = "timestamp") -> DataFrame:
     """Anomalies per day and type over the trailing days."""
-    recent = since(hourly, ts, as_of, 24 * days).filter("is_anomaly")
+    recent = trailing(hourly, ts, as_of, 24 * days).filter("is_anomaly")
     return recent.groupBy(F.to_date(ts).alias("date"), "anomaly_type").agg(
         F.count(F.lit(1)).alias("anomalies")
     )

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgauge.functions.clock import floor_hour
 from fluxgauge.functions.protocol import map_protocol
 from fluxgauge.operators.joins import with_capacity
 from fluxgauge.operators.spine import densify
 from fluxgauge.plans.features import HOURLY_FILL
 from fluxgauge.schemas import HOURLY, SITE_CAPACITY, TRAFFIC_TYPES
-from fluxgauge.session import prepare
+from fluxgauge.session import materialize, prepare
 
 PROTOCOL_SAMPLES = (
     " https ", "HTTP", "HTTP_CONNECT", "TLS_HTTP", "BitTorrent", "TeamSpeak", "WebRTC_x",
@@ -39,74 +38,80 @@ def _protocol() -> Column:
 
 def hourly_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``HOURLY``: events per site and hour, one aggregation, hours without events absent."""
-    rows = events(spark, sf_dir).select(
-        (F.col("user_id") % 5).alias("s"),
-        floor_hour(F.col("ts")).alias("timestamp"),
-        "value",
-        "user_id",
-        _k().alias("k"),
-        (F.col("event_type") == "error").alias("failed"),
-        map_protocol(_protocol()).alias("kind"),
-        (F.col("value") * 1000 + _k() * 10).alias("bytes"),
+    rows = (
+        events(spark, sf_dir)
+        .withColumns({"k": _k(), "kind": map_protocol(_protocol())})
+        .selectExpr(
+            "user_id % 5 AS s",
+            "CAST(date_trunc('hour', ts) AS timestamp_ntz) AS timestamp",
+            "user_id",
+            "value",
+            "k",
+            "kind",
+            "event_type = 'error' AS failed",
+            "value * 1000 + k * 10 AS bytes",
+        )
     )
-    peak = F.max("value")
     shares = [
-        F.try_divide(F.sum(F.when(F.col("kind") == t, F.col("bytes")).otherwise(0.0)), F.sum("bytes")).alias(t)
+        f"try_divide(sum(CASE WHEN kind = '{t}' THEN bytes ELSE 0.0D END), sum(bytes)) AS {t}"
         for t in TRAFFIC_TYPES
     ]
-    grouped = rows.groupBy("s", "timestamp").agg(
-        F.avg("value").alias("total_gbps"),
-        F.avg("k").alias("latency_ms"),
-        F.coalesce(F.stddev_samp("k"), F.lit(0.0)).alias("jitter_ms"),
-        F.avg(F.col("failed").cast("double")).alias("packet_loss_pct"),
-        F.count_distinct("user_id").alias("active_sessions"),
-        F.count(F.lit(1)).alias("new_flows_per_sec"),
-        F.count_if("failed").alias("link_errors"),
-        (peak > 300).alias("is_anomaly"),
-        *shares,
+    measures = [
+        "avg(value) AS total_gbps",
+        "avg(k) AS latency_ms",
+        "coalesce(stddev_samp(k), 0.0D) AS jitter_ms",
+        "avg(CASE WHEN failed THEN 1.0D ELSE 0.0D END) AS packet_loss_pct",
+        "count(DISTINCT user_id) AS active_sessions",
+        "count(*) AS new_flows_per_sec",
+        "count_if(failed) AS link_errors",
+        "max(value) > 300 AS is_anomaly",
+    ]
+    grouped = rows.groupBy("s", "timestamp").agg(*[F.expr(m) for m in (*measures, *shares)])
+    named = grouped.withColumns(
+        {"site": _pick(SITES, F.col("s")), "capacity_gbps": _pick(SITE_CAPACITY.values(), F.col("s"))}
     )
-    capacity = _pick(SITE_CAPACITY.values(), F.col("s"))
     derived = {
-        "site": _pick(SITES, F.col("s")),
-        "capacity_gbps": capacity,
-        "utilization_pct": F.least(F.lit(100.0), F.col("total_gbps") * 100 / capacity),
-        "retransmit_rate": F.lit(0.0),
-        "bgp_peers_up": F.when(F.col("is_anomaly"), 6).otherwise(8),
-        "anomaly_type": F.when(F.col("is_anomaly"), "ddos"),
-        "data_source": F.lit("events"),
-        **{f"{t}_gbps": F.col("total_gbps") * F.col(t) for t in TRAFFIC_TYPES},
+        "utilization_pct": "least(100.0D, total_gbps * 100 / capacity_gbps)",
+        "retransmit_rate": "0.0D",
+        "bgp_peers_up": "CASE WHEN is_anomaly THEN 6 ELSE 8 END",
+        "anomaly_type": "CASE WHEN is_anomaly THEN 'ddos' END",
+        "data_source": "'events'",
+        **{f"{t}_gbps": f"total_gbps * {t}" for t in TRAFFIC_TYPES},
     }
-    table = grouped.withColumns(derived)
-    return table.select(*[F.col(f.name).cast(f.dataType) for f in HOURLY.fields])
+    return named.selectExpr(
+        *[
+            f"CAST({derived.get(f.name, f.name)} AS {f.dataType.simpleString()}) AS {f.name}"
+            for f in HOURLY.fields
+        ]
+    )
 
 
 def grid_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``hourly_view`` without gaps."""
-    return with_capacity(densify(hourly_view(spark, sf_dir), fill=HOURLY_FILL)).select(
-        *HOURLY.fieldNames()
-    )
+    """``hourly_view`` without gaps. The hourly table is stored first, as its range and sites
+    are read as well as its rows, and the events should be scanned only once."""
+    hourly = materialize(hourly_view(spark, sf_dir))
+    return with_capacity(densify(hourly, fill=HOURLY_FILL)).select(*HOURLY.fieldNames())
 
 
 def node_rows(rows: DataFrame) -> DataFrame:
     """``NODE`` plus ``event_id``; works on a stream of events too."""
-    s, k, value = F.col("user_id") % 5, _k(), F.col("value")
-    failed = F.col("event_type") == "error"
-    return rows.select(
-        F.col("ts").alias("timestamp"),
+    s = F.col("user_id") % 5
+    return rows.withColumns({"k": _k(), "region": _pick(REGIONS, s)}).selectExpr(
+        "ts AS timestamp",
         "event_id",
-        F.concat(F.lit("node-"), s.cast("string")).alias("node_id"),
-        _pick(REGIONS, s).alias("region"),
-        value.alias("throughput_gbps"),
-        k.alias("latency_ms"),
-        F.when(failed, 0.002).otherwise(0.0005).alias("packet_loss_pct"),
-        (value / 100).alias("active_flows_m"),
-        F.least(F.lit(100.0), value).alias("utilization_pct"),
-        (value * 0.6).alias("bytes_in_gbps"),
-        (value * 0.4).alias("bytes_out_gbps"),
-        (k.cast("int") % 10).alias("bgp_updates"),
-        (k.cast("int") * 10).alias("dns_qps"),
-        (value * k / 100).alias("cdn_requests_k"),
-        (k / 10).alias("jitter_ms"),
+        "concat('node-', user_id % 5) AS node_id",
+        "region",
+        "value AS throughput_gbps",
+        "k AS latency_ms",
+        "CASE WHEN event_type = 'error' THEN 0.002D ELSE 0.0005D END AS packet_loss_pct",
+        "value / 100 AS active_flows_m",
+        "least(100.0D, value) AS utilization_pct",
+        "value * 0.6D AS bytes_in_gbps",
+        "value * 0.4D AS bytes_out_gbps",
+        "CAST(k AS int) % 10 AS bgp_updates",
+        "CAST(k AS int) * 10 AS dns_qps",
+        "value * k / 100 AS cdn_requests_k",
+        "k / 10 AS jitter_ms",
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fluxgauge.functions.clock import hours
 from fluxgauge.operators.aggregate import hod_profile, hourly_table, normalize_profile, type_ratios
 from fluxgauge.operators.anomaly import add_anomaly, classify_anomaly, ensemble
-from fluxgauge.operators.cross_site import add_correlation, add_cross_site, add_mean_of_others
+from fluxgauge.operators.cross_site import add_correlation, add_cross_site
 from fluxgauge.operators.exog import add_exog
 from fluxgauge.operators.flows import DAY_FIRST_FORMATS, clean_flows
 from fluxgauge.operators.joins import event_flags
@@ -80,9 +80,9 @@ def features(
 ) -> DataFrame:
     """All hourly features: calendar, lags, rolling, KPIs, cross-site, anomalies.
 
-    ``hourly`` has one row per (site, hour); with the default ``TimeChunks`` it must also be
-    gap-free (``densify``), with ``RowChunks`` or ``WholeSeries`` it need not be. Cross-site
-    signals come first, on the narrow input; all windows then share one exchange and sort.
+    ``hourly`` has one row per (site, hour). Gaps are allowed by default; for a gap-free table
+    (``densify``) ``TimeChunks`` saves the counting pass. Cross-site signals come first, on
+    the narrow input; all windows then share one exchange and sort.
     ``min_rows=False`` drops the history requirements.
     """
     needs = {"week": 24, "day": 6, "high": 3} if min_rows else {"week": 1, "day": 1, "high": 1}
@@ -95,8 +95,8 @@ def features(
         df = add_anomaly(df, s, needs["day"], needs["high"], floor)
         return classify_anomaly(df, s)
 
-    base = add_mean_of_others(add_cross_site(hourly, series.ts, spread), series.ts)
-    built = (chunks or TimeChunks()).run(base, series, windows).drop("mean_of_others")
+    base = add_cross_site(materialize(hourly), series.ts, spread, others=True)
+    built = (chunks or RowChunks(bucket_seconds=86_400)).run(base, series, windows).drop("mean_of_others")
     return ensemble(add_temporal(built, series.ts, dow, with_holiday_flag=True))
 
 
@@ -159,8 +159,9 @@ def features_of_day(hourly: DataFrame, day, **options) -> DataFrame:
     missing from it are added, and kept only where they were read.
     """
     table = materialize(hourly)
-    known = table.select("site", "timestamp").withColumn("__read", F.lit(True))
-    dense = densify(table.drop("date"), fill=HOURLY_FILL).join(known, ["site", "timestamp"], "left")
+    known = table.drop("date").withColumn("__read", F.lit(True))
+    dense = densify(known, fill=HOURLY_FILL)
+    options.setdefault("chunks", TimeChunks())
     built = features(dense, **options).filter("__read").drop("__read")
     start = F.lit(str(day)).cast("date").cast("timestamp_ntz")
     return (

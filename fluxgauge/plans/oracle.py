@@ -344,9 +344,9 @@ def _flags(as_of: str, days: int, back: int) -> str:
         _with(
             *TICKS,
             f"""st AS (SELECT node_id, avg(throughput_gbps) AS mu, stddev_samp(throughput_gbps) AS sigma FROM nt
-  WHERE timestamp >= {as_of} - INTERVAL {days} DAY GROUP BY node_id),
+  WHERE timestamp >= {as_of} - INTERVAL {days} DAY AND timestamp <= {as_of} GROUP BY node_id),
 z AS (SELECT timestamp, nt.node_id, throughput_gbps, mu, sigma, abs(throughput_gbps - mu) / (sigma + 1e-9) AS z_score
-  FROM nt JOIN st ON st.node_id = nt.node_id WHERE timestamp >= {as_of} - INTERVAL {back} HOUR)""",
+  FROM nt JOIN st ON st.node_id = nt.node_id WHERE timestamp >= {as_of} - INTERVAL {back} HOUR AND timestamp <= {as_of})""",
         )
         + f"""SELECT timestamp, node_id, {_r('throughput_gbps mu sigma z_score')},
   CASE WHEN z_score > 3.5 THEN 'HIGH' WHEN z_score > 2.5 THEN 'MEDIUM' ELSE 'NORMAL' END AS anomaly_severity FROM z"""
@@ -539,7 +539,7 @@ nx AS (SELECT nw.*, kurtosis_1h, skewness_1h, throughput_gbps - lag_1h AS diff_1
     )
     + f"""SELECT timestamp, event_id, node_id, region,
   {_int('hour_of_day day_of_week is_weekend is_peak_hour month quarter week_of_year is_holiday bgp_updates geo_event_flag maintenance_flag')},
-  {_r(_NODE_DOUBLES, 6)} FROM nx"""
+  {_r(_NODE_DOUBLES, kurtosis_1h=6, skewness_1h=6, periodogram_power=6)} FROM nx"""
 )
 ORACLE["announced_event_flags"] = (
     _with(
@@ -689,7 +689,7 @@ ORACLE["training_window"] = (
 ORACLE["forecast_profile"] = _with(*DENSE, _forecast(_ORIGIN, 168, "how")) + _FC
 ORACLE["forecast_naive"] = _with(*DENSE, _forecast(_ORIGIN, 72, "naive_24")) + _FC
 ORACLE["forecast_blend"] = (
-    _with(*DENSE, _forecast(_ORIGIN, 168, "list_avg(list_filter([how, naive_24, naive_168], x -> x IS NOT NULL))"))
+    _with(*DENSE, _forecast(_ORIGIN, 168, "list_avg(list_filter([how, naive_24, naive_168], lambda x: x IS NOT NULL))"))
     + _FC
 )
 
@@ -703,7 +703,7 @@ def _backtest(ahead: int) -> str:
         for m, p in (("naive_24", 1), ("naive_168", 1), ("hour_of_week", 168))
     )
     return f"""bp AS (SELECT *, lag(total_gbps, {-(-ahead // 24) * 24}) {W} AS naive_24, lag(total_gbps, {week}) {W} AS naive_168,
-  list_avg(list_filter([{lags}], x -> x IS NOT NULL)) AS hour_of_week FROM grid),
+  list_avg(list_filter([{lags}], lambda x: x IS NOT NULL)) AS hour_of_week FROM grid),
 bu AS (SELECT * FROM bp WHERE total_gbps IS NOT NULL AND naive_24 IS NOT NULL AND naive_168 IS NOT NULL AND hour_of_week IS NOT NULL),
 bt AS (SELECT *, sqrt(rss / n_obs) AS rmse, n_obs * ln(rss / n_obs) + 2 * p AS aic, n_obs * ln(rss / n_obs) + p * ln(n_obs) AS bic
   FROM ({per}))"""
@@ -769,11 +769,11 @@ _TICK_SQL = f"""(SELECT *, throughput_gbps - lag_1h AS diff_1, throughput_gbps -
   min(throughput_gbps) {_node(24)} AS rolling_min_24h, {_EWM} AS ewm_30pct, {_SPECTRAL} FROM nt))"""
 ORACLE["features_foreach_batch"] = (
     _with(*TICKS)
-    + f"""SELECT node_id, event_id, {_r('lag_1h lag_168h diff_24 rolling_mean_6h rolling_max_24h ewm_30pct top_talker_share periodogram_power', 6)}
+    + f"""SELECT node_id, event_id, {_r('lag_1h lag_168h diff_24 rolling_mean_6h rolling_max_24h ewm_30pct top_talker_share periodogram_power', periodogram_power=6)}
 FROM {_TICK_SQL}"""
 )
 ORACLE["features_stream"] = (
     _with(*TICKS)
-    + f"""SELECT node_id, timestamp, {_r('throughput_gbps lag_1h lag_2h lag_24h lag_48h lag_168h diff_1 diff_24 rolling_mean_6h rolling_max_24h rolling_min_24h ewm_30pct', 6)}
+    + f"""SELECT node_id, timestamp, {_r('throughput_gbps lag_1h lag_2h lag_24h lag_48h lag_168h diff_1 diff_24 rolling_mean_6h rolling_max_24h rolling_min_24h ewm_30pct')}
 FROM {_TICK_SQL} WHERE timestamp < date_trunc('milliseconds', {_NOW} - INTERVAL 10 MINUTE)"""
 )

@@ -167,8 +167,7 @@ def derived_kpis(spark, sf):
 
 @query
 def cross_site_signals(spark, sf):
-    rows = cross_site.add_cross_site(_grid(spark, sf, "utilization_pct"))
-    return exact(rows)
+    return exact(cross_site.add_cross_site(materialize(_grid(spark, sf, "utilization_pct"))))
 
 
 @query
@@ -238,7 +237,7 @@ def baseline_stats(spark, sf):
 @query
 def hourly_features(spark, sf):
     """All hourly features in one plan."""
-    rows = features(materialize(b.grid_view(spark, sf)))
+    rows = features(b.grid_view(spark, sf), chunks=TimeChunks())
     wanted = [
         *TEMPORAL, *[f"lag_{n}h" for n in (1, 24, 168)], "roll_mean_3h", "roll_std_24h",
         "roll_mean_168h", *KPIS, "site_rank_current_hour", "site_relative_to_avg",
@@ -377,7 +376,7 @@ def exog_norm(spark, sf):
 @query
 def node_feature_table(spark, sf):
     rows = node_features(b.node_view(spark, sf), TICKS, peaks=False)
-    return exact(rows, 6)
+    return exact(rows, kurtosis_1h=6, skewness_1h=6, periodogram_power=6)
 
 
 def _announced(spark, sf):
@@ -454,8 +453,8 @@ PROFILED = ["lag_24h", "roll_mean_24h", "roll_std_24h", "zscore_24h", "congestio
 
 @query
 def feature_profile(spark, sf):
-    rows = features(materialize(b.grid_view(spark, sf))).select("site", "timestamp", *PROFILED)
-    return exact(reports.feature_profile(rows))
+    rows = features(b.grid_view(spark, sf), chunks=TimeChunks())
+    return exact(reports.feature_profile(rows.select("site", "timestamp", *PROFILED)))
 
 
 @query
@@ -576,11 +575,11 @@ def features_foreach_batch(spark, sf):
     """Three appends to a source folder, each followed by a run of the stream."""
     path = scratch_path(spark, "ticks")
     ticks = _ticks(spark, sf, "bytes_in_gbps", "bytes_out_gbps")
-    source = spark.readStream.schema(ticks.schema).parquet(f"{path}/in")
     cuts = ["2023-01-01", "2024-01-11", "2024-01-21", "2025-01-01"]
     for low, high in zip(cuts, cuts[1:]):
         at = F.col("timestamp")
         ticks.filter((at >= moment(low)) & (at < moment(high))).write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema(ticks.schema).parquet(f"{path}/in")
         jobs.features_foreach_batch(
             source, f"{path}/out", f"{path}/checkpoint", TICKS, trigger=None
         ).awaitTermination()
@@ -589,14 +588,13 @@ def features_foreach_batch(spark, sf):
         rows.select(
             "node_id", "event_id", "lag_1h", "lag_168h", "diff_24", "rolling_mean_6h",
             "rolling_max_24h", "ewm_30pct", "top_talker_share", "periodogram_power",
-        ), 6
+        ), periodogram_power=6,
     )
 
 
 @query
 def features_stream(spark, sf):
-    rows = _drained(spark, stateful_features(b.node_stream(spark, sf)))
-    return exact(rows, 6)
+    return exact(_drained(spark, stateful_features(b.node_stream(spark, sf))))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A table of at most this many (narrow) rows may be broadcast.
-BROADCAST_ROWS = 500_000
-
 _local_dirs: dict[str, str] = {}
 
 
@@ -25,6 +22,7 @@ def build_session(app_name: str = "fluxgauge", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf.pop("settings", {}),
         **conf,
     }
@@ -61,6 +59,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the reliable checkpoint folder, for plans that read it again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back, for plans that use it repeatedly.
+
+    Cuts the lineage like a checkpoint, but keeps column pruning and filter pushdown, and its
+    true size is known to the optimiser, which broadcasts it only below its own threshold.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -69,7 +69,7 @@ def main() -> None:
     sf_dir = f"{DATA}/sf{sf}"
     spark = build_session(
         "compare", "local[8]",
-        settings={"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"},
+        settings={"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
