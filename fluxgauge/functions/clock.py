@@ -25,8 +25,8 @@ def epoch_hours(ts: Column) -> Column:
     return F.timestamp_diff("HOUR", _epoch(), ts)
 
 
-def epoch_seconds(ts: Column) -> Column:
-    return F.timestamp_diff("SECOND", _epoch(), ts)
+def epoch_micros(ts: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", _epoch(), ts)
 
 
 def hours(count) -> Column:

@@ -58,10 +58,11 @@ def with_holidays(
     df: DataFrame, ts: str = "timestamp", holidays: DataFrame | None = None
 ) -> DataFrame:
     """Adds ``is_holiday`` by joining the holiday dimension (column ``holiday``, a date)."""
-    dim = holiday_dimension(df.sparkSession) if holidays is None else holidays
-    dim = dim.select(F.col("holiday").alias("__day")).distinct().withColumn("is_holiday", F.lit(1))
+    own = holidays is None
+    dim = holiday_dimension(df.sparkSession) if own else holidays.select("holiday").distinct()
+    dim = dim.select(F.col("holiday").alias("__day"), F.lit(1).alias("is_holiday"))
     dated = df.withColumn("__day", F.to_date(ts))
-    if holidays is None:
+    if own:
         joined = dated.join(F.broadcast(dim), "__day", "left")
     else:
         joined = join_sized(dated, dim, "__day", "left")

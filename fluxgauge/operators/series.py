@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from fluxgauge.functions.clock import epoch_hours, epoch_seconds
+from fluxgauge.functions.clock import epoch_hours, epoch_micros
 from fluxgauge.operators.joins import join_null_safe, join_sized
+from fluxgauge.session import materialize
 
 #: The longest look-back of any feature: one week of hours.
 WEEK_ROWS = 168
@@ -96,8 +97,10 @@ class RowChunks:
 
     One counting pass gives rows per (key, time bucket); running totals of these counts
     place each bucket in a chunk and tell which later chunks start less than ``lookback``
-    rows after it. The bucket table has one row per key and bucket, however many rows a
-    bucket holds, and is broadcast only if small. Rows with equal time stay together.
+    rows after it. A bucket with more than ``rows`` rows is cut a thousandfold finer, again
+    if need be, so only rows of one key and one instant must stay together. The bucket table
+    has one row per key and bucket, however many rows a bucket holds, and is broadcast only
+    if small.
     """
 
     rows: int = 50_000
@@ -108,19 +111,34 @@ class RowChunks:
         if self.lookback > self.rows:
             raise ValueError("rows must cover the look-back")
         keys = list(series.keys)
-        bucketed = df.withColumn(
-            "__bucket", F.floor(epoch_seconds(F.col(series.ts)) / self.bucket_seconds)
-        )
-        placed = join_sized(bucketed, self._targets(bucketed, keys), [*keys, "__bucket"])
+        bucketed, sizes = self._buckets(df, keys, epoch_micros(F.col(series.ts)))
+        placed = join_sized(bucketed, self._targets(sizes, keys), [*keys, "__bucket"])
         return _build_chunks(placed, F.col("__targets"), series, build, ("__bucket", "__targets"))
 
-    def _targets(self, bucketed: DataFrame, keys: list[str]) -> DataFrame:
+    def _buckets(self, df: DataFrame, keys: list[str], at: Column) -> tuple[DataFrame, DataFrame]:
+        """Rows with the first instant of their bucket, and the rows per bucket."""
+        size = F.count(F.lit(1)).alias("__n")
+        width = self.bucket_seconds * 1_000_000
+        df = df.withColumn("__bucket", at - F.pmod(at, F.lit(width)))
+        sizes = materialize(df.groupBy(*keys, "__bucket").agg(size))
+        crowded = F.col("__n") > self.rows
+        while width > 1 and sizes.filter(crowded).limit(1).count():
+            width = max(width // 1000, 1)
+            hot = sizes.filter(crowded).select(*keys, "__bucket", F.lit(True).alias("__hot"))
+            marked = join_sized(df, hot, [*keys, "__bucket"], "left").withColumn(
+                "__bucket",
+                F.when(F.col("__hot"), at - F.pmod(at, F.lit(width))).otherwise(F.col("__bucket")),
+            )
+            finer = marked.filter("__hot").groupBy(*keys, "__bucket").agg(size)
+            sizes = materialize(sizes.filter(~crowded).unionByName(finer))
+            df = marked.drop("__hot")
+        return df, sizes
+
+    def _targets(self, sizes: DataFrame, keys: list[str]) -> DataFrame:
         in_order = Window.partitionBy(*keys).orderBy("__bucket")
         earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
         sized = (
-            bucketed.groupBy(*keys, "__bucket")
-            .agg(F.count(F.lit(1)).alias("__n"))
-            .withColumn("__from", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+            sizes.withColumn("__from", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
             .withColumn("__to", F.col("__from") + F.col("__n"))
             .withColumn(_HOME, F.floor(F.col("__from") / self.rows))
         )

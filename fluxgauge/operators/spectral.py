@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from fluxgauge.functions.numeric import TINY
 from fluxgauge.functions.spectral import peak_bins
+from fluxgauge.operators.joins import join_null_safe
 from fluxgauge.operators.series import Series
 
 PEAK_ROWS = (24, 168)
@@ -29,6 +30,15 @@ def add_spectral(df: DataFrame, series: Series) -> DataFrame:
     )
 
 
+def join_spectral(df: DataFrame, spectral: DataFrame, series: Series) -> DataFrame:
+    """Spectral columns computed apart, joined by key and time.
+
+    Same rows as ``add_spectral`` in the feature pass, for one more shuffle of both sides; the
+    series must have one row per key and time.
+    """
+    return join_null_safe(df, spectral, [*series.keys, series.ts, *series.ties], "inner")
+
+
 def add_fft_peaks(df: DataFrame, series: Series, rows: tuple[int, ...] = PEAK_ROWS) -> DataFrame:
     """``fft_peak_{n}`` for each n.
 

@@ -6,12 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxgauge.functions.spectral import peak_bins, register_functions
+from fluxgauge.functions.spectral import dominant_bin, peak_bins, register_functions
 from fluxgauge.operators.anomaly import add_anomaly
 from fluxgauge.operators.lags import add_lags
 from fluxgauge.operators.rolling import add_ewm, add_rolling
 from fluxgauge.operators.series import RowChunks, Series, TimeChunks, WholeSeries, dedupe_series
-from fluxgauge.operators.spectral import add_fft_peaks, add_spectral
+from fluxgauge.operators.spectral import add_fft_peaks, add_spectral, join_spectral
 from fluxgauge.operators.spine import densify
 
 START = dt.datetime(2024, 1, 1)
@@ -151,3 +151,37 @@ def test_spectral_proxies(spark):
     assert row.periodogram_power == pytest.approx(day.mean() ** 2)
     assert row.periodogram_power_168 == pytest.approx(np.mean(values) ** 2)
     assert row.spectral_entropy == pytest.approx(day.std(ddof=1) / np.mean(values))
+
+
+def test_row_chunks_cut_crowded_buckets(spark):
+    """A burst of 2,000 rows within two seconds of one hour, and 300 at one instant."""
+    calm = waves(400, step=3)
+    burst = [("A", START + dt.timedelta(hours=500, milliseconds=i), float(i % 41)) for i in range(2000)]
+    instant = [("A", START + dt.timedelta(hours=700), float(i)) for i in range(300)]
+    df = table(spark, calm + burst + instant).withColumn("tie", F.col("total_gbps"))
+    series = Series(ties=("tie",))
+    chunks = RowChunks(rows=250, bucket_seconds=3600)
+    largest = []
+
+    def spy(d, s):
+        largest.append(d.groupBy(*s.keys).count().agg(F.max("count")).first()[0])
+        return build(d, s)
+
+    assert same(WholeSeries().run(df, series, build), chunks.run(df, series, spy))
+    assert largest[0] <= 250 + 300 + 2 * 168
+
+
+def test_joined_spectral_equals_same_pass(spark):
+    df = table(spark, waves(60))
+    apart = add_spectral(df, Series()).drop("total_gbps")
+    assert same(join_spectral(df, apart, Series()), add_spectral(df, Series()))
+
+
+def test_native_dominant_bin_equals_fft(spark):
+    df = table(spark, waves(80) + [("B", START + dt.timedelta(hours=i), 5.5) for i in range(30)])
+    w = Series().frame(24)
+    native = df.withColumn("runs", F.collect_list("total_gbps").over(w)).select(
+        "site", "timestamp", dominant_bin(F.col("runs"), 24).alias("p")
+    )
+    plain = add_fft_peaks(df, Series(), (24,)).select("site", "timestamp", F.col("fft_peak_24").alias("p"))
+    assert native.exceptAll(plain).count() == 0 and native.count() == 110
