@@ -119,8 +119,15 @@ def add_mean_of_others(df: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 def add_correlation(df: DataFrame, series: Series = SITE_SERIES, rows: int = 24) -> DataFrame:
     """``cross_site_correlation_index``: rolling Pearson correlation of a site's utilisation
-    with the mean of the others. Needs ``mean_of_others``."""
+    with the mean of the others; NULL where either is constant. Needs ``mean_of_others``.
+
+    Written out from its parts, as ``corr`` itself raises on a constant frame in ANSI mode.
+    """
+    frame = series.frame(rows)
+    mine = F.when(F.col("mean_of_others").isNotNull(), F.col(_USED))
+    other = F.when(F.col(_USED).isNotNull(), F.col("mean_of_others"))
+    spread = F.stddev_pop(mine).over(frame) * F.stddev_pop(other).over(frame)
     return df.withColumn(
         "cross_site_correlation_index",
-        F.corr(_USED, "mean_of_others").over(series.frame(rows)),
+        ratio(F.covar_pop(mine, other).over(frame), spread),
     )

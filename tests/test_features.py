@@ -162,6 +162,8 @@ def test_mean_of_others_and_correlation(spark):
     rows = [("A", t, float(i), float(2 * i + 1)) for i, t in enumerate(times)]
     df = spark.createDataFrame(rows, "site string, timestamp timestamp_ntz, utilization_pct double, mean_of_others double")
     assert at_last(add_correlation(df), "cross_site_correlation_index")[0] == near(1.0)
+    flat = df.withColumn("utilization_pct", F.lit(5.0))
+    assert at_last(add_correlation(flat), "cross_site_correlation_index")[0] is None
 
 
 def test_time_lag_crosses_gaps(spark, hours):
