@@ -95,7 +95,8 @@ class TimeChunks:
 class RowChunks:
     """Split any series into runs of about ``rows`` rows, exact also with gaps.
 
-    One counting pass gives rows per (key, time bucket); running totals of these counts
+    One counting pass gives rows per (key, time bucket). If no key has more than ``rows``
+    rows, the windows run per key as they are. Otherwise running totals of these counts
     place each bucket in a chunk and tell which later chunks start less than ``lookback``
     rows after it. A bucket with more than ``rows`` rows is cut a thousandfold finer, again
     if need be, so only rows of one key and one instant must stay together. The bucket table
@@ -111,16 +112,25 @@ class RowChunks:
         if self.lookback > self.rows:
             raise ValueError("rows must cover the look-back")
         keys = list(series.keys)
-        bucketed, sizes = self._buckets(df, keys, epoch_micros(F.col(series.ts)))
+        at = epoch_micros(F.col(series.ts))
+        bucketed = df.withColumn("__bucket", at - F.pmod(at, F.lit(self._width)))
+        sizes = materialize(bucketed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n")))
+        per_key = sizes.groupBy(*keys).agg(F.sum("__n").alias("__rows"))
+        if not per_key.filter(F.col("__rows") > self.rows).limit(1).count():
+            return build(df, series)
+        bucketed, sizes = self._split_crowded(bucketed, sizes, keys, at)
         placed = join_sized(bucketed, self._targets(sizes, keys), [*keys, "__bucket"])
         return _build_chunks(placed, F.col("__targets"), series, build, ("__bucket", "__targets"))
 
-    def _buckets(self, df: DataFrame, keys: list[str], at: Column) -> tuple[DataFrame, DataFrame]:
-        """Rows with the first instant of their bucket, and the rows per bucket."""
-        size = F.count(F.lit(1)).alias("__n")
-        width = self.bucket_seconds * 1_000_000
-        df = df.withColumn("__bucket", at - F.pmod(at, F.lit(width)))
-        sizes = materialize(df.groupBy(*keys, "__bucket").agg(size))
+    @property
+    def _width(self) -> int:
+        return self.bucket_seconds * 1_000_000
+
+    def _split_crowded(
+        self, df: DataFrame, sizes: DataFrame, keys: list[str], at: Column
+    ) -> tuple[DataFrame, DataFrame]:
+        """Finer buckets where one holds too many rows; a bucket is known by its first instant."""
+        width = self._width
         crowded = F.col("__n") > self.rows
         while width > 1 and sizes.filter(crowded).limit(1).count():
             width = max(width // 1000, 1)
@@ -129,7 +139,7 @@ class RowChunks:
                 "__bucket",
                 F.when(F.col("__hot"), at - F.pmod(at, F.lit(width))).otherwise(F.col("__bucket")),
             )
-            finer = marked.filter("__hot").groupBy(*keys, "__bucket").agg(size)
+            finer = marked.filter("__hot").groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
             sizes = materialize(sizes.filter(~crowded).unionByName(finer))
             df = marked.drop("__hot")
         return df, sizes

@@ -86,11 +86,18 @@ def hourly_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def grid_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``hourly_view`` without gaps. The hourly table is stored first, as its range and sites
-    are read as well as its rows, and the events should be scanned only once."""
-    hourly = materialize(hourly_view(spark, sf_dir))
-    return with_capacity(densify(hourly, fill=HOURLY_FILL)).select(*HOURLY.fieldNames())
+def grid_view(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``hourly_view`` (or the given columns of it) without gaps.
+
+    The hourly table is stored first, as its range and sites are read as well as its rows,
+    and the events should be scanned only once.
+    """
+    names = list(columns) or HOURLY.fieldNames()
+    kept = list(dict.fromkeys(["site", "timestamp", *(n for n in names if n != "capacity_gbps")]))
+    hourly = materialize(hourly_view(spark, sf_dir).select(kept))
+    fill = {c: v for c, v in HOURLY_FILL.items() if c in kept}
+    grid = densify(hourly, fill=fill)
+    return (with_capacity(grid) if "capacity_gbps" in names else grid).select(names)
 
 
 def node_rows(rows: DataFrame) -> DataFrame:

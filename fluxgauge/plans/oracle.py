@@ -261,6 +261,30 @@ ORACLE["spectral_proxy"] = (
 FROM (SELECT *, {_SPECTRAL} FROM nt)"""
 )
 
+
+
+def _peaks(rows: int) -> str:
+    """Strongest bin of a written-out Fourier transform of the last ``rows`` values."""
+    angle = f"2 * pi() * k * i / {rows}"
+    return f"""b{rows} AS (SELECT i, k, cos({angle}) AS c, sin({angle}) AS s
+  FROM (SELECT unnest(range({rows})) AS i), (SELECT unnest(range(1, {rows // 2 + 1})) AS k)),
+r{rows} AS (SELECT a.event_id, b.rn - a.rn + {rows - 1} AS i, b.x FROM m a
+  JOIN m b ON a.node_id = b.node_id AND b.rn BETWEEN a.rn - {rows - 1} AND a.rn WHERE a.rn >= {rows}),
+q{rows} AS (SELECT event_id, k, sum(x * c) ** 2 + sum(x * s) ** 2 AS p FROM r{rows} r JOIN b{rows} b ON r.i = b.i GROUP BY ALL),
+f{rows} AS (SELECT event_id, arg_max(k, p)::DOUBLE AS fft_peak_{rows} FROM q{rows} GROUP BY event_id)"""
+
+
+ORACLE["fft_peaks"] = (
+    _with(
+        *TICKS,
+        f"m AS (SELECT node_id, event_id, throughput_gbps AS x, row_number() {WN} AS rn FROM nt)",
+        _peaks(24),
+        _peaks(168),
+    )
+    + f"""SELECT nt.node_id, timestamp, nt.event_id, {_r('throughput_gbps fft_peak_24 fft_peak_168')} FROM nt
+LEFT JOIN f24 ON f24.event_id = nt.event_id LEFT JOIN f168 ON f168.event_id = nt.event_id"""
+)
+
 # ---- KPIs, cross-site, anomalies --------------------------------------------------------
 
 _KPI_SQL = f"""SELECT *, 100 - utilization_pct AS bandwidth_headroom_pct,

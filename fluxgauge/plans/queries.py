@@ -80,7 +80,7 @@ def temporal_features_sunday0(spark, sf):
 
 
 def _grid(spark, sf, *columns):
-    return b.grid_view(spark, sf).select("site", "timestamp", *columns)
+    return b.grid_view(spark, sf, "site", "timestamp", *columns)
 
 
 @query
@@ -477,7 +477,7 @@ def run_report_of_features(spark, sf):
 
 @query
 def training_window(spark, sf):
-    rows = forecast.training_window(materialize(b.grid_view(spark, sf)))
+    rows = forecast.training_window(materialize(_grid(spark, sf, "total_gbps")))
     return exact(rows.select("site", "timestamp", "total_gbps"))
 
 
@@ -533,7 +533,7 @@ def residuals(spark, sf):
 
 @query
 def forecast_by_site(spark, sf):
-    return exact(forecast.forecast_by_site(materialize(b.grid_view(spark, sf))), 6)
+    return exact(forecast.forecast_by_site(materialize(_grid(spark, sf, "total_gbps"))), 6)
 
 
 # ---- streams ----------------------------------------------------------------------------
@@ -599,9 +599,7 @@ def features_stream(spark, sf):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours more than three deviations off their day, newest first."""
-    grid = b.grid_view(spark, sf_dir).select(
-        "site", "timestamp", "total_gbps", "utilization_pct", "capacity_gbps"
-    )
+    grid = _grid(spark, sf_dir, "total_gbps")
 
     def build(df, s):
         return anomaly.add_anomaly(add_rolling(add_lags(df, s, (24,), (24,), False), s), s)

@@ -21,6 +21,8 @@ def build_session(app_name: str = "fluxgauge", master: str | None = None, **conf
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Row windows cost far more per byte than scans do, so small partitions pay.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf.pop("settings", {}),
