@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Protocol names per traffic type. Exact names match case-sensitively; a name
@@ -46,7 +46,21 @@ def map_protocol(name: Column) -> Column:
     contained name and the first type with a contained name are the same thing.
     """
     exact = F.btrim(name, F.lit(_BLANKS))
-    lowered = F.lower(exact)
+    return _decide(exact, F.lower(exact))
+
+
+def with_traffic_type(df: DataFrame, name: Column, out: str = "traffic_type") -> DataFrame:
+    """``map_protocol`` as a column. The trimmed and lowered names are columns of their own
+    on the way, so that a row computes each of them once and not once per rule."""
+    return (
+        df.withColumn("__name", F.btrim(name, F.lit(_BLANKS)))
+        .withColumn("__lower", F.lower("__name"))
+        .withColumn(out, _decide(F.col("__name"), F.col("__lower")))
+        .drop("__name", "__lower")
+    )
+
+
+def _decide(exact: Column, lowered: Column) -> Column:
     rules = [(exact.isin(*names), kind) for kind, names in PROTOCOL_NAMES.items()]
     for table in (PROTOCOL_NAMES, PROTOCOL_KEYWORDS):
         for kind, names in table.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxgauge.functions.clock import trailing
+from fluxgauge.functions.clock import since
 from fluxgauge.functions.numeric import TINY, flag, ratio
 from fluxgauge.operators.joins import join_sized
 from fluxgauge.operators.series import NODE_SERIES, SITE_SERIES, Series
@@ -106,7 +106,7 @@ def baseline_stats(
     df: DataFrame, series: Series = NODE_SERIES, as_of=None, days: int = 7
 ) -> DataFrame:
     """Mean ``mu`` and sample deviation ``sigma`` per key over the trailing days."""
-    recent = trailing(df, series.ts, as_of, 24 * days)
+    recent = since(df, series.ts, as_of, 24 * days)
     return recent.groupBy(*series.keys).agg(
         F.avg(series.value).alias("mu"), F.stddev_samp(series.value).alias("sigma")
     )
@@ -126,7 +126,7 @@ def anomaly_flags(
     df: DataFrame, series: Series = NODE_SERIES, as_of=None, days: int = 7, last_hours: int = 1
 ) -> DataFrame:
     """Rows of the last hour scored against the trailing baseline, most deviant first."""
-    recent = trailing(df, series.ts, as_of, last_hours).select(
+    recent = since(df, series.ts, as_of, last_hours).select(
         series.ts, *series.keys, series.value
     )
     stats = baseline_stats(df, series, as_of, days)

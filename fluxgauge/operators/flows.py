@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from fluxgauge.functions.clock import floor_hour, moment
 from fluxgauge.functions.numeric import to_nonneg
-from fluxgauge.functions.protocol import DEFAULT_TYPE, map_protocol
+from fluxgauge.functions.protocol import DEFAULT_TYPE, with_traffic_type
+from fluxgauge.operators.joins import join_sized
 from fluxgauge.schemas import SITE_CAPACITY, SITE_WEIGHTS
 from fluxgauge.session import materialize
 
@@ -102,8 +103,8 @@ def synthesize_timestamp(df: DataFrame, start="2024-01-01 00:00:00") -> DataFram
     """``raw_timestamp`` one second apart in row order, for tables without a time column.
 
     Numbers rows densely without one ordering task: rows keep their partition-wise number,
-    partitions get offsets from their counts (one row per partition, hence broadcast). The
-    numbered rows are checkpointed first, as a re-planned scan may cut partitions otherwise.
+    partitions get offsets from their counts (one row per partition). The numbered rows are
+    stored first, as a re-planned scan may cut partitions otherwise.
     """
     marked = materialize(
         df.withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()})
@@ -117,7 +118,7 @@ def synthesize_timestamp(df: DataFrame, start="2024-01-01 00:00:00") -> DataFram
     )
     position = F.col("__id") - F.col("__first") + F.col("__offset")
     return (
-        marked.join(F.broadcast(offsets), "__part")
+        join_sized(marked, offsets, "__part")
         .withColumn(
             "raw_timestamp",
             (moment(start).cast("timestamp") + F.make_dt_interval(secs=position.cast("decimal(18,6)"))).cast("timestamp_ntz"),
@@ -138,7 +139,10 @@ def add_flow_metrics(df: DataFrame) -> DataFrame:
     backward = number("bytes_bwd", F.col("bytes_fwd") * DEFAULT_BWD_SHARE)
     latency = to_nonneg(F.col(role["latency"])) / 1000 if role["latency"] else F.lit(DEFAULT_LATENCY)
     protocol = F.col(role["protocol"]) if role["protocol"] else F.lit(None).cast("string")
-    kind = map_protocol(protocol) if role["protocol"] else F.lit(DEFAULT_TYPE)
+    if role["protocol"]:
+        df = with_traffic_type(df, protocol)
+    else:
+        df = df.withColumn("traffic_type", F.lit(DEFAULT_TYPE))
     return (
         df.withColumn("bytes_fwd", forward)
         .withColumn("bytes_bwd", backward)
@@ -146,7 +150,6 @@ def add_flow_metrics(df: DataFrame) -> DataFrame:
             {
                 "total_bytes": F.col("bytes_fwd") + F.col("bytes_bwd"),
                 "latency_raw": latency,
-                "traffic_type": kind,
                 "protocol": protocol.cast("string"),
             }
         )

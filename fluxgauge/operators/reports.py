@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxgauge.functions.clock import earliest, floor_to, hours, latest, trailing
+from fluxgauge.functions.clock import earliest, floor_to, hours, latest, since
 from fluxgauge.functions.numeric import nan_to_null
 from fluxgauge.operators.catalogue import catalogue
 from fluxgauge.operators.kpis import HIGH_UTILIZATION
@@ -90,7 +90,7 @@ def anomaly_report(
     if not 1 <= hours_back <= 720:
         raise ValueError("hours_back must be between 1 and 720")
     return (
-        trailing(df, ts, as_of, hours_back)
+        since(df, ts, as_of, hours_back)
         .filter("is_anomaly")
         .select(ts, "site", "total_gbps", "utilization_pct", "anomaly_type")
         .orderBy(F.desc(ts))
@@ -177,7 +177,7 @@ def feature_profile(features: DataFrame, groups: DataFrame | None = None) -> Dat
             )
         )
     listed = features.agg(F.array(*measures).alias("m")).select(F.inline("m"))
-    return listed.join(F.broadcast(groups), "feature").select("feature_group", *listed.columns)
+    return listed.join(groups, "feature").select("feature_group", *listed.columns)
 
 
 def feature_group_sizes(spark) -> DataFrame:
@@ -191,7 +191,7 @@ def feature_group_sizes(spark) -> DataFrame:
 
 def anomaly_timeline(hourly: DataFrame, days: int = 30, as_of=None, ts: str = "timestamp") -> DataFrame:
     """Anomalies per day and type over the trailing days."""
-    recent = trailing(hourly, ts, as_of, 24 * days).filter("is_anomaly")
+    recent = since(hourly, ts, as_of, 24 * days).filter("is_anomaly")
     return recent.groupBy(F.to_date(ts).alias("date"), "anomaly_type").agg(
         F.count(F.lit(1)).alias("anomalies")
     )

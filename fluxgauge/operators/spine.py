@@ -63,8 +63,8 @@ def expected_profile(
 ) -> DataFrame:
     """Expected traffic per site and hour of ``[start, end)``, free of noise.
 
-    ``hod`` has ``hod, hod_norm`` for the 24 hours and ``ratios`` has ``traffic_type,
-    ratio`` for the six types, so both are broadcast.
+    ``hod`` has ``hod, hod_norm`` per hour of day and ``ratios`` has ``traffic_type, ratio``
+    per type. One value per hour is taken, so at most 24 rows are broadcast.
     """
     low, high = moment(start), moment(end)
     at = F.col("timestamp")
@@ -72,9 +72,8 @@ def expected_profile(
         *[F.max(F.when(F.col("traffic_type") == t, F.col("ratio"))).alias(t) for t in TRAFFIC_TYPES]
     )
     grid = with_capacity(hour_spine(sites.select("site").distinct(), low, high), capacities)
-    grid = grid.withColumn("hod", F.hour(at)).join(
-        F.broadcast(hod.select("hod", "hod_norm")), "hod", "left"
-    )
+    daily = hod.filter(F.col("hod").between(0, 23)).groupBy("hod").agg(F.max("hod_norm").alias("hod_norm"))
+    grid = grid.withColumn("hod", F.hour(at)).join(F.broadcast(daily), "hod", "left")
 
     # Base load, daily swing, weekend factor, month turn, season and growth.
     level = F.lit(0.20) + F.coalesce("hod_norm", F.lit(0.35)) * 0.55

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgauge.functions.protocol import map_protocol
+from fluxgauge.functions.protocol import with_traffic_type
 from fluxgauge.operators.joins import with_capacity
 from fluxgauge.operators.spine import densify
 from fluxgauge.plans.features import HOURLY_FILL
@@ -39,8 +39,8 @@ def _protocol() -> Column:
 def hourly_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``HOURLY``: events per site and hour, one aggregation, hours without events absent."""
     rows = (
-        events(spark, sf_dir)
-        .withColumns({"k": _k(), "kind": map_protocol(_protocol())})
+        with_traffic_type(events(spark, sf_dir), _protocol(), "kind")
+        .withColumn("k", _k())
         .selectExpr(
             "user_id % 5 AS s",
             "CAST(date_trunc('hour', ts) AS timestamp_ntz) AS timestamp",

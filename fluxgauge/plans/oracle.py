@@ -248,7 +248,7 @@ _GEWM = (
 )
 ORACLE["ewm"] = (
     _with(*TICKS)
-    + f"""SELECT node_id, timestamp, event_id, {_r('throughput_gbps ewm_30pct ewm')}
+    + f"""SELECT node_id, timestamp, event_id, {_r('throughput_gbps ewm_30pct ewm', ewm=6)}
 FROM (SELECT *, {_EWM} AS ewm_30pct, {_GEWM} AS ewm FROM nt)"""
 )
 _SPECTRAL = f"""stddev_samp(throughput_gbps) {_node(24)} / (avg(throughput_gbps) {_node(168)} + 1e-9) AS spectral_entropy,
@@ -439,7 +439,7 @@ _FLOW_DOUBLES = " ".join(TYPES) + " total_bytes_hour avg_latency_ms"
 ORACLE["hourly_flow_table"] = ORACLE["pivot_types"] = (
     _with(*FLOWED, FLOW_HOURS) + f"SELECT site, hour, {_r(_FLOW_DOUBLES, 4)} FROM fh"
 )
-ORACLE["hourly_from_flow_records"] = (
+ORACLE["hourly_from_flows"] = (
     _with(
         *FLOWED,
         FLOW_HOURS,
@@ -504,7 +504,7 @@ ORACLE["forward_filled"] = (
   last_value(latency_ms IGNORE NULLS) OVER (PARTITION BY site ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
   AS latency_ms FROM grid)"""
 )
-ORACLE["deduplicated_series"] = (
+ORACLE["dedupe_series"] = (
     _with(*TICKS)
     + f"""SELECT node_id, timestamp, event_id, {_r('throughput_gbps latency_ms')} FROM (
   SELECT node_id, date_trunc('hour', timestamp) AS timestamp, throughput_gbps, latency_ms, event_id,
@@ -537,7 +537,7 @@ _NODE_DOUBLES = (
     "active_flows bytes_io_ratio top_talker_share protocol_entropy lag_1h lag_2h lag_24h lag_48h lag_168h "
     "diff_1 diff_24 cdn_req_norm dns_qps_norm ntp_drift_proxy spectral_entropy periodogram_power"
 )
-ORACLE["node_feature_table"] = (
+ORACLE["node_features"] = (
     _with(
         *TICKS,
         EXOG,

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from fluxgauge.functions.clock import hours, latest, moment
 from fluxgauge.functions.numeric import round_half_up
-from fluxgauge.functions.protocol import map_protocol
+from fluxgauge.functions.protocol import with_traffic_type
 from fluxgauge.operators import aggregate, anomaly, cross_site, exog, flows, forecast, reports, spine
 from fluxgauge.operators.joins import event_flags, with_capacity
 from fluxgauge.operators.kpis import add_kpis
@@ -54,7 +54,8 @@ def exact(df: DataFrame, digits: int = DIGITS, **special: int) -> DataFrame:
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Register under the function's name; a trailing underscore avoids operators' names."""
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -128,7 +129,7 @@ def rolling_quantiles(spark, sf):
 @query
 def ewm(spark, sf):
     build = lambda df, s: add_general_ewm(add_ewm(df, s), s)
-    return exact(RowChunks().run(_ticks(spark, sf), TICKS, build))
+    return exact(RowChunks().run(_ticks(spark, sf), TICKS, build), ewm=6)
 
 
 @query
@@ -234,10 +235,16 @@ def baseline_stats(spark, sf):
     return exact(anomaly.baseline_stats(b.node_view(spark, sf)))
 
 
+FEATURE_INPUT = [
+    "site", "timestamp", "total_gbps", "utilization_pct", "capacity_gbps", "latency_ms",
+    "packet_loss_pct", "jitter_ms", "bgp_peers_up",
+]
+
+
 @query
 def hourly_features(spark, sf):
     """All hourly features in one plan."""
-    rows = features(b.grid_view(spark, sf), chunks=TimeChunks())
+    rows = features(b.grid_view(spark, sf, *FEATURE_INPUT), chunks=TimeChunks())
     wanted = [
         *TEMPORAL, *[f"lag_{n}h" for n in (1, 24, 168)], "roll_mean_3h", "roll_std_24h",
         "roll_mean_168h", *KPIS, "site_rank_current_hour", "site_relative_to_avg",
@@ -251,11 +258,11 @@ def hourly_features(spark, sf):
 
 @query
 def protocol_buckets(spark, sf):
-    """Traffic types of every document's source and language and of every event's protocol."""
+    """Traffic types of every event's protocol and, as longer texts, of every page's address."""
     events = b.events(spark, sf).select(b._protocol().alias("protocol"))
     names = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("url").alias("protocol"))
     rows = events.unionByName(names).groupBy("protocol").agg(F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("traffic_type", map_protocol(F.col("protocol")))
+    return with_traffic_type(rows, F.col("protocol"))
 
 
 def _clean(spark, sf):
@@ -307,7 +314,7 @@ def hourly_flow_table(spark, sf):
 
 
 @query
-def hourly_from_flow_records(spark, sf):
+def hourly_from_flows_(spark, sf):
     return exact(hourly_from_flows(b.flow_view(spark, sf), bucket=b.flow_bucket()), 4)
 
 
@@ -348,7 +355,7 @@ def forward_filled(spark, sf):
 
 
 @query
-def deduplicated_series(spark, sf):
+def dedupe_series_(spark, sf):
     ticks = b.node_view(spark, sf).select(
         "node_id",
         F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("timestamp"),
@@ -374,7 +381,7 @@ def exog_norm(spark, sf):
 
 
 @query
-def node_feature_table(spark, sf):
+def node_features_(spark, sf):
     rows = node_features(b.node_view(spark, sf), TICKS, peaks=False)
     return exact(rows, kurtosis_1h=6, skewness_1h=6, periodogram_power=6)
 
@@ -433,14 +440,16 @@ def anomaly_report_count(spark, sf):
 
 @query
 def platform_summary(spark, sf):
-    hourly = materialize(b.hourly_view(spark, sf))
+    hourly = b.hourly_view(spark, sf).select("site", "timestamp", "total_gbps", "utilization_pct")
+    hourly = materialize(hourly)
     current = reports.current_kpis(hourly)
     return exact(reports.platform_summary(current, hourly, features=48, digits=False))
 
 
 @query
 def high_utilization_sites(spark, sf):
-    return exact(reports.high_utilization_sites(reports.current_kpis(b.hourly_view(spark, sf))))
+    hourly = b.hourly_view(spark, sf).select("site", "timestamp", "utilization_pct")
+    return exact(reports.high_utilization_sites(reports.current_kpis(hourly)))
 
 
 @query
@@ -453,7 +462,7 @@ PROFILED = ["lag_24h", "roll_mean_24h", "roll_std_24h", "zscore_24h", "congestio
 
 @query
 def feature_profile(spark, sf):
-    rows = features(b.grid_view(spark, sf), chunks=TimeChunks())
+    rows = features(b.grid_view(spark, sf, *FEATURE_INPUT), chunks=TimeChunks())
     return exact(reports.feature_profile(rows.select("site", "timestamp", *PROFILED)))
 
 

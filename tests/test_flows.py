@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from fluxgauge.functions.protocol import PROTOCOL_NAMES, map_protocol
+from fluxgauge.functions.protocol import PROTOCOL_NAMES, map_protocol, with_traffic_type
 from fluxgauge.operators import aggregate, flows
 from fluxgauge.operators.spine import expected_profile
 from fluxgauge.plans.features import expected_from_flows, hourly_from_flows
@@ -25,6 +25,7 @@ from fluxgauge.sources.readers import read_flows
 def test_protocols(spark, name, kind):
     df = spark.createDataFrame([(name,)], "p string")
     assert df.select(map_protocol(F.col("p"))).first()[0] == kind
+    assert with_traffic_type(df, F.col("p")).first().traffic_type == kind
 
 
 def test_protocol_table_is_complete(spark):
