@@ -160,7 +160,7 @@ def features_of_day(hourly: DataFrame, day, **options) -> DataFrame:
     """
     table = materialize(hourly)
     known = table.drop("date").withColumn("__read", F.lit(True))
-    dense = densify(known, fill=HOURLY_FILL)
+    dense = densify(known, fill={c: v for c, v in HOURLY_FILL.items() if c in known.columns})
     options.setdefault("chunks", TimeChunks())
     built = features(dense, **options).filter("__read").drop("__read")
     start = F.lit(str(day)).cast("date").cast("timestamp_ntz")

@@ -285,6 +285,16 @@ ORACLE["fft_peaks"] = (
 LEFT JOIN f24 ON f24.event_id = nt.event_id LEFT JOIN f168 ON f168.event_id = nt.event_id"""
 )
 
+ORACLE["spectral_joined"] = ORACLE["spectral_proxy"]
+ORACLE["fft_dominant_bin_sql"] = (
+    _with(
+        *TICKS,
+        f"m AS (SELECT node_id, event_id, throughput_gbps AS x, row_number() {WN} AS rn FROM nt)",
+        _peaks(24),
+    )
+    + f"""SELECT nt.node_id, nt.event_id, {_r('fft_peak_24')} FROM nt LEFT JOIN f24 ON f24.event_id = nt.event_id"""
+)
+
 # ---- KPIs, cross-site, anomalies --------------------------------------------------------
 
 _KPI_SQL = f"""SELECT *, 100 - utilization_pct AS bandwidth_headroom_pct,
@@ -423,6 +433,7 @@ ORACLE["flow_clean"] = (
     + f"""SELECT raw_timestamp, protocol, traffic_type, site, hour,
   {_r('bytes_fwd bytes_bwd total_bytes latency_raw', 4)} FROM fl"""
 )
+ORACLE["flow_csv_source"] = ORACLE["flow_clean"]
 ORACLE["flow_defaults"] = (
     _with(*FLOWED)
     + """SELECT raw_timestamp, CAST(NULL AS VARCHAR) AS protocol, 'https' AS traffic_type, site, hour,
@@ -669,6 +680,14 @@ ORACLE["feature_profile"] = (
     + f"""SELECT feature_group, feature, non_null, {_r('null_rate min_value mean_value max_value')}
 FROM ({' UNION ALL '.join(_profile(n, g) for n, g in _PROFILED.items())})"""
 )
+ORACLE["batch_day_features"] = (
+    _with(*DENSE)
+    + f"""SELECT site, timestamp, {_r('lag_24h lag_168h roll_mean_24h roll_mean_168h zscore_24h')}, {_int('iqr_flag_24h')},
+  site_rank_current_hour, congestion_risk, CAST(timestamp AS DATE) AS date
+FROM (SELECT *, {_CROSS} FROM ({_indicators('(' + _KPI_SQL + ')', 3, False, 6, 3, None)})) f
+WHERE CAST(timestamp AS DATE) = DATE '2024-01-20'
+  AND EXISTS (SELECT 1 FROM ht WHERE ht.site = f.site AND ht.timestamp = f.timestamp)"""
+)
 ORACLE["anomaly_timeline"] = (
     _with(*HOURLY)
     + """SELECT CAST(timestamp AS DATE) AS date, anomaly_type, count(*) AS anomalies FROM ht
@@ -711,6 +730,7 @@ ORACLE["training_window"] = (
     _with(*DENSE, _training(_ORIGIN, 4)) + f"SELECT site, timestamp, {_r('total_gbps')} FROM tw"
 )
 ORACLE["forecast_profile"] = _with(*DENSE, _forecast(_ORIGIN, 168, "how")) + _FC
+ORACLE["site_forecast"] = ORACLE["forecast_profile"] + " WHERE site = 'LON-DC2' AND horizon_hours <= 24"
 ORACLE["forecast_naive"] = _with(*DENSE, _forecast(_ORIGIN, 72, "naive_24")) + _FC
 ORACLE["forecast_blend"] = (
     _with(*DENSE, _forecast(_ORIGIN, 168, "list_avg(list_filter([how, naive_24, naive_168], lambda x: x IS NOT NULL))"))
@@ -770,6 +790,11 @@ ORACLE["kpi_stream"] = (
 FROM (SELECT * REPLACE ({_HALF_UP}) FROM {_MINUTES})
 WHERE minute_ts + INTERVAL 1 MINUTE <= {_NOW} - INTERVAL 2 MINUTE"""
 )
+ORACLE["telemetry_json_stream"] = (
+    _with(*TICKS)
+    + f"""SELECT timestamp, node_id, region, {_int('bgp_updates dns_qps')},
+  {_r('throughput_gbps latency_ms packet_loss_pct active_flows_m utilization_pct bytes_in_gbps bytes_out_gbps cdn_requests_k jitter_ms')} FROM nt"""
+)
 ORACLE["hourly_stream"] = (
     _with(*FLOWED, FLOW_HOURS)
     + f"""SELECT site, hour, {_r(' '.join(TYPES) + ' avg_latency_ms', 4)} FROM fh

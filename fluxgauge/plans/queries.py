@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from fluxgauge.functions.clock import hours, latest, moment
 from fluxgauge.functions.numeric import round_half_up
 from fluxgauge.functions.protocol import with_traffic_type
+from fluxgauge.functions.spectral import register_functions
 from fluxgauge.operators import aggregate, anomaly, cross_site, exog, flows, forecast, reports, spine
 from fluxgauge.operators.joins import event_flags, with_capacity
 from fluxgauge.operators.kpis import add_kpis
@@ -24,12 +25,14 @@ from fluxgauge.operators.series import (
     TimeChunks,
     dedupe_series,
 )
-from fluxgauge.operators.spectral import add_fft_peaks, add_spectral
+from fluxgauge.operators.spectral import add_fft_peaks, add_spectral, join_spectral
 from fluxgauge.operators.temporal import add_temporal
 from fluxgauge.plans import bindings as b
+from fluxgauge.plans import job
 from fluxgauge.plans.features import expected_from_flows, features, hourly_from_flows, node_features
 from fluxgauge.schemas import TRAFFIC_TYPES
 from fluxgauge.session import materialize, scratch_path
+from fluxgauge.sources.readers import read_flows, read_telemetry_stream, register_stage
 from fluxgauge.sources.writers import run_report
 from fluxgauge.streaming import jobs
 from fluxgauge.streaming.stateful import features_stream as stateful_features
@@ -145,6 +148,27 @@ def fft_peaks(spark, sf):
     return exact(RowChunks().run(_ticks(spark, sf), TICKS, build))
 
 
+@query
+def spectral_joined(spark, sf):
+    """The same proxies computed apart and joined back by node, time and event."""
+    ticks = materialize(_ticks(spark, sf))
+    apart = RowChunks().run(ticks, TICKS, add_spectral).drop("throughput_gbps")
+    return exact(join_spectral(ticks, apart, TICKS), 6)
+
+
+@query
+def fft_dominant_bin_sql(spark, sf):
+    """The registered SQL function over windowed arrays."""
+    register_functions(spark)
+    register_stage(_ticks(spark, sf), "fft_ticks")
+    rows = spark.sql(
+        """SELECT node_id, event_id, fft_dominant_bin(collect_list(throughput_gbps) OVER (
+             PARTITION BY node_id ORDER BY timestamp, event_id
+             ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 24) AS fft_peak_24 FROM fft_ticks"""
+    )
+    return exact(rows)
+
+
 # ---- KPIs, cross-site, anomalies --------------------------------------------------------
 
 KPIS = [
@@ -274,6 +298,15 @@ def flow_clean(spark, sf):
     return exact(_clean(spark, sf), 4)
 
 
+@query
+def flow_csv_source(spark, sf):
+    """The same flows written as CSV and read back with the flow reader."""
+    path = scratch_path(spark, "flows")
+    keep_blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    b.flow_view(spark, sf).write.options(header=True, **keep_blanks).csv(path)
+    return exact(flows.clean_flows(read_flows(spark, path), bucket=b.flow_bucket()), 4)
+
+
 @query
 def flow_defaults(spark, sf):
     """Flows with only a time column: every role column takes its default."""
@@ -460,6 +493,20 @@ def site_coverage(spark, sf):
 PROFILED = ["lag_24h", "roll_mean_24h", "roll_std_24h", "zscore_24h", "congestion_risk", "hour_of_day"]
 
 
+@query
+def batch_day_features(spark, sf):
+    """The daily job on one date: read with look-back, compute, write, read back."""
+    path = scratch_path(spark, "job")
+    hourly = b.hourly_view(spark, sf).select(*FEATURE_INPUT)
+    hourly.withColumn("date", F.to_date("timestamp")).write.partitionBy("date").parquet(f"{path}/in")
+    job.run(spark, f"{path}/in", f"{path}/out", "2024-01-20")
+    rows = spark.read.parquet(f"{path}/out").select(
+        "site", "timestamp", "lag_24h", "lag_168h", "roll_mean_24h", "roll_mean_168h", "zscore_24h",
+        "iqr_flag_24h", "site_rank_current_hour", "congestion_risk", "date",
+    )
+    return exact(rows)
+
+
 @query
 def feature_profile(spark, sf):
     rows = features(b.grid_view(spark, sf, *FEATURE_INPUT), chunks=TimeChunks())
@@ -512,6 +559,12 @@ def forecast_interval(spark, sf):
     return exact(forecast.add_interval(forecast.forecast(grid), errors, digits=False))
 
 
+@query
+def site_forecast(spark, sf):
+    told = forecast.forecast(_grid(spark, sf, "total_gbps"))
+    return exact(forecast.site_forecast(materialize(told), "LON-DC2", 24))
+
+
 @query
 def peak_and_headroom(spark, sf):
     return exact(reports.peak_and_headroom(forecast.forecast(_grid(spark, sf, "total_gbps"))))
@@ -559,6 +612,17 @@ def kpi_stream(spark, sf):
     return exact(_half_up(_drained(spark, rows)))
 
 
+@query
+def telemetry_json_stream(spark, sf):
+    """Node telemetry as JSON lines, read as a stream and drained."""
+    path = scratch_path(spark, "telemetry")
+    node = b.node_view(spark, sf).drop("event_id")
+    micros = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    node.select(F.to_json(F.struct("*"), micros).alias("value")).write.text(path)
+    rows = _drained(spark, read_telemetry_stream(spark, path))
+    return exact(rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+
+
 @query
 def hourly_stream(spark, sf):
     raw = b.event_stream(spark, sf).select(
