@@ -23,9 +23,15 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
-def to_nonneg(value: Column) -> Column:
-    """Text to a non-negative double: what does not parse counts as 0."""
-    number = F.nanvl(value.try_cast("double"), F.lit(0.0))
+def to_nonneg(value: Column, text: bool = True) -> Column:
+    """Text to a non-negative double: what does not parse counts as 0.
+
+    A cast would also take the suffixed and hexadecimal literals of Java (``1d``, ``0x1p3``).
+    """
+    number = value.try_cast("double")
+    if text:
+        number = F.when(~value.rlike(r"^\s*[-+]?[\d.].*[dDfFxX]"), number)
+    number = F.nanvl(number, F.lit(0.0))
     return F.greatest(F.coalesce(number, F.lit(0.0)), F.lit(0.0))
 
 

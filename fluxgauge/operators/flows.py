@@ -132,12 +132,15 @@ def add_flow_metrics(df: DataFrame) -> DataFrame:
     ``traffic_type`` from whichever role columns the table has."""
     role = {name: resolve_column(df, names) for name, names in ROLE_NAMES.items()}
 
+    def measured(column: str) -> Column:
+        return to_nonneg(F.col(column), isinstance(df.schema[column].dataType, T.StringType))
+
     def number(name: str, default: Column) -> Column:
-        return to_nonneg(F.col(role[name])) if role[name] else default
+        return measured(role[name]) if role[name] else default
 
     forward = number("bytes_fwd", F.lit(DEFAULT_BYTES_FWD))
     backward = number("bytes_bwd", F.col("bytes_fwd") * DEFAULT_BWD_SHARE)
-    latency = to_nonneg(F.col(role["latency"])) / 1000 if role["latency"] else F.lit(DEFAULT_LATENCY)
+    latency = measured(role["latency"]) / 1000 if role["latency"] else F.lit(DEFAULT_LATENCY)
     protocol = F.col(role["protocol"]) if role["protocol"] else F.lit(None).cast("string")
     if role["protocol"]:
         df = with_traffic_type(df, protocol)

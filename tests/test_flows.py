@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from fluxgauge.functions.numeric import to_nonneg
 from fluxgauge.functions.protocol import PROTOCOL_NAMES, map_protocol, with_traffic_type
 from fluxgauge.operators import aggregate, flows
 from fluxgauge.operators.spine import expected_profile
@@ -77,6 +78,20 @@ def test_numbers_and_defaults(spark):
     assert [(f.name, f.dataType) for f in clean.schema] == [(f.name, f.dataType) for f in FLOW]
 
 
+@pytest.mark.parametrize(
+    "text,value",
+    [("12", 12), (" 3.5 ", 3.5), ("1e3", 1000), (".5", 0.5), ("1d", 0), ("2f", 0), ("0x1p3", 0), ("-4", 0), ("", 0), (None, 0), ("nan", 0), ("a1", 0)],
+)
+def test_lenient_numbers(spark, text, value):
+    df = spark.createDataFrame([(text,)], "v string")
+    assert df.select(to_nonneg(F.col("v"))).first()[0] == value
+
+
+def test_typed_numbers_stay_numbers(spark):
+    df = spark.createDataFrame([("1/1/2024 10:00", 7, 2.5)], ["timestamp", "totlen_fwd_pkts", "totlen_bwd_pkts"])
+    assert flows.clean_flows(df).first().total_bytes == 9.5
+
+
 def test_site_weights(spark):
     df = spark.range(40_000)
     drawn = flows.assign_site(df)
