@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,10 +60,25 @@ def resolve_column(df: DataFrame, candidates) -> str | None:
     return next((c for c in candidates if c in present), None)
 
 
+_WIDTHS = {"yyyy": r"\d{4}", "SSSSSS": r"\d{1,6}", "'T'": "T", "[": "(", "]": ")?"}
+
+
+def shape_of(fmt: str) -> str:
+    """A regular expression for texts that may have the given time format."""
+    tokens = re.findall(r"'T'|yyyy|SSSSSS|[A-Za-z]+|.", fmt)
+    return "^" + "".join(
+        _WIDTHS.get(t) or (r"\d{1,2}" if t.isalpha() else re.escape(t)) for t in tokens
+    ) + "$"
+
+
 def day_first(value: Column, formats=DAY_FIRST_FORMATS) -> Column:
-    """A time read by the first format that fits, else NULL."""
+    """A time read by the first format that fits, else NULL.
+
+    Only texts of the right shape are tried, as every failed attempt costs an exception.
+    """
     text = F.trim(value.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    tries = [F.when(text.rlike(shape_of(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats]
+    return F.coalesce(*tries).cast("timestamp_ntz")
 
 
 def detect_timestamp(df: DataFrame, formats=DAY_FIRST_FORMATS) -> str | None:

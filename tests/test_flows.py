@@ -57,6 +57,16 @@ def test_timestamps_are_day_first(spark):
     assert got == [dt.datetime(2024, 4, 3, 5, 6, 7), dt.datetime(2024, 4, 3, 5, 6), dt.datetime(2024, 4, 3, 5, 6, 7)]
 
 
+def test_shapes_let_through_what_the_formats_read():
+    import re
+
+    shapes = {f: re.compile(flows.shape_of(f)) for f in flows.DAY_FIRST_FORMATS}
+    fits = lambda text: [f for f, s in shapes.items() if s.match(text)]
+    assert fits("3/4/2024 5:06") == fits("03/04/2024 05:06:07.25") == ["d/M/yyyy H:m[:s][.SSSSSS]"]
+    assert fits("2024-04-03T05:06:07") == ["yyyy-M-d'T'H:m[:s][.SSSSSS]"] and fits("2024-4-3") == ["yyyy-M-d"]
+    assert fits("26/04/201711:11:17") == [] == fits("soon")
+
+
 def test_synthetic_timestamps_are_dense(spark):
     df = spark.range(1000, numPartitions=7).filter(F.col("id") % 3 != 0)
     out = flows.synthesize_timestamp(df).orderBy("id").collect()
