@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fluxgauge.functions.clock import epoch_hours, hours
 from fluxgauge.functions.numeric import all_of, flag
 from fluxgauge.schemas import DEFAULT_CAPACITY, holiday_dimension, site_dimension
-from fluxgauge.session import materialize
+from fluxgauge.session import stored
 
 
 def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -20,7 +20,7 @@ def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner") -> Data
     compare NULL-safely, so no row of ``big`` is lost.
     """
     names = [on] if isinstance(on, str) else list(on)
-    return join_null_safe(big, materialize(small), names, how)
+    return join_null_safe(big, stored(small), names, how)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:

@@ -27,7 +27,7 @@ from fluxgauge.operators.spectral import add_fft_peaks, add_spectral
 from fluxgauge.operators.spine import densify, expected_profile
 from fluxgauge.operators.temporal import add_temporal
 from fluxgauge.schemas import TRAFFIC_TYPES
-from fluxgauge.session import materialize
+from fluxgauge.session import materialize, stored
 
 #: How missing hours of an hourly table count: no traffic; quality measures stay unknown.
 HOURLY_FILL = {
@@ -95,7 +95,7 @@ def features(
         df = add_anomaly(df, s, needs["day"], needs["high"], floor)
         return classify_anomaly(df, s)
 
-    base = add_cross_site(materialize(hourly), series.ts, spread, others=True)
+    base = add_cross_site(stored(hourly), series.ts, spread, others=True)
     built = (chunks or RowChunks(bucket_seconds=86_400)).run(base, series, windows).drop("mean_of_others")
     return ensemble(add_temporal(built, series.ts, dow, with_holiday_flag=True))
 
@@ -158,7 +158,7 @@ def features_of_day(hourly: DataFrame, day, **options) -> DataFrame:
     ``hourly`` must hold that week (``read_hourly``) and have the column ``date``. Hours
     missing from it are added, and kept only where they were read.
     """
-    table = materialize(hourly)
+    table = stored(hourly)
     known = table.drop("date").withColumn("__read", F.lit(True))
     dense = densify(known, fill={c: v for c, v in HOURLY_FILL.items() if c in known.columns})
     options.setdefault("chunks", TimeChunks())

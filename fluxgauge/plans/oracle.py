@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Sites, capacities, traffic types, and the sample protocols with their types.
 SITES = ["NYC-DC1", "LON-DC2", "SYD-DC3", "TKY-DC4", "SFO-DC5"]
 CAPACITY = [100, 80, 60, 70, 90]
 TYPES = ["https", "video", "http", "vpn", "dns", "db"]
@@ -235,8 +236,8 @@ ORACLE["rolling_quantiles"] = (
     + f"""SELECT site, timestamp, {_r('total_gbps roll_q25_24h roll_q75_24h')} FROM (SELECT *,
   {_Q.format(p=0.25)} AS roll_q25_24h, {_Q.format(p=0.75)} AS roll_q75_24h FROM grid)"""
 )
-_EWM = f"""(0.3 * throughput_gbps + 0.21 * lag(throughput_gbps, 1) {WN} + 0.147 * lag(throughput_gbps, 2) {WN}
-  + 0.103 * lag(throughput_gbps, 3) {WN} + 0.072 * lag(throughput_gbps, 4) {WN}) / 0.832"""
+_TERMS = [(0, 0.3), (1, 0.21), (2, 0.147), (3, 0.103), (4, 0.072)]
+_EWM = "(" + " + ".join(f"{w} * lag(throughput_gbps, {i}) {WN}" for i, w in _TERMS) + ") / 0.832"
 _GEWM = (
     "("
     + " + ".join(f"{0.3 * 0.7**i!r} * coalesce(lag(throughput_gbps, {i}) {WN}, 0)" for i in range(10))
@@ -405,6 +406,7 @@ FROM (SELECT *, {_CROSS}, {_calendar('timestamp')} FROM ({_indicators('(' + _KPI
 
 # ---- flows ------------------------------------------------------------------------------
 
+# Protocol names per traffic type, and the last keywords that can still match.
 _EXACT = {
     "https": "https SSL TLS Facebook Instagram Twitter Google Gmail Outlook Whatsapp Telegram Dropbox GitHub LinkedIn Reddit",
     "video": "YouTube Netflix Vimeo Twitch video streaming VideoCall Zoom Teams Skype WebRTC",

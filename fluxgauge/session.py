@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -60,6 +61,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` itself if it only reads, filters and projects stored files, else a stored copy."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    steps = re.findall(r"^[\s:+-]*(\w+)", text, flags=re.MULTILINE)
+    scan = steps[-1] == "Relation" and set(steps) <= {"Project", "Filter", "Relation"}
+    return df if scan and plan.deterministic() and "subquery" not in text else materialize(df)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, for plans that use it repeatedly.
 

@@ -13,7 +13,7 @@ from fluxgauge.plans import bindings as b
 from fluxgauge.plans.features import features, node_features
 from fluxgauge.plans.job import main, run
 from fluxgauge.schemas import HOURLY, NODE
-from fluxgauge.session import materialize, shared_dir
+from fluxgauge.session import materialize, shared_dir, stored
 from fluxgauge.sources.readers import read_hourly, read_table, register_stage
 from fluxgauge.sources.writers import run_report, write_features
 
@@ -119,6 +119,18 @@ def test_stored_tables_go_to_the_shared_folder(spark, grid):
     assert grid.inputFiles()[0].replace("file://", "").startswith(shared_dir(spark))
 
 
+def test_only_computed_tables_are_stored_again(grid):
+    assert stored(grid) is grid
+    narrow = grid.filter("total_gbps > 1").select("site", (F.col("total_gbps") * 2).alias("x"))
+    assert stored(narrow) is narrow
+    for computed in (grid.groupBy("site").count(), grid.union(grid), grid.join(grid.select("site").distinct(), "site")):
+        assert stored(computed) is not computed
+    drawn = grid.withColumn("r", F.rand())
+    assert stored(drawn) is not drawn
+    newest = grid.filter(F.col("timestamp") >= grid.select(F.max("timestamp")).scalar())
+    assert stored(newest) is not newest
+
+
 def test_write_replaces_only_its_days(spark, tmp_path):
     out = str(tmp_path / "out")
     rows = lambda day, n: spark.range(n).selectExpr("'A' AS site", f"DATE'2024-01-0{day}' AS date", "id")
