@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluxgauge.functions.clock import earliest, floor_to, hours, latest, since
-from fluxgauge.functions.numeric import nan_to_null
+from fluxgauge.functions.numeric import any_of, nan_to_null
 from fluxgauge.operators.catalogue import catalogue
+from fluxgauge.operators.joins import join_null_safe, join_sized
 from fluxgauge.operators.kpis import HIGH_UTILIZATION
+from fluxgauge.session import materialize, stored
 
 HIGH_NODE_UTILIZATION = 85
 DEGRADED_LOSS = 0.001
@@ -72,15 +74,32 @@ def kpi_snapshot(
 def current_kpis(df: DataFrame, key: str = "site", ts: str = "timestamp") -> DataFrame:
     """The last known value of every column per site; NaN counts as unknown.
 
-    ``max_by`` keeps one value per column and task, so nothing is sorted or collected.
+    One hash aggregate of ``max_by`` over the fixed-width columns: one value per column and
+    task, no sort. Text would turn it into a sort of the whole table, so for text columns the
+    aggregate yields only the time of the last value, and the few rows at these times are
+    read in a second pass over the text columns alone. Needs one row per site and time.
     """
-    df = nan_to_null(df)
-    last = [
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(c)
-        for c in df.columns
-        if c not in (key, ts)
-    ]
-    return df.groupBy(key).agg(F.max(ts).alias(ts), *last)
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != key]
+    df = nan_to_null(stored(df) if text else df)
+
+    def known(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.col(ts))
+
+    last = [F.max_by(c, known(c)).alias(c) for c in df.columns if c not in (key, ts, *text)]
+    times = [F.max(known(c)).alias(f"__at_{c}") for c in text]
+    current = df.groupBy(key).agg(F.max(ts).alias(ts), *last, *times)
+    if not text:
+        return current
+    current = materialize(current)
+    marks = [f"__at_{c}" for c in text]
+    at_mark = [F.col(ts) == F.col(m) for m in marks]
+    texts = (
+        join_sized(df.select(key, ts, *text), current.select(key, *marks), key)
+        .filter(any_of(at_mark))
+        .groupBy(key)
+        .agg(*[F.max(F.when(hit, F.col(c))).alias(c) for c, hit in zip(text, at_mark)])
+    )
+    return join_null_safe(current.drop(*marks), texts, [key], "left").select(key, ts, *[c for c in df.columns if c not in (key, ts)])
 
 
 def anomaly_report(

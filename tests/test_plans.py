@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxgauge.operators.joins import join_sized
-from fluxgauge.operators.reports import kpi_snapshot
+from fluxgauge.operators.reports import current_kpis, kpi_snapshot
 from fluxgauge.operators.series import NODE_SERIES, SITE_SERIES, RowChunks, Series, TimeChunks, WholeSeries
 from fluxgauge.plans import bindings as b
 from fluxgauge.plans.features import features, node_features
@@ -110,6 +110,11 @@ def test_feature_variants_agree(grid):
         assert plain.exceptAll(other).count() == 0 and other.count() == plain.count()
 
 
+def test_last_values_need_no_sort_of_the_table(grid):
+    text = plan(current_kpis(grid.drop("anomaly_type", "data_source")))
+    assert "SortAggregate" not in text and "HashAggregate" in text
+
+
 def test_named_stages(spark, grid):
     register_stage(grid, "hourly_stage")
     assert spark.sql("SELECT count(*) FROM hourly_stage").first()[0] == grid.count()

@@ -43,6 +43,16 @@ def test_last_known_value_per_column(spark):
     assert got == {"A": (5, 8), "B": (None, 1)}
 
 
+def test_last_known_text(spark):
+    rows = [
+        ("A", START, "x", 1, "old"), ("A", START + dt.timedelta(hours=1), None, 2, "new"), ("B", START, None, 3, None),
+        (None, START, "y", None, "z"),
+    ]
+    df = spark.createDataFrame(rows, "site string, timestamp timestamp_ntz, a string, n int, b string")
+    got = {r.site: (r.a, r.n, r.b) for r in reports.current_kpis(df).collect()}
+    assert got == {"A": ("x", 2, "new"), "B": (None, 3, None), None: ("y", None, "z")}
+
+
 def hourly(spark, rows):
     return spark.createDataFrame(
         rows, "site string, timestamp timestamp_ntz, total_gbps double, utilization_pct double, is_anomaly boolean, anomaly_type string"
