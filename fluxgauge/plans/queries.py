@@ -36,6 +36,7 @@ from fluxgauge.sources.readers import read_flows, read_telemetry_stream, registe
 from fluxgauge.sources.writers import run_report
 from fluxgauge.streaming import jobs
 from fluxgauge.streaming.stateful import features_stream as stateful_features
+from fluxgauge.streaming.stateful import keyed_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 TICKS = Series(keys=("node_id",), value="throughput_gbps", ties=("event_id",))
@@ -667,7 +668,9 @@ def features_foreach_batch(spark, sf):
 
 @query
 def features_stream(spark, sf):
-    return exact(_drained(spark, stateful_features(b.node_stream(spark, sf))))
+    with keyed_state(spark):
+        rows = _drained(spark, stateful_features(b.node_stream(spark, sf)))
+    return exact(rows)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,9 +35,16 @@ def build_session(app_name: str = "fluxgauge", master: str | None = None, **conf
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the one session setting results depend on: zone-less hours need UTC."""
+    """Pin the one session setting results depend on: zone-less hours need UTC.
+
+    A local session left at the default of 200 partitions also gets one per core, as every
+    stream would otherwise open 200 state stores. Clusters keep their setting.
+    """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
     return spark
 
 

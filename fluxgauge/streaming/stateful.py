@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -15,6 +16,18 @@ from fluxgauge.operators.series import NODE_SERIES, WEEK_ROWS, Series
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store ``transformWithState`` needs, for queries started inside the block."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _LAGS = (1, 2, 24, 48, 168)
 _COLUMNS = (
     *[f"lag_{n}h" for n in _LAGS],
@@ -107,11 +120,9 @@ def features_stream(
 ) -> DataFrame:
     """Row-window features per node, exact in event-time order, by ``transformWithState``.
 
-    Only time and value enter Python. A node's rows of one micro-batch meet in one task, so
+    Start it within ``keyed_state``. Only time and value enter Python. A node's rows of one micro-batch meet in one task, so
     bound the micro-batch at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     fields = [
         T.StructField("node_id", T.StringType()),
         T.StructField("timestamp", T.TimestampNTZType()),

@@ -11,7 +11,7 @@ from fluxgauge.operators.reports import kpi_snapshot
 from fluxgauge.operators.series import NODE_SERIES, RowChunks, WholeSeries
 from fluxgauge.sources.readers import read_telemetry_stream
 from fluxgauge.streaming import jobs
-from fluxgauge.streaming.stateful import features_stream
+from fluxgauge.streaming.stateful import features_stream, keyed_state
 
 START = dt.datetime(2024, 1, 1)
 
@@ -133,7 +133,8 @@ def test_stateful_features_in_event_time_order(spark, tmp_path):
 
     def run():
         stream = read_telemetry_stream(spark, str(source), options={"maxFilesPerTrigger": "1"})
-        return jobs.drain(features_stream(stream, "30 minutes"), out, check)
+        with keyed_state(spark):
+            return jobs.drain(features_stream(stream, "30 minutes"), out, check)
 
     order = list(range(600))
     swapped = order[:290] + order[310:320] + order[290:310] + order[320:]
