@@ -39,6 +39,8 @@ BINS = 64
 COMMON_SHARE = 2**-18
 #: In how many documents at least.
 COMMON_LEAST = 16
+#: Cells up to this size are joined by plain pairs, of which there are few.
+SMALL_CELL = 16
 #: Most members of a region that one task joins; larger ones are joined block against block.
 REGION = 4096
 
@@ -324,10 +326,27 @@ def linked_classes(
 
     tagged = cells.select("cell", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     tagged = stages.put(tagged)
-    mixed = tagged.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    crowd = tagged.join(mixed.select("cell"), "cell").join(classes.select("node", "n", "bins"), "node")
+    mixed = stages.put(
+        tagged.groupBy("cell")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k"))
+        .where("low < high")
+        .select("cell", "k")
+    )
+    small = tagged.join(mixed.where(F.col("k") <= SMALL_CELL), "cell").join(classes.select("node", "n"), "node")
+    small = small.select("cell", "node", "label", "n")
+    few = (
+        small.toDF("cell", "a", "la", "na")
+        .join(small.toDF("cell", "b", "lb", "nb"), "cell")
+        .where("a < b and la <> lb")
+        .where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
+        .select("a", "b")
+        .distinct()
+    )
+    few = _near(few, classes, similarity)
+    large = tagged.join(mixed.where(F.col("k") > SMALL_CELL), "cell").select("cell", "node", "label")
+    crowd = large.join(classes.select("node", "n", "bins"), "node")
 
-    def join_region(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def join_region(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         _, _, i, j = key
         bins, n = unpack(frame["bins"]), frame["n"].to_numpy()
         group, node = frame["label"].to_numpy(), frame["node"].to_numpy()
@@ -344,7 +363,7 @@ def linked_classes(
         return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
 
     pairs = _blocks(crowd, similarity, region).groupBy("cell", "band", "i", "j").applyInPandas(join_region, "a long, b long")
-    more = _verified(stages.put(pairs.distinct()), classes, docs, shingle, similarity, stages)
+    more = _verified(stages.put(pairs.union(few).distinct()), classes, docs, shingle, similarity, stages)
     final = components(stages.put(links.union(more)), stages)
 
     named = classes.select("node", "fp1", "fp2", "n", "id").join(final, "node", "left").withColumn(
