@@ -201,17 +201,23 @@ def region_pairs(bins, n, group, similarity, left, right=None, leaf: int = 64) -
     if inside.all() or np.bincount(home).max() > 0.9 * len(everyone):
         return brute(left, left if same else right, same)
     found = []
+
+    def descend(a, b=None):
+        size = len(a) + (len(b) if b is not None else 0)
+        if not len(a) or b is not None and not len(b):
+            return []
+        if size > 0.9 * len(everyone):
+            return brute(a, a if b is None else b, b is None)
+        return region_pairs(bins, n, group, similarity, a, b, leaf)
+
     for j in range(len(pivots)):
         core, guests = home == j, inside[:, j] & (home > j)
         if same:
-            found += region_pairs(bins, n, group, similarity, everyone[core], None, leaf)
-            if core.any() and guests.any():
-                found += region_pairs(bins, n, group, similarity, everyone[core], everyone[guests], leaf)
+            found += descend(everyone[core])
+            found += descend(everyone[core], everyone[guests])
         else:
-            sides = [(core & is_left, core & ~is_left), (core & is_left, guests & ~is_left), (guests & is_left, core & ~is_left)]
-            for a, b in sides:
-                if a.any() and b.any():
-                    found += region_pairs(bins, n, group, similarity, everyone[a], everyone[b], leaf)
+            for a, b in ((core, core), (core, guests), (guests, core)):
+                found += descend(everyone[a & is_left], everyone[b & ~is_left])
     return found
 
 

@@ -2,8 +2,110 @@
 
 from __future__ import annotations
 
+from fluxgauge.llm.quality_rules import STOP_WORDS
+
 ORACLE: dict[str, str] = {}
 
+ORACLE["op5_substring_dedup"] = r"""
+WITH docs AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents
+),
+flat AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM docs),
+wins AS (
+    SELECT doc_id, i, word,
+           CASE WHEN count(*) OVER ahead = 13 THEN string_agg(word, ' ') OVER ahead END AS g
+    FROM flat WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+),
+firsts AS (SELECT g, min(doc_id) AS low FROM wins WHERE g IS NOT NULL GROUP BY g HAVING min(doc_id) < max(doc_id)),
+marked AS (
+    SELECT w.doc_id, w.i, w.word,
+           coalesce(max(CASE WHEN f.low < w.doc_id THEN 1 ELSE 0 END)
+               OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 0) AS gone
+    FROM wins w LEFT JOIN firsts f ON w.g = f.g
+),
+left_over AS (
+    SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept
+    FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(l.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(l.kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN left_over l USING (doc_id)
+"""
+
+ORACLE["op6_quality_rules"] = rf"""
+WITH docs AS (
+    SELECT doc_id, coalesce(text, '') AS t,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents
+),
+flat AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM docs),
+wins AS (
+    SELECT doc_id, i, CASE WHEN count(*) OVER ahead = 3 THEN string_agg(word, ' ') OVER ahead END AS g
+    FROM flat WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)
+),
+often AS (SELECT doc_id, i, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 THEN 1 ELSE 0 END AS again FROM wins),
+covered AS (
+    SELECT doc_id, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS again FROM often
+),
+repeats AS (SELECT doc_id, sum(again) AS n FROM covered GROUP BY doc_id),
+counts AS (
+    SELECT d.doc_id, len(d.w) AS n_words, length(regexp_replace(d.t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+           length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+           len(d.lines) AS n_lines, len(d.lines) - len(list_distinct(d.lines)) AS n_dup_lines,
+           len(list_intersect(list_distinct(list_transform(d.w, lambda x: lower(x))), [{", ".join(f"'{w}'" for w in STOP_WORDS)}])) AS n_stop,
+           coalesce(r.n, 0)::BIGINT AS n_repeat_words
+    FROM docs d LEFT JOIN repeats r USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words AND word_chars BETWEEN 2 * n_words AND 16 * n_words
+           AND n_symbols / word_chars <= 0.1 AND n_dup_lines / n_lines <= 0.5 AND n_stop >= 2 AS kept
+FROM counts
+"""
+
+ORACLE["op7_exact_dedup"] = r"""
+WITH docs AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER own AS keep_id, count(*) OVER own AS group_size,
+       doc_id = min(doc_id) OVER own AS kept, text_sha256
+FROM docs WINDOW own AS (PARTITION BY text_sha256)
+"""
+
+ORACLE["op8_mixing"] = r"""
+WITH docs AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+),
+sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS weight
+    FROM docs GROUP BY source
+),
+levels AS (
+    SELECT *, ((sum(source_size) OVER ())::DOUBLE
+               - coalesce(sum(3 * source_size::DOUBLE) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST
+                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM sources
+),
+plan AS (
+    SELECT source, source_size, least(3 * source_size::DOUBLE, weight * max(level) OVER ()) AS target FROM levels
+),
+ranked AS (
+    SELECT d.doc_id, d.size, p.source, p.source_size, p.target,
+           floor(CASE WHEN p.source_size > 0 THEN p.target / p.source_size ELSE 0 END)::BIGINT AS whole,
+           md5('mix|' || coalesce(d.doc_id, 9223372036854775807) || '|' || d.size)[1:13] AS u
+    FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+),
+cut AS (
+    SELECT *, target - whole * source_size AS budget,
+           sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2.0 AS middle
+    FROM ranked
+)
+SELECT doc_id, size, source_size, target,
+       ((whole + CASE WHEN middle <= budget AND whole < 3 THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM cut
+"""
+
 ORACLE["op10_jaccard_join"] = r"""
 WITH RECURSIVE base AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),

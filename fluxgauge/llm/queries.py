@@ -3,16 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fluxgauge.llm import jaccard_join
+from fluxgauge.llm import exact_dedup, jaccard_join, mixing, quality_rules, substring_dedup
 from fluxgauge.llm.tables import documents
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated passages of 13 words."""
+    left = substring_dedup.without_repeats(documents(spark, sf_dir), window=13)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules for every document."""
+    return quality_rules.judged(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its equal texts."""
+    return exact_dedup.deduplicated(documents(spark, sf_dir))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return mixing.mix_report(documents(spark, sf_dir))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents with three-word shingle sets that are 90 % alike."""
     return jaccard_join.component_report(documents(spark, sf_dir), shingle=3, similarity=(90, 100))
 
 
 QUERIES = {
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_mixing": op8_mixing,
     "op10_jaccard_join": op10_jaccard_join,
 }
