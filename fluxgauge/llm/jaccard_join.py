@@ -34,13 +34,13 @@ from fluxgauge.llm.graph import components
 from fluxgauge.llm.tables import NO_ID, Stages, keyed, public_id
 from fluxgauge.llm.text import buffer, lists, mix, slices, split_words, windows
 
-BINS = 64
+BINS = 32
 #: A shingle is common if it makes up this share of all shingles; so at most twice 2**18 are, 4 MB.
 COMMON_SHARE = 2**-18
 #: In how many documents at least.
 COMMON_LEAST = 16
-#: Cells up to this size are joined by plain pairs, of which there are few.
-SMALL_CELL = 16
+#: Cells up to this size are joined by size windows alone; larger ones are split around pivots.
+SMALL_CELL = 256
 #: Most members of a region that one task joins; larger ones are joined block against block.
 REGION = 4096
 
@@ -115,7 +115,7 @@ def sketches(docs: DataFrame, size: int, similarity: tuple[int, int], common: np
             n_docs = len(counts)
             owner = np.repeat(np.arange(n_docs), counts)
             bins = np.zeros((n_docs, BINS), np.int64)
-            np.add.at(bins, (owner, (flat >> np.uint64(58)).astype(np.int64)), 1)
+            np.add.at(bins, (owner, (flat >> np.uint64(59)).astype(np.int64)), 1)
             fp1, fp2 = np.zeros(n_docs, np.uint64), np.zeros(n_docs, np.uint64)
             np.add.at(fp1, owner, mix(flat ^ np.uint64(0x5851F42D4C957F2D)))
             np.add.at(fp2, owner, mix(flat ^ np.uint64(0x14057B7EF767814F)))
@@ -221,15 +221,8 @@ def region_pairs(bins, n, group, similarity, left, right=None, leaf: int = 64) -
     return found
 
 
-def _near(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of nodes that bin counts don't exclude."""
-    num, den = similarity
-    side = classes.select("node", "n", "bins")
-    both = (
-        pairs.join(side.toDF("a", "na", "ba"), "a")
-        .join(side.toDF("b", "nb", "bb"), "b")
-        .where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
-    )
+def _unlike(similarity: tuple[int, int]):
+    """Drops pairs that bin counts exclude."""
 
     def run(batches):
         for batch in batches:
@@ -240,7 +233,45 @@ def _near(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) ->
             ok = within(np.abs(left - right).sum(-1), sizes, similarity)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a long, b long")
+    return run
+
+
+def _size_fits(similarity: tuple[int, int]):
+    num, den = similarity
+    return (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
+
+
+def _near(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of nodes that bin counts don't exclude."""
+    side = classes.select("node", "n", "bins")
+    both = pairs.join(side.toDF("a", "na", "ba"), "a").join(side.toDF("b", "nb", "bb"), "b")
+    return both.where(_size_fits(similarity)).mapInArrow(_unlike(similarity), "a long, b long")
+
+
+def _band(similarity: tuple[int, int]):
+    """Geometric size bands: linked sizes lie in the same or in neighbouring ones."""
+    num, den = similarity
+    return F.floor(F.log("n") / F.lit(math.log(den / num) if num < den else 1.0) + 1e-9)
+
+
+def _cell_pairs(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs of different labels in cells of at most ``SMALL_CELL`` members, by size windows."""
+    own = members.withColumn("band", _band(similarity))
+    seen = own.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("shift"))
+    both = (
+        own.select("cell", "band", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("bins").alias("ba"))
+        .join(
+            seen.select(
+                "cell", "band", "shift", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("bins").alias("bb")
+            ),
+            ["cell", "band"],
+        )
+        .where("la <> lb and (shift = 1 or a < b)")
+        .where(_size_fits(similarity))
+        .select("a", "b", "na", "nb", "ba", "bb")
+    )
+    found = both.mapInArrow(_unlike(similarity), "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity, stages: Stages) -> DataFrame:
@@ -277,9 +308,7 @@ def _blocks(members: DataFrame, similarity: tuple[int, int], region: int) -> Dat
     Bands are geometric with the ratio of the threshold, so linked sizes lie in the same or in
     neighbouring bands: a member is also a guest of the band above its own.
     """
-    num, den = similarity
-    width = math.log(den / num) if num < den else 1.0
-    own = F.floor(F.log("n") / F.lit(width) + 1e-9)
+    own = _band(similarity)
     banded = members.withColumn("band", F.explode(F.array(own, own + 1))).withColumn("guest", F.col("band") != own)
     sizes = banded.groupBy("cell", "band").agg(F.ceil(F.count("*") / region).cast("int").alias("k"))
     placed = banded.join(sizes, ["cell", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), "k").cast("int"))
@@ -338,19 +367,11 @@ def linked_classes(
         .where("low < high")
         .select("cell", "k")
     )
-    small = tagged.join(mixed.where(F.col("k") <= SMALL_CELL), "cell").join(classes.select("node", "n"), "node")
-    small = small.select("cell", "node", "label", "n")
-    few = (
-        small.toDF("cell", "a", "la", "na")
-        .join(small.toDF("cell", "b", "lb", "nb"), "cell")
-        .where("a < b and la <> lb")
-        .where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
-        .select("a", "b")
-        .distinct()
-    )
-    few = _near(few, classes, similarity)
+    facts = classes.select("node", "n", "bins")
+    small = tagged.join(mixed.where(F.col("k") <= SMALL_CELL).select("cell"), "cell").join(facts, "node")
+    few = _cell_pairs(small, similarity)
     large = tagged.join(mixed.where(F.col("k") > SMALL_CELL), "cell").select("cell", "node", "label")
-    crowd = large.join(classes.select("node", "n", "bins"), "node")
+    crowd = large.join(facts, "node")
 
     def join_region(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         _, _, i, j = key

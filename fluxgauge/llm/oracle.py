@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fluxgauge.llm import link_trust
 from fluxgauge.llm.quality_rules import STOP_WORDS
 
 ORACLE: dict[str, str] = {}
@@ -136,3 +137,70 @@ SELECT s.doc_id, len(s.s) AS n_shingles, min(r.y) AS component_id
 FROM sets s JOIN reach r ON r.x = s.doc_id
 GROUP BY s.doc_id, len(s.s)
 """
+
+# SHA-1 as 40 hex digits, five at a time as four base-32 digits.
+_BASE32 = """array_to_string(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(sha1(t), (k // 4)::INT * 5 + 1, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31) + 1)::INT, 1)), '')"""
+
+ORACLE["op1_warc_zip"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS last FROM p)
+SELECT page_id, strlen(t) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < last THEN last END AS refers_to
+FROM g
+"""
+
+
+def _url_filter_sql() -> str:
+    rules = sorted(link_trust.RULES, key=lambda r: (-len(r[1] + r[2]), r[0] != "block"))
+    fits = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in rules]
+    rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, rules))
+    kind = " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, rules))
+    fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+    host = lambda u: fold(rf"regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1)")
+    steps = []
+    for k in range(1, link_trust.ROUNDS + 1):
+        steps.append(
+            f"""r{k} AS (SELECT kind, host, sum(rank) AS rank FROM (
+                SELECT f.kind, f.dst AS host, f.p * r.rank * {link_trust.DAMPING} AS rank
+                FROM flows f JOIN r{k - 1} r ON f.kind = r.kind AND f.src = r.host
+                UNION ALL SELECT kind, host, rank * {1 - link_trust.DAMPING} FROM r0) GROUP BY kind, host)"""
+        )
+    return rf"""
+WITH placed AS (
+    SELECT page_id, coalesce({host("url")}, '') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(html, '') AS html
+    FROM pages
+),
+ruled AS (SELECT *, CASE {rule} END AS rule, CASE {kind} END AS ruled FROM placed),
+hosts AS (SELECT DISTINCT host FROM ruled WHERE host <> ''),
+links AS (
+    SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*[\x22'']?([^\x22''\s>]+)', 1)) AS link FROM ruled
+),
+ends_ AS (SELECT src, {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM links),
+family AS (SELECT a.host AS src, b.host AS dst FROM hosts a JOIN hosts b ON substr(a.host, instr(a.host, '.') + 1) = b.host AND a.host <> b.host),
+edges AS (
+    SELECT src, dst, count(*) AS w FROM (
+        SELECT src, dst FROM ends_ WHERE src <> '' AND dst <> '' AND src <> dst
+        UNION ALL SELECT src, dst FROM family UNION ALL SELECT dst, src FROM family) GROUP BY src, dst
+),
+both_ AS (SELECT 'trust' AS kind, src, dst, w FROM edges UNION ALL SELECT 'distrust', dst, src, w FROM edges),
+flows AS (SELECT kind, src, dst, w / sum(w) OVER (PARTITION BY kind, src) AS p FROM both_),
+r0 AS (
+    SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS rank
+    FROM (SELECT CASE ruled WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n
+          FROM ruled WHERE ruled IS NOT NULL AND host <> '' GROUP BY ALL)
+),
+{", ".join(steps)},
+bad AS (
+    SELECT host FROM r{link_trust.ROUNDS} GROUP BY host
+    HAVING sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END) > {link_trust.SHARE} * sum(rank)
+)
+SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN b.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN bad b ON r.host = b.host
+"""
+
+
+ORACLE["op9_url_filter"] = _url_filter_sql()

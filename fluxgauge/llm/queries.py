@@ -2,11 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgauge.llm import exact_dedup, jaccard_join, mixing, quality_rules, substring_dedup
-from fluxgauge.llm.tables import documents
+from fluxgauge.llm import (
+    bpe,
+    exact_dedup,
+    jaccard_join,
+    link_trust,
+    mixing,
+    quality_model,
+    quality_rules,
+    substring_dedup,
+    toxicity,
+    warc_zip,
+)
+from fluxgauge.llm.tables import documents, read
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def held_out(parts: int, fold: int) -> Column:
+    """Rows whose CRC-32 of the id as text falls into the fold."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts == fold
+
+
+def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to WARC packages and read back by ranges."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc_zip.round_trip(spark, pages, least_bytes=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, by a model of four fifths of the labels."""
+    labels = read(spark, sf_dir, "labels")
+    return toxicity.toxicity_report(documents(spark, sf_dir), labels, held_out(5, 0))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, by a model of two thirds of the labels."""
+    labels = read(spark, sf_dir, "labels")
+    return quality_model.quality_report(documents(spark, sf_dir), labels, held_out(3, 1))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text they decode to, as digests."""
+    path = tokenizer_path()
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    coded = bpe.encoded(docs, path).select("doc_id", "ids")
+    return bpe.decoded(coded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,15 +89,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for every page's url."""
+    return link_trust.judged(read(spark, sf_dir, "pages"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents with three-word shingle sets that are 90 % alike."""
     return jaccard_join.component_report(documents(spark, sf_dir), shingle=3, similarity=(90, 100))
 
 
 QUERIES = {
+    "op1_warc_zip": op1_warc_zip,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_bpe": op4_bpe,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op9_url_filter": op9_url_filter,
     "op10_jaccard_join": op10_jaccard_join,
 }
