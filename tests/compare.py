@@ -57,7 +57,7 @@ def difference(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str | None:
             bad[c] = (int((~same).sum()), x[i], y[i])
     if bad:
         return f"values {bad}"
-    types = {c: k for c, k in kinds.items() if k[0] != k[1] and not set(k) <= set("OMf")}
+    types = {c: k for c, k in kinds.items() if k[0] != k[1] and not set(k) <= set("OMfi")}
     return f"types {types}" if types else None
 
 
