@@ -117,7 +117,11 @@ def judged(docs: DataFrame, thresholds=None, base=None, **columns) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), docs["text"].alias("text"))
-    return judged(packed, doc_id="doc", **options).where("kept").select("doc_id.*")
+    """The documents that pass, with all their columns.
+
+    The row number keeps the filter above the projections: pushed below them, it would repeat
+    their expressions within each other's loops.
+    """
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].alias("text"))
+    marked = judged(packed, doc_id="doc", **options).withColumn("row", F.monotonically_increasing_id())
+    return marked.where("kept and row >= 0").select("doc_id.*")
