@@ -10,11 +10,14 @@ next factor, from another source. The factors are the duplicate spans; all other
 Most windows occur once, and are never sent to the index. Of the ``gram``-word sequences in a
 window the one with the smallest hash is its anchor; equal windows have equal anchors, so only
 windows whose anchor occurs in two documents can repeat (about one anchor per five words moves).
-Windows are compared by 128-bit fingerprints of their words.
+Windows are compared by 96-bit fingerprints of their words. The index is built and asked block by
+block, so that only one block of it is on its way at a time.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +28,8 @@ from fluxgauge.llm.text import Words, buffer, lists, slices, split_words, window
 
 WINDOW = 13
 GRAM = 6
+#: Blocks of the window index.
+BLOCKS = 4
 
 _FACTOR = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())])
 
@@ -96,12 +101,13 @@ def _window_lists(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     batch.column("id"),
                     batch.column("th"),
                     lists(start, counts, pa.int32()),
-                    *(lists(f[at].view(np.int64), counts, pa.int64()) for f in prints),
+                    lists(prints[0][at].view(np.int64), counts, pa.int64()),
+                    lists((prints[1][at] >> np.uint64(32)).astype(np.uint32).view(np.int32), counts, pa.int32()),
                 ],
                 ["id", "th", "start", "f1", "f2"],
             )
 
-    return docs.mapInArrow(run, "id long, th long, start array<int>, f1 array<long>, f2 array<long>")
+    return docs.mapInArrow(run, "id long, th long, start array<int>, f1 array<long>, f2 array<int>")
 
 
 def _joined_words(data: np.ndarray, words: Words, keep: np.ndarray) -> pa.StringArray:
@@ -198,19 +204,23 @@ def without_repeats(
     found = stages.put(_window_lists(docs.join(own, "id"), window, gram))
     stages.drop(own)
     each = found.select("id", "th", F.explode(F.arrays_zip("start", "f1", "f2")).alias("w")).select("id", "th", "w.*")
-    first = (
-        each.groupBy("f1", "f2")
-        .agg(F.min(F.struct("id", "start")).alias("source"), F.max("id").alias("high"))
-        .where("source.id < high")
-    )
-    hits = (
-        each.join(first.select("f1", "f2", "source"), ["f1", "f2"])
-        .where("source.id < id")
-        .groupBy("id", "th")
-        .agg(F.collect_list(F.struct("start", F.col("source.id").alias("source"), F.col("source.start").alias("source_start"))).alias("hits"))
-    )
-    hits = stages.put(hits)
+    parts = []
+    for block in range(BLOCKS):
+        here = each.where(F.pmod("f1", F.lit(BLOCKS)) == block)
+        first = (
+            here.groupBy("f1", "f2")
+            .agg(F.min(F.struct("id", "start")).alias("source"), F.max("id").alias("high"))
+            .where("source.id < high")
+            .select("f1", "f2", "source")
+        )
+        later = here.join(first, ["f1", "f2"]).where("source.id < id")
+        source = F.col("source.id").alias("source"), F.col("source.start").alias("source_start")
+        parts.append(stages.put(later.select("id", "th", "start", *source)))
     stages.drop(found)
+    hits = functools.reduce(DataFrame.union, parts)
+    hits = hits.groupBy("id", "th").agg(F.collect_list(F.struct("start", "source", "source_start")).alias("hits"))
+    hits = stages.put(hits)
+    stages.drop(*parts)
     empty = F.expr("cast(array() as array<struct<start: int, source: bigint, source_start: int>>)")
     parsed = _parsed(docs.join(hits, ["id", "th"], "left").withColumn("hits", F.coalesce("hits", empty)), window)
     return parsed.select(public_id("id").alias("doc_id"), "n_words", "n_removed", "kept", "factors")
