@@ -186,14 +186,15 @@ def assign_site(
 ) -> DataFrame:
     """``site`` drawn by weight, the same on every run.
 
-    A row's bucket of 10,000 is a hash of ``key`` (default: all columns) and ``seed``, or is
+    A row's bucket of 10,000 is an MD5 of ``seed`` and ``key`` (default: all columns), or is
     given as ``bucket``; cumulative weights cut the buckets into sites.
     """
     if len(sites) != len(weights):
         raise ValueError("one weight per site")
     if bucket is None:
         columns = [F.col(f"`{c}`").cast("string") for c in (key or df.columns)]
-        bucket = F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(10_000))
+        digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *columns)), 1, 8)
+        bucket = F.conv(digits, 16, 10).cast("long") % 10_000
     total, reached = sum(weights), 0
     chain = None
     for site, weight in zip(sites[:-1], weights[:-1]):

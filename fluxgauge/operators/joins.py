@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxgauge.functions.clock import epoch_hours, hours
+from fluxgauge.functions.clock import epoch_hours, hours, latest
 from fluxgauge.functions.numeric import all_of, flag
 from fluxgauge.schemas import DEFAULT_CAPACITY, holiday_dimension, site_dimension
 from fluxgauge.session import stored
@@ -96,7 +96,8 @@ def event_flags(
 ) -> DataFrame:
     """0/1 columns telling whether an announced event covers the row's time.
 
-    ``events`` has ``(key, start, end, kind)``, half-open; ``kinds`` maps kind to column.
+    ``events`` has ``(key, start, end, kind)``, half-open; ``kinds`` maps kind to column. An event
+    without an end still goes on: it covers every later row.
     Without events the columns are 0. The range join is an equi-join on (key, hour):
     intervals are merged per key and kind, then listed under every hour they touch, so a row
     meets at most the few disjoint intervals of its hour and matches at most one of them.
@@ -104,7 +105,9 @@ def event_flags(
     kinds = kinds or {"geo": "geo_event_flag", "maintenance": "maintenance_flag"}
     if events is None:
         return df.withColumns({name: F.lit(0) for name in kinds.values()})
-    merged = merge_intervals(events.filter(F.col("kind").isin(*kinds)), [key, "kind"])
+    now = latest(df, ts) + hours(1)
+    events = events.filter(F.col("kind").isin(*kinds)).withColumn("end", F.coalesce("end", now))
+    merged = merge_intervals(events, [key, "kind"])
     last_hour = F.date_trunc("hour", F.col("end") - F.expr("INTERVAL '0.000001' SECOND"))
     span = F.sequence(
         F.date_trunc("hour", "start").cast("timestamp_ntz"), last_hour.cast("timestamp_ntz"), hours(1)

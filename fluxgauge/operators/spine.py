@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxgauge.functions.clock import earliest, epoch_hours, hours, latest, moment
+from fluxgauge.functions.clock import earliest, epoch_hours, floor_hour, hours, latest, moment
 from fluxgauge.functions.numeric import clip
 from fluxgauge.operators.joins import with_capacity
 from fluxgauge.schemas import TRAFFIC_TYPES
@@ -41,12 +41,18 @@ def densify(
 
     The range defaults to the hours the table covers. Missing hours are NULL except for the
     columns in ``fill`` (column -> value) and in ``forward``, which repeat the last known
-    value. Needs one row per (key, hour).
+    value. A stamp within an hour counts for that hour, and rows without a key are a key of
+    their own; rows without a time belong to no hour. Needs one row per (key, hour).
     """
-    low = earliest(df, ts) if start is None else moment(start)
+    df = df.withColumn(ts, floor_hour(F.col(ts)))
+    low = earliest(df, ts) if start is None else floor_hour(moment(start))
     high = latest(df, ts) + hours(1) if end is None else moment(end)
     spine = hour_spine(df.select(*keys).distinct(), low, high, ts)
-    full = spine.join(df, [*keys, ts], "left").select(*df.columns)
+    seen = df.select(*[F.col(c).alias(f"__{c}" if c in (*keys, ts) else c) for c in df.columns])
+    same = F.col(ts) == F.col(f"__{ts}")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    full = spine.join(seen, same, "left").select(*df.columns)
     if forward:
         past = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
         full = full.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in forward})

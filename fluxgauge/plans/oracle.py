@@ -828,3 +828,10 @@ ORACLE["features_stream"] = (
     + f"""SELECT node_id, timestamp, {_r('throughput_gbps lag_1h lag_2h lag_24h lag_48h lag_168h diff_1 diff_24 rolling_mean_6h rolling_max_24h rolling_min_24h ewm_30pct')}
 FROM {_TICK_SQL} WHERE timestamp < date_trunc('milliseconds', {_NOW} - INTERVAL 10 MINUTE)"""
 )
+
+ORACLE["assigned_sites"] = """
+WITH drawn AS (SELECT ('0x' || substr(md5('42|' || event_id), 1, 8))::BIGINT % 10000 AS bucket FROM events)
+SELECT CASE WHEN bucket < 3000 THEN 'NYC-DC1' WHEN bucket < 5500 THEN 'LON-DC2' WHEN bucket < 7300 THEN 'SYD-DC3'
+            WHEN bucket < 8500 THEN 'TKY-DC4' ELSE 'SFO-DC5' END AS site, count(*) AS n
+FROM drawn GROUP BY 1
+"""

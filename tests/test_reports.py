@@ -246,3 +246,16 @@ def test_residuals_and_headroom(spark):
     row = reports.peak_and_headroom(fc).first()
     assert row.peak_gbps == pytest.approx(20 + 23 + 167 / 24) and row.min_headroom_gbps == pytest.approx(75 - row.peak_gbps)
     assert row.peak_hour == START + dt.timedelta(hours=5 * 168 - 1)
+
+
+def test_an_event_without_an_end_goes_on(spark):
+    from fluxgauge.operators.joins import event_flags
+
+    ticks = spark.sql(
+        "SELECT 'n' AS node_id, TIMESTAMP_NTZ'2024-01-01 00:30:00' + make_dt_interval(0, h) AS timestamp FROM range(4) t(h)"
+    )
+    events = spark.sql(
+        "SELECT 'n' AS node_id, TIMESTAMP_NTZ'2024-01-01 01:00:00' AS start, CAST(NULL AS TIMESTAMP_NTZ) AS end, 'geo' AS kind"
+    )
+    got = {r.timestamp.hour: r.geo_event_flag for r in event_flags(ticks, events).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1}

@@ -185,3 +185,11 @@ def test_native_dominant_bin_equals_fft(spark):
     )
     plain = add_fft_peaks(df, Series(), (24,)).select("site", "timestamp", F.col("fft_peak_24").alias("p"))
     assert native.exceptAll(plain).count() == 0 and native.count() == 110
+
+
+def test_densify_keeps_stamps_within_the_hour_and_rows_without_a_key(spark):
+    rows = [("A", "2024-01-01 03:30:00", 9.0), ("A", "2024-01-01 05:00:00", 1.0), (None, "2024-01-01 04:00:00", 7.0)]
+    df = spark.createDataFrame(rows, "site string, timestamp string, total_gbps double")
+    df = df.withColumn("timestamp", df.timestamp.cast("timestamp_ntz"))
+    got = {(r.site, r.timestamp.hour): r.total_gbps for r in densify(df).collect()}
+    assert got == {("A", 3): 9.0, ("A", 4): None, ("A", 5): 1.0, (None, 3): None, (None, 4): 7.0, (None, 5): None}
