@@ -22,6 +22,7 @@ so the classes are those of all links. Equal sets are one point of the space.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -34,13 +35,15 @@ from fluxgauge.llm.graph import components
 from fluxgauge.llm.tables import NO_ID, Stages, keyed, public_id
 from fluxgauge.llm.text import buffer, lists, mix, slices, split_words, windows
 
-BINS = 32
+BINS = 128
 #: A shingle is common if it makes up this share of all shingles; so at most twice 2**18 are, 4 MB.
 COMMON_SHARE = 2**-18
 #: In how many documents at least.
 COMMON_LEAST = 16
 #: Cells up to this size are joined by size windows alone; larger ones are split around pivots.
 SMALL_CELL = 256
+#: Blocks in which cells are joined.
+BLOCKS = 4
 #: Most members of a region that one task joins; larger ones are joined block against block.
 REGION = 4096
 
@@ -115,7 +118,7 @@ def sketches(docs: DataFrame, size: int, similarity: tuple[int, int], common: np
             n_docs = len(counts)
             owner = np.repeat(np.arange(n_docs), counts)
             bins = np.zeros((n_docs, BINS), np.int64)
-            np.add.at(bins, (owner, (flat >> np.uint64(59)).astype(np.int64)), 1)
+            np.add.at(bins, (owner, (flat >> np.uint64(57)).astype(np.int64)), 1)
             fp1, fp2 = np.zeros(n_docs, np.uint64), np.zeros(n_docs, np.uint64)
             np.add.at(fp1, owner, mix(flat ^ np.uint64(0x5851F42D4C957F2D)))
             np.add.at(fp2, owner, mix(flat ^ np.uint64(0x14057B7EF767814F)))
@@ -132,7 +135,7 @@ def sketches(docs: DataFrame, size: int, similarity: tuple[int, int], common: np
                 k = need[d]
                 parts.append(np.partition(own, k - 1)[:k] if 0 < k < len(own) else own)
             pivots = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            packed = np.minimum(bins, 65535).astype(np.uint16)
+            packed = np.minimum(bins, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
@@ -151,7 +154,7 @@ def sketches(docs: DataFrame, size: int, similarity: tuple[int, int], common: np
 
 
 def unpack(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, BINS).astype(np.int32)
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BINS).astype(np.int32)
 
 
 def within(l1: np.ndarray, sizes: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
@@ -361,6 +364,7 @@ def linked_classes(
 
     tagged = cells.select("cell", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     tagged = stages.put(tagged)
+    stages.drop(cells)
     mixed = stages.put(
         tagged.groupBy("cell")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k"))
@@ -369,7 +373,10 @@ def linked_classes(
     )
     facts = classes.select("node", "n", "bins")
     small = tagged.join(mixed.where(F.col("k") <= SMALL_CELL).select("cell"), "cell").join(facts, "node")
-    few = _cell_pairs(small, similarity)
+    # Cells block by block, so that only a part of their members is on its way at a time.
+    few = [
+        stages.put(_cell_pairs(small.where(F.pmod("cell", F.lit(BLOCKS)) == k), similarity).distinct()) for k in range(BLOCKS)
+    ]
     large = tagged.join(mixed.where(F.col("k") > SMALL_CELL), "cell").select("cell", "node", "label")
     crowd = large.join(facts, "node")
 
@@ -390,7 +397,7 @@ def linked_classes(
         return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
 
     pairs = _blocks(crowd, similarity, region).groupBy("cell", "band", "i", "j").applyInPandas(join_region, "a long, b long")
-    more = _verified(stages.put(pairs.union(few).distinct()), classes, docs, shingle, similarity, stages)
+    more = _verified(stages.put(functools.reduce(DataFrame.union, few, pairs).distinct()), classes, docs, shingle, similarity, stages)
     final = components(stages.put(links.union(more)), stages)
 
     named = classes.select("node", "fp1", "fp2", "n", "id").join(final, "node", "left").withColumn(
