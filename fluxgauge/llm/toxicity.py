@@ -109,8 +109,12 @@ class Decoder:
             keep = [(c, -0.05)]
             # A repeated letter may be one that was dragged out; twice may be right.
             return keep + [("", -1.0)] if i and text[i - 1] == c else keep
-        stands = [(letter, -0.7) for letter in LEET.get(c, "")] + [(" ", -3.0 if c in LEET else -0.2)]
-        return stands + [("", -0.3)] if spread and c in APART else stands
+        stands = [(letter, -0.7) for letter in LEET.get(c, "")] + [(" ", -6.0 if c in LEET else -0.2)]
+        if c in LEET and i and text[i - 1] == c:
+            stands.append(("", -0.5))
+            return stands
+        # Between letters set apart, a gap is most likely the channel's work.
+        return [*stands[:-1], (" ", -6.0), ("", -0.1)] if spread and c in APART else stands
 
     def _decode(self, text: str) -> str:
         # Set apart: single letters with gaps between them all along.
