@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from fluxgauge.llm.tables import Stages
 
 
-def components(edges: DataFrame, stages: Stages) -> DataFrame:
-    """``(node, label)`` for every node of ``edges(a, b)``; the label is one node of the component.
+def linked_labels(edges: DataFrame, stages: Stages) -> DataFrame:
+    """``(node, label)`` for the nodes of ``edges(a, b)``; the label is one node of the component.
+
+    That one node has no row of its own: whoever joins the table takes a node without a row as
+    its own label.
 
     Every node with a smaller neighbour takes the smallest as its parent, parents are followed to
     their roots by doubling, and edges between roots are the next round's. Only narrow rows move,
@@ -45,16 +48,11 @@ def components(edges: DataFrame, stages: Stages) -> DataFrame:
         contracted = stages.put(
             ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         )
-        nodes = roots.select("node", F.col("parent").alias("label")).union(
-            edges.select(F.col("a").alias("node"), F.col("a").alias("label")).join(
-                roots.select("node"), "node", "left_anti"
-            ).distinct()
-        )
-        if labels is None:
-            merged = nodes
-        else:
+        merged = roots.select("node", F.col("parent").alias("label"))
+        if labels is not None:
             higher = roots.select(F.col("node").alias("label"), F.col("parent").alias("root"))
-            merged = labels.join(higher, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+            known = labels.join(higher, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+            merged = known.union(merged)
         done, labels = labels, stages.put(merged)
         stages.drop(edges)
         if done is not None:
@@ -62,3 +60,9 @@ def components(edges: DataFrame, stages: Stages) -> DataFrame:
         edges = contracted
     stages.drop(edges)
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
+
+
+def components(edges: DataFrame, stages: Stages) -> DataFrame:
+    """``(node, label)`` for every node of ``edges(a, b)``, those that are labels included."""
+    labels = linked_labels(edges, stages)
+    return labels.union(labels.select(F.col("label").alias("node"), "label").distinct())

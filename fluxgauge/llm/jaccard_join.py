@@ -22,7 +22,6 @@ so the classes are those of all links. Equal sets are one point of the space.
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxgauge.llm.graph import components
+from fluxgauge.llm.graph import linked_labels
 from fluxgauge.llm.tables import NO_ID, Stages, keyed, public_id
 from fluxgauge.llm.text import buffer, lists, mix, slices, split_words, windows
 
@@ -42,8 +41,6 @@ COMMON_SHARE = 2**-18
 COMMON_LEAST = 16
 #: Cells up to this size are joined by size windows alone; larger ones are split around pivots.
 SMALL_CELL = 256
-#: Blocks in which cells are joined.
-BLOCKS = 4
 #: Most members of a region that one task joins; larger ones are joined block against block.
 REGION = 4096
 
@@ -257,24 +254,60 @@ def _band(similarity: tuple[int, int]):
     return F.floor(F.log("n") / F.lit(math.log(den / num) if num < den else 1.0) + 1e-9)
 
 
+def _windowed(cell, node, label, n, bins, similarity: tuple[int, int]) -> pa.RecordBatch:
+    """Pairs of different labels in whole cells, whose members are in order of size.
+
+    Every member meets those after it in its cell, at distance 1, 2, ..., until one is too large.
+    """
+    num, den = similarity
+    found, i, step = [], np.arange(len(node)), 1
+    while len(i):
+        i = i[i < len(node) - step]
+        i = i[(cell[i] == cell[i + step]) & (n[i] * den >= n[i + step] * num)]
+        p = i[label[i] != label[i + step]]
+        for at in range(0, len(p), 8192):
+            x = p[at : at + 8192]
+            y = x + step
+            x_, y_ = bins[x].astype(np.int16), bins[y].astype(np.int16)
+            ok = within(np.abs(x_ - y_).sum(-1, dtype=np.int64), n[x] + n[y], similarity)
+            x, y = node[x[ok]], node[y[ok]]
+            found.append((np.minimum(x, y), np.maximum(x, y)))
+        step += 1
+    pairs = np.concatenate([np.stack(f, 1) for f in found]) if found else np.zeros((0, 2), np.int64)
+    pairs = np.unique(pairs, axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
 def _cell_pairs(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs of different labels in cells of at most ``SMALL_CELL`` members, by size windows."""
-    own = members.withColumn("band", _band(similarity))
-    seen = own.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("shift"))
-    both = (
-        own.select("cell", "band", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("bins").alias("ba"))
-        .join(
-            seen.select(
-                "cell", "band", "shift", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("bins").alias("bb")
-            ),
-            ["cell", "band"],
-        )
-        .where("la <> lb and (shift = 1 or a < b)")
-        .where(_size_fits(similarity))
-        .select("a", "b", "na", "nb", "ba", "bb")
-    )
-    found = both.mapInArrow(_unlike(similarity), "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    """Pairs of different labels in cells of at most ``SMALL_CELL`` members, by size windows.
+
+    A cell's members come one after the other; of a batch, the last cell waits for the next one.
+    """
+
+    def run(batches):
+        waiting: list[pa.RecordBatch] = []
+
+        def joined():
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            columns = (table.column(c).to_numpy() for c in ("cell", "node", "label", "n"))
+            bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+            return _windowed(*columns, bins, similarity)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = batch.column("cell").to_numpy()
+            last = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if (cell != cell[-1]).any() else 0
+            if last or waiting and waiting[-1].column("cell")[-1].as_py() != cell[0]:
+                waiting.append(batch.slice(0, last))
+                yield joined()
+                waiting = []
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield joined()
+
+    ordered = members.select("cell", "node", "label", "n", "bins").repartition("cell").sortWithinPartitions("cell", "n")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity, stages: Stages) -> DataFrame:
@@ -360,7 +393,7 @@ def linked_classes(
     cells = stages.put(members.join(centres.select("cell", "centre"), "cell"))
     stars = cells.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = _verified(stages.put(_near(stars, classes, similarity)), classes, docs, shingle, similarity, stages)
-    labels = components(links, stages)
+    labels = linked_labels(links, stages)
 
     tagged = cells.select("cell", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     tagged = stages.put(tagged)
@@ -373,10 +406,7 @@ def linked_classes(
     )
     facts = classes.select("node", "n", "bins")
     small = tagged.join(mixed.where(F.col("k") <= SMALL_CELL).select("cell"), "cell").join(facts, "node")
-    # Cells block by block, so that only a part of their members is on its way at a time.
-    few = [
-        stages.put(_cell_pairs(small.where(F.pmod("cell", F.lit(BLOCKS)) == k), similarity).distinct()) for k in range(BLOCKS)
-    ]
+    few = _cell_pairs(small, similarity)
     large = tagged.join(mixed.where(F.col("k") > SMALL_CELL), "cell").select("cell", "node", "label")
     crowd = large.join(facts, "node")
 
@@ -397,8 +427,8 @@ def linked_classes(
         return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
 
     pairs = _blocks(crowd, similarity, region).groupBy("cell", "band", "i", "j").applyInPandas(join_region, "a long, b long")
-    more = _verified(stages.put(functools.reduce(DataFrame.union, few, pairs).distinct()), classes, docs, shingle, similarity, stages)
-    final = components(stages.put(links.union(more)), stages)
+    more = _verified(stages.put(few.union(pairs).distinct()), classes, docs, shingle, similarity, stages)
+    final = linked_labels(stages.put(links.union(more)), stages)
 
     named = classes.select("node", "fp1", "fp2", "n", "id").join(final, "node", "left").withColumn(
         "label", F.coalesce("label", "node")

@@ -112,6 +112,40 @@ def test_jaccard_crowded_cells_use_pivots_and_blocks(spark, odd_texts, monkeypat
     assert got == jaccard_classes(odd_texts, 2, 1, 2)
 
 
+def test_jaccard_cells_may_span_arrow_batches(spark, odd_texts):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        got = jaccard_join.component_report(table(spark, odd_texts), shingle=2, similarity=(1, 2))
+        assert by_id(got, "n_shingles", "component_id") == jaccard_classes(odd_texts, 2, 1, 2)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_size_windows_lose_no_pair(spark):
+    """Cells of random sizes, members in order of size, cut into batches anywhere."""
+    rng = np.random.default_rng(5)
+    rows = 300
+    cell, label = np.sort(rng.integers(0, 12, rows)), rng.integers(0, 40, rows)
+    base = rng.integers(0, 6, (20, jaccard_join.BINS))
+    bins = np.maximum(base[rng.integers(0, 20, rows)] + (rng.random((rows, jaccard_join.BINS)) < 0.05), 0)
+    n = bins.sum(1)
+    frame = [(int(c), i, int(g), int(k), bytearray(b.astype(np.uint8))) for i, (c, g, k, b) in enumerate(zip(cell, label, n, bins))]
+    members = spark.createDataFrame(frame, "cell long, node long, label long, n long, bins binary")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        got = sorted(tuple(r) for r in jaccard_join._cell_pairs(members, (90, 100)).distinct().collect())
+    finally:
+        spark.conf.set(key, before)
+    l1 = np.abs(bins[:, None] - bins[None]).sum(-1)
+    fits = jaccard_join.within(l1, n[:, None] + n[None], (90, 100)) & (np.minimum(n[:, None], n) * 100 >= np.maximum(n[:, None], n) * 90)
+    want = fits & (cell[:, None] == cell) & (label[:, None] != label)
+    assert got == [(a, b) for a, b in np.argwhere(want).tolist() if a < b] and len(got) > 20
+
+
 def test_region_pairs_lose_no_pair():
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 40, (30, jaccard_join.BINS))
