@@ -306,8 +306,7 @@ _KPI_SQL = f"""SELECT *, 100 - utilization_pct AS bandwidth_headroom_pct,
   CASE WHEN latency_ms IS NOT NULL THEN total_gbps / greatest(latency_ms, 1.0) END AS efficiency_ratio,
   (total_gbps - lag_24h) / nullif(lag_24h, 0) AS traffic_growth_rate,
   roll_max_24h / nullif(roll_mean_24h, 0) AS peak_to_avg_ratio
-  FROM (SELECT *, lag(total_gbps, 1) {W} AS lag_1h, lag(total_gbps, 24) {W} AS lag_24h,
-    lag(total_gbps, 168) {W} AS lag_168h FROM ({_rolling('grid', 24)}))"""
+  FROM (SELECT *, {_LAG_COLS} FROM ({_rolling('grid', 24)}))"""
 _KPI = "bandwidth_headroom_pct traffic_intensity_index quality_score efficiency_ratio traffic_growth_rate peak_to_avg_ratio"
 ORACLE["derived_kpis"] = (
     _with(*DENSE) + f"SELECT site, timestamp, congestion_risk, {_r(_KPI)} FROM ({_KPI_SQL})"
@@ -321,15 +320,13 @@ ORACLE["cross_site_signals"] = (
     + f"""SELECT site, timestamp, site_rank_current_hour,
   {_r('utilization_pct site_relative_to_avg cross_site_stddev')} FROM (SELECT *, {_CROSS} FROM grid)"""
 )
-ORACLE["cross_site_correlation"] = (
-    _with(
-        *DENSE,
-        """o AS (SELECT *, (sum(utilization_pct) OVER (PARTITION BY timestamp) - utilization_pct)
+CORRELATION = """o AS (SELECT *, (sum(utilization_pct) OVER (PARTITION BY timestamp) - utilization_pct)
   / (count(*) OVER (PARTITION BY timestamp) - 1) AS m, row_number() OVER (PARTITION BY site ORDER BY timestamp) AS rn FROM grid),
 c AS (SELECT a.site, a.timestamp, CASE WHEN stddev_pop(b.utilization_pct) = 0 OR stddev_pop(b.m) = 0 THEN NULL
   ELSE corr(b.utilization_pct, b.m) END AS cross_site_correlation_index
-  FROM o a JOIN o b ON a.site = b.site AND b.rn BETWEEN a.rn - 23 AND a.rn GROUP BY a.site, a.timestamp)""",
-    )
+  FROM o a JOIN o b ON a.site = b.site AND b.rn BETWEEN a.rn - 23 AND a.rn GROUP BY a.site, a.timestamp)"""
+ORACLE["cross_site_correlation"] = (
+    _with(*DENSE, CORRELATION)
     + f"SELECT site, timestamp, {_r('cross_site_correlation_index', 6)} FROM c"
 )
 
@@ -396,12 +393,20 @@ ORACLE["baseline_stats"] = (
     + f"""SELECT node_id, {_r('mu sigma')} FROM (SELECT node_id, avg(throughput_gbps) AS mu,
   stddev_samp(throughput_gbps) AS sigma FROM nt WHERE timestamp >= {_NOW} - INTERVAL 7 DAY GROUP BY node_id)"""
 )
+_DIFFS = "diff_1 diff_24 vs_same_hour_yesterday vs_same_hour_last_week"
+_SIGNALS = "site_relative_to_avg cross_site_stddev cross_site_correlation_index zscore_24h zscore_1h"
 ORACLE["hourly_features"] = (
-    _with(*DENSE)
-    + f"""SELECT site, timestamp, {_int(CAL_INT)}, congestion_risk, site_rank_current_hour, {_int(_FLAGS)},
-  {_r(CAL_DOUBLE + ' lag_1h lag_24h lag_168h roll_mean_3h roll_std_24h roll_mean_168h ' + _KPI + ' site_relative_to_avg cross_site_stddev zscore_24h zscore_1h')},
+    _with(*DENSE, CORRELATION)
+    + f"""SELECT f.site, f.timestamp, {_int(CAL_INT)}, congestion_risk, site_rank_current_hour, {_int(_FLAGS)},
+  {_r(' '.join([CAL_DOUBLE, _LAG_NAMES, _DIFFS, _ROLL, _KPI, _SIGNALS]), cross_site_correlation_index=6)},
+  CASE WHEN utilization_pct >= usual + 30 THEN 'ddos' WHEN utilization_pct <= 0.2 * usual THEN 'maintenance'
+    WHEN bgp_peers_up < peers THEN 'bgp_flap' END AS detected_type,
   CAST({_VOTES.format(t=3)} AS INTEGER) AS ensemble_votes
-FROM (SELECT *, {_CROSS}, {_calendar('timestamp')} FROM ({_indicators('(' + _KPI_SQL + ')', 3, False, 6, 3, None)}))"""
+FROM (SELECT *, {_CROSS}, {_calendar('timestamp')}, total_gbps - lag_1h AS diff_1, total_gbps - lag_24h AS diff_24,
+  total_gbps / nullif(lag_24h, 0) AS vs_same_hour_yesterday, total_gbps / nullif(lag_168h, 0) AS vs_same_hour_last_week,
+  avg(utilization_pct) {_prior(24)} AS usual, lag(bgp_peers_up, 1) {W} AS peers
+  FROM ({_indicators('(' + _KPI_SQL + ')', 3, False, 6, 3, None)})) f
+LEFT JOIN c ON c.site = f.site AND c.timestamp = f.timestamp"""
 )
 
 # ---- flows ------------------------------------------------------------------------------
@@ -548,13 +553,17 @@ _NODE_DOUBLES = (
     "throughput_gbps hour_sin hour_cos rolling_mean_1h rolling_std_1h rolling_mean_6h rolling_max_24h "
     "rolling_min_24h ewm_30pct kurtosis_1h skewness_1h utilization_pct packet_loss_rate avg_latency_ms jitter_ms "
     "active_flows bytes_io_ratio top_talker_share protocol_entropy lag_1h lag_2h lag_24h lag_48h lag_168h "
-    "diff_1 diff_24 cdn_req_norm dns_qps_norm ntp_drift_proxy spectral_entropy periodogram_power"
+    "diff_1 diff_24 cdn_req_norm dns_qps_norm ntp_drift_proxy spectral_entropy periodogram_power "
+    "fft_peak_24 fft_peak_168"
 )
 ORACLE["node_features"] = (
     _with(
         *TICKS,
         EXOG,
         _MOMENTS,
+        f"m AS (SELECT node_id, event_id, throughput_gbps AS x, row_number() {WN} AS rn FROM nt)",
+        _peaks(24),
+        _peaks(168),
         f"""nf AS (SELECT nt.*, {_NORM}, hour(timestamp) AS hour_of_day, dayofweek(timestamp) AS day_of_week,
   CASE WHEN isodow(timestamp) >= 6 THEN 1 ELSE 0 END AS is_weekend,
   CASE WHEN hour(timestamp) BETWEEN 8 AND 20 THEN 1 ELSE 0 END AS is_peak_hour, month(timestamp) AS month,
@@ -572,7 +581,8 @@ nw AS (SELECT nf.*, avg(throughput_gbps) {_node(12)} AS rolling_mean_1h, stddev_
         + """ FROM nf),
 nx AS (SELECT nw.*, kurtosis_1h, skewness_1h, throughput_gbps - lag_1h AS diff_1, throughput_gbps - lag_24h AS diff_24,
   throughput_gbps / (rolling_max_24h + 1e-9) AS top_talker_share, rolling_std_1h / (rolling_mean_1h + 1e-9) AS protocol_entropy,
-  rolling_std_1h AS ntp_drift_proxy FROM nw JOIN mg ON mg.event_id = nw.event_id WHERE lag_168h IS NOT NULL)""",
+  rolling_std_1h AS ntp_drift_proxy, fft_peak_24, fft_peak_168 FROM nw JOIN mg ON mg.event_id = nw.event_id
+  LEFT JOIN f24 ON f24.event_id = nw.event_id LEFT JOIN f168 ON f168.event_id = nw.event_id WHERE lag_168h IS NOT NULL)""",
     )
     + f"""SELECT timestamp, event_id, node_id, region,
   {_int('hour_of_day day_of_week is_weekend is_peak_hour month quarter week_of_year is_holiday bgp_updates geo_event_flag maintenance_flag')},
@@ -582,9 +592,9 @@ ORACLE["announced_event_flags"] = (
     _with(
         *TICKS,
         """an AS (SELECT 'node-' || (o_orderkey % 5) AS node_id,
-  TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(o_orderkey % 700 AS INTEGER) AS b,
-  TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(o_orderkey % 700 + o_orderkey % 48 + 6 AS INTEGER) AS e,
-  o_orderkey % 2 AS p FROM orders WHERE o_totalprice > 400000)""",
+  TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * CAST(o_orderkey * 7 % 42000 AS INTEGER) AS b,
+  TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * CAST(o_orderkey * 7 % 42000 + o_orderkey % 48 + 6 AS INTEGER) AS e,
+  o_orderkey % 2 AS p FROM orders)""",
     )
     + "SELECT node_id, event_id, "
     + ", ".join(

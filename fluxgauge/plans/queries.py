@@ -268,14 +268,17 @@ FEATURE_INPUT = [
 
 @query
 def hourly_features(spark, sf):
-    """All hourly features in one plan."""
+    """The hourly features in one plan: calendar, lags, rolling, KPIs, cross-site, anomalies."""
     rows = features(b.grid_view(spark, sf, *FEATURE_INPUT), chunks=TimeChunks())
     wanted = [
-        *TEMPORAL, *[f"lag_{n}h" for n in (1, 24, 168)], "roll_mean_3h", "roll_std_24h",
-        "roll_mean_168h", *KPIS, "site_rank_current_hour", "site_relative_to_avg",
-        "cross_site_stddev", *INDICATORS, "ensemble_votes",
+        *TEMPORAL, *[f"lag_{n}h" for n in (1, 2, 3, 6, 12, 24, 48, 168)], "diff_1", "diff_24",
+        "vs_same_hour_yesterday", "vs_same_hour_last_week",
+        *[f"roll_{m}_{n}h" for n in (3, 6, 24) for m in ("mean", "std")],
+        "roll_max_24h", "roll_min_24h", "roll_mean_168h", *KPIS, "site_rank_current_hour",
+        "site_relative_to_avg", "cross_site_stddev", "cross_site_correlation_index", *INDICATORS,
+        "detected_type", "ensemble_votes",
     ]
-    return exact(rows.select("site", "timestamp", *wanted))
+    return exact(rows.select("site", "timestamp", *wanted), cross_site_correlation_index=6)
 
 
 # ---- flows ------------------------------------------------------------------------------
@@ -416,19 +419,19 @@ def exog_norm(spark, sf):
 
 @query
 def node_features_(spark, sf):
-    rows = node_features(b.node_view(spark, sf), TICKS, peaks=False)
+    rows = node_features(b.node_view(spark, sf), TICKS)
     return exact(rows, kurtosis_1h=6, skewness_1h=6, periodogram_power=6)
 
 
 def _announced(spark, sf):
-    """Event intervals taken from the largest orders: nodes in turn, 6 to 53 hours long."""
-    orders = spark.read.parquet(f"{sf}/orders.parquet").filter(F.col("o_totalprice") > 400_000)
+    """Event intervals taken from all orders: nodes in turn, 6 to 53 minutes long."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
     key = F.col("o_orderkey")
-    start = moment("2024-01-01 00:00:00") + hours(key % 700)
+    start = moment("2024-01-01 00:00:00") + F.make_dt_interval(mins=(key * 7 % 42_000).cast("int"))
     return orders.select(
         F.concat(F.lit("node-"), (key % 5).cast("string")).alias("node_id"),
         start.alias("start"),
-        (start + hours(key % 48 + 6)).alias("end"),
+        (start + F.make_dt_interval(mins=(key % 48 + 6).cast("int"))).alias("end"),
         F.when(key % 2 == 0, "geo").otherwise("maintenance").alias("kind"),
     )
 
