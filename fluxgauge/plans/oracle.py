@@ -656,7 +656,7 @@ WHERE is_anomaly AND timestamp >= (SELECT max(timestamp) FROM ht) - INTERVAL 240
 ORACLE["platform_summary"] = (
     _with(*HOURLY, CURRENT)
     + f"""SELECT sites_monitored, {_r('total_traffic_gbps avg_utilization_pct')}, high_utilization_count,
-  CAST(48 AS INTEGER) AS features_engineered, data_points, CAST(168 AS INTEGER) AS forecasting_horizon_hours
+  CAST(55 AS INTEGER) AS features_engineered, data_points, CAST(168 AS INTEGER) AS forecasting_horizon_hours
 FROM (SELECT count(*) AS sites_monitored, sum(coalesce(total_gbps, 0)) AS total_traffic_gbps,
   avg(nullif(utilization_pct, 0)) AS avg_utilization_pct,
   count(*) FILTER (utilization_pct > 80) AS high_utilization_count,

@@ -13,6 +13,7 @@ from fluxgauge.functions.numeric import round_half_up
 from fluxgauge.functions.protocol import with_traffic_type
 from fluxgauge.functions.spectral import register_functions
 from fluxgauge.operators import aggregate, anomaly, cross_site, exog, flows, forecast, reports, spine
+from fluxgauge.operators.catalogue import catalogue
 from fluxgauge.operators.joins import event_flags, with_capacity
 from fluxgauge.operators.kpis import add_kpis
 from fluxgauge.operators.lags import add_lags, add_time_lags
@@ -480,7 +481,7 @@ def platform_summary(spark, sf):
     hourly = b.hourly_view(spark, sf).select("site", "timestamp", "total_gbps", "utilization_pct")
     hourly = materialize(hourly)
     current = reports.current_kpis(hourly)
-    return exact(reports.platform_summary(current, hourly, features=48, digits=False))
+    return exact(reports.platform_summary(current, hourly, features=catalogue(spark).count(), digits=False))
 
 
 @query
