@@ -2,7 +2,8 @@
 
 Hosts without a rule are judged by two personalised PageRanks over host edges: trust flows from
 hosts that rules allow along links, distrust from hosts that rules block against the links, to
-those that link to them. All of it is DataFrame work; only two totals reach the driver.
+those that link to them, until the ranks settle. All of it is DataFrame work; only totals, and one
+number every few rounds, reach the driver.
 """
 
 from __future__ import annotations
@@ -20,7 +21,12 @@ RULES = [
     ("allow", "org", "/fr/"),
 ]
 DAMPING = 0.85
+#: Rounds between two looks at how far the ranks have settled.
 ROUNDS = 8
+#: Ranks have settled once no host's rank changes by more than this share of itself within ROUNDS.
+TOLERANCE = 1e-6
+#: Ranks below this have few digits left; whether they are there still counts, their change does not.
+TINY = 1e-300
 #: A host is blocked if this share of what reached it is distrust.
 SHARE = 0.5
 
@@ -65,29 +71,58 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(family).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, stages: Stages, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def change(before: DataFrame, after: DataFrame) -> float:
+    """The largest change of a rank as a share of itself; 1 or more while new hosts are reached."""
+    was = before.withColumnRenamed("rank", "was")
+    share = (
+        F.when(F.col("was").isNull(), F.lit(1.0))
+        .when(F.col("rank") < TINY, F.lit(0.0))
+        .otherwise(F.abs(F.col("rank") - F.col("was")) / F.col("rank"))
+    )
+    return after.join(was, ["kind", "host"], "left").agg(F.max(share)).first()[0] or 0.0
+
+
+def spread(
+    edges: DataFrame,
+    seeds: DataFrame,
+    stages: Stages,
+    rounds: int = ROUNDS,
+    damping: float = DAMPING,
+    tolerance: float = TOLERANCE,
+) -> DataFrame:
     """``(kind, host, rank)``: personalised PageRank per kind of ``edges(kind, src, dst, p)``.
 
     ``seeds(kind, host, rank)`` sum to one per kind. What reaches a host without links ends there.
-    Sums combine before each shuffle, and a hot host's edges are one row per neighbour.
+    Sums combine before each shuffle, and a hot host's edges are one row per neighbour. Every
+    ``rounds`` rounds the ranks are staged and compared with those before. It ends when no host is
+    newly reached, none changes by more than ``tolerance`` of itself, and what is still on its way,
+    at most ``damping ** done`` of all rank, is within the tolerance too.
     """
-    ranks = seeds
-    for k in range(rounds):
-        moved = edges.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (F.col("p") * F.col("rank") * damping).alias("rank")
-        )
-        restart = seeds.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))
-        ranks = moved.union(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if k % 4 == 3:
-            before, ranks = ranks, stages.put(ranks)
-    return ranks
+    restart = seeds.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))
+    before, done = stages.put(seeds), 0
+    while True:
+        ranks = before
+        for _ in range(rounds):
+            moved = edges.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select(
+                "kind", F.col("dst").alias("host"), (F.col("p") * F.col("rank") * damping).alias("rank")
+            )
+            ranks = moved.union(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        ranks, done = stages.put(ranks), done + rounds
+        moving = change(before, ranks)
+        stages.drop(before)
+        # Without a host that has both a rank and links, nothing moves after the first rounds.
+        if moving == 0 or moving <= tolerance and damping**done <= tolerance:
+            return ranks
+        before = ranks
 
 
-def judged(pages: DataFrame, rules=RULES, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, share: float = SHARE, tolerance: float = TOLERANCE) -> DataFrame:
     """``page_id, host, path, rule, verdict`` per row of ``pages(page_id, url, html)``.
 
     Urls that are null or have no ``://`` have empty host and path, fit no rule, and are allowed,
-    as are hosts that neither trust nor distrust reaches. Repeated rows are judged each. An empty
+    as are hosts that neither trust nor distrust reaches. A host that only distrust reaches is
+    blocked however far it is; a share that exceeds ``share`` by no more than ``tolerance`` of it
+    is a tie and allowed. Repeated rows are judged each. An empty
     table gives an empty result; other columns are not read.
     """
     stages = Stages(pages.sparkSession)
@@ -118,12 +153,15 @@ def judged(pages: DataFrame, rules=RULES, share: float = SHARE, rounds: int = RO
     )
     out = both.groupBy("kind", "src").agg(F.sum("w").alias("out"))
     flows = stages.put(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("out")).alias("p")))
-    ranks = spread(flows, seeds, stages, rounds)
+    ranks = spread(flows, seeds, stages, tolerance=tolerance)
     scores = ranks.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"),
+        F.count_if(F.col("kind") == "trust").alias("trusting"),
     )
-    blocked = stages.put(scores.where(F.col("distrust") > share * (F.col("trust") + F.col("distrust"))).select("host", F.lit(True).alias("bad")))
+    above = F.col("distrust") > share * (1 + tolerance) * (F.col("trust") + F.col("distrust"))
+    alone = (F.col("trusting") == 0) & F.lit(share < 1)
+    blocked = stages.put(scores.where(above | alone).select("host", F.lit(True).alias("bad")))
     named = ruled.drop("html").join(blocked, "host", "left")
     last = F.coalesce("ruled", F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow")))
     return named.select("page_id", "host", "path", "rule", last.alias("verdict"))

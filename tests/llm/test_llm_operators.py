@@ -354,6 +354,37 @@ def test_url_rules_and_trust(spark):
     assert got[9] == ("net", "", None, "block") and got[10] == ("dotnet", "/", None, "allow")
 
 
+def test_trust_settles_however_far_the_rules_are(spark):
+    link = '<a href="http://{}/">'.format
+    # A chain to a blocked host, twenty links long, and random links among hosts that both kinds reach.
+    links = [(f"chain{k}.test", f"chain{k - 1}.test" if k else "bad.net") for k in range(20)]
+    rng = random.Random(4)
+    names = [f"h{k}.test" for k in range(30)]
+    links += [(names[k], names[k + 1]) for k in range(29)] + [(names[k + 1], names[k]) for k in range(29)]
+    links += [(rng.choice(names), rng.choice(names)) for _ in range(4)]
+    links += [("good.org", names[0]), (names[29], "worse.net"), (names[14], "worse.net")]
+    links = [x for x in links if x[0] != x[1]]
+    rows = [(k, f"http://{a}/fr/", link(b)) for k, (a, b) in enumerate(links)]
+    rows += [(len(rows) + k, f"http://{a}/fr/", "") for k, a in enumerate(("bad.net", "worse.net"))]
+    got = link_trust.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    verdict = {r.host: r.verdict for r in got}
+    assert all(verdict[f"chain{k}.test"] == "block" for k in range(20))
+    hosts = sorted({h for x in links for h in x})
+    at = {h: k for k, h in enumerate(hosts)}
+    edges = np.zeros((len(hosts), len(hosts)))
+    for a, b in links:
+        edges[at[a], at[b]] += 1
+
+    def rank(edges, seeds):
+        share = edges / np.maximum(edges.sum(1, keepdims=True), 1)
+        start = np.array([seeds.count(h) / len(seeds) for h in hosts])
+        return np.linalg.solve(np.eye(len(hosts)) - link_trust.DAMPING * share.T, (1 - link_trust.DAMPING) * start)
+
+    trust, distrust = rank(edges, ["good.org"]), rank(edges.T, ["bad.net", "worse.net"])
+    for h in names:
+        assert (verdict[h] == "block") == (distrust[at[h]] > trust[at[h]]), h
+
+
 SF = "/root/testdata/sf0.01"
 
 
