@@ -1,14 +1,17 @@
 """Toxicity scores of deobfuscated text.
 
 A writer who hides a word sends it through a noisy channel: letters become digits and signs,
-letters are repeated, or set apart by spaces. Spans with such traces are decoded by Viterbi search
-over the lattice of what each character may stand for, under a character trigram model of the
-corpus. The restored text, and the text as it is, are scored by a logistic model over character
+letters are repeated, or set apart. Every word of letters with a sign or a doubled letter, and every
+run of single letters and signs, is decoded by Viterbi search over the lattice of what each
+character may stand for, under a character trigram model of the corpus; no other word has more than
+one reading there. The restored text, and the text as it is, are scored by a logistic model over character
 n-grams learned from a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +29,9 @@ SIZE = 5
 #: Longest span decoded at once; longer ones are decoded part by part.
 SPAN = 96
 
+#: Cost of reading a doubled letter as a single one.
+DOUBLE = -3.0
+
 #: The letters that digits and signs stand for.
 LEET = {
     "0": "o",
@@ -42,7 +48,6 @@ LEET = {
     "|": "li",
     "+": "t",
 }
-APART = " .-_*"
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -50,8 +55,10 @@ _LETTER[65:91] = True
 _LETTER[128:] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in LEET]] = True
-_GAP = np.zeros(256, bool)
-_GAP[[ord(c) for c in APART]] = True
+#: What may set letters apart: neither letter, sign, digit nor apostrophe.
+_GAP = ~(_LETTER | _SIGN)
+_GAP[[*range(48, 58), 39]] = False
+_APART = re.compile("[^a-z0-9" + re.escape("".join(LEET)) + "'\x80-\U0010ffff]+")
 _FOLD = np.where(_LETTER, LOWER, 32).astype(np.uint8)
 #: Classes of the character model: 0 no letter, 1-26 a-z, 27 other letters.
 _CLASS = np.zeros(256, np.int64)
@@ -91,6 +98,7 @@ class Decoder:
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
         self.known: dict[bytes, bytes] = {}
+        self.seen: dict[bytes, np.ndarray | None] = {}
 
     def restore(self, span: bytes) -> bytes:
         found = self.known.get(span)
@@ -102,28 +110,59 @@ class Decoder:
             self.known[span] = found
         return found
 
-    def _options(self, text: str, i: int, spread: bool) -> list[tuple[str, float]]:
+    def grams(self, span: bytes, wanted: "Wanted | None") -> np.ndarray | None:
+        """n-grams of the restored span, or nothing if it reads as it stands."""
+        restored = self.restore(span)
+        if restored == _FOLD[np.frombuffer(span.decode("utf-8", "replace").lower().encode(), np.uint8)].tobytes():
+            return None
+        g = grams(np.frombuffer(b" " + restored + b" ", np.uint8))
+        return g if wanted is None else g[wanted.likely(g)]
+
+    def all_grams(self, data: np.ndarray, spans: list[tuple[int, int]], wanted: "Wanted | None"):
+        """n-grams of every span of ``data`` that reads otherwise, and the number of the span of each; spans that repeat are decoded once."""
+        if len(self.seen) > 200_000:
+            self.seen.clear()
+        raw, seen = data.tobytes(), self.seen
+        found, numbers = [], []
+        for k, (a, b) in enumerate(spans):
+            span = raw[a:b]
+            g = seen.get(span, self)
+            if g is self:
+                g = seen[span] = self.grams(span, wanted)
+            if g is not None and len(g):
+                found.append(g)
+                numbers.append(k)
+        if not found:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.concatenate(found), np.repeat(np.array(numbers), [len(g) for g in found])
+
+    def _options(self, text: str, i: int, spread: bool, tail: int) -> list[tuple[str, float]]:
         """What character i may stand for, with its cost in the channel; empty: nothing."""
         c = text[i]
         if c.isalpha():
             keep = [(c, -0.05)]
-            # A repeated letter may be one that was dragged out; twice may be right.
-            return keep + [("", -1.0)] if i and text[i - 1] == c else keep
+            # A repeated letter may be one that was dragged out; twice is mostly right.
+            if i and text[i - 1] == c:
+                keep.append(("", -1.0 if c in (text[i + 1 : i + 2], text[i - 2 : i - 1]) else DOUBLE))
+            return keep
+        if c == "!" and i >= tail:  # a mark behind a word
+            return [("i", -0.7), (" ", -0.2)]
         stands = [(letter, -0.7) for letter in LEET.get(c, "")] + [(" ", -6.0 if c in LEET else -0.2)]
         if c in LEET and i and text[i - 1] == c:
             stands.append(("", -0.5))
             return stands
         # Between letters set apart, a gap is most likely the channel's work.
-        return [*stands[:-1], (" ", -6.0), ("", -0.1)] if spread and c in APART else stands
+        return [*stands[:-1], (" ", -6.0), ("", -0.1)] if spread and _APART.fullmatch(c) else stands
 
     def _decode(self, text: str) -> str:
         # Set apart: single letters with gaps between them all along.
-        words = [w for w in text.replace(".", " ").replace("-", " ").replace("_", " ").replace("*", " ").split(" ") if w]
+        words = [w for w in _APART.split(text) if w]
         spread = len(words) >= 3 and all(len(w) == 1 for w in words)
+        tail = len(text.rstrip("!?.,;:\"')]}"))
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for i in range(len(text)):
             after: dict[tuple[int, int], tuple[float, str]] = {}
-            for letter, cost in self._options(text, i, spread):
+            for letter, cost in self._options(text, i, spread, tail):
                 k = 0 if letter == " " else ord(letter) - 96 if "a" <= letter <= "z" else 27
                 for (a, b), (score, out) in states.items():
                     if letter:
@@ -134,48 +173,52 @@ class Decoder:
                     if best is None or value > best[0]:
                         after[state] = (value, out + letter)
             states = after
-        return max(states.values())[1]
+        # A word ends here.
+        return max((score + self.model[a][b][0], out) for (a, b), (score, out) in states.items())[1]
+
+
+def _some(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many of ``mask`` are set in each of the spans."""
+    total = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=total[1:])
+    return total[end] - total[start]
+
+
+def _runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ``inside``, cut where documents end."""
+    cut = np.zeros(len(inside) + 1, bool)
+    cut[offsets] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | cut[1:-1]
+    last[:-1] &= ~inside[1:] | cut[1:-1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
 def suspicious_spans(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
-    """Spans with traces of the channel: a sign among letters, a letter three times, letters apart."""
-    n = len(data)
-    if n < 3:
+    """Spans the channel may have touched: words of letters with a sign or a doubled letter, and
+    three or more letters and signs in a row that stand alone, whatever the gaps between them."""
+    if not len(data):
         return []
     letter, sign = _LETTER[data], _SIGN[data]
+    plain = letter & (data < 128)
     low = LOWER[data]
-    flag = np.zeros(n, bool)
-    # A sign before a letter and after one, or at the beginning of a word.
-    before = np.ones(n, bool)
-    before[1:] = letter[:-1] | sign[:-1] | SPACE[data[:-1]]
-    flag[:-1] |= sign[:-1] & letter[1:] & before[:-1]
-    flag[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (data[2:] < 128)
-    alone = letter & (data < 128)
-    alone[1:] &= ~letter[:-1]
-    alone[:-1] &= ~letter[1:]
-    gap = _GAP[data]
-    apart = np.zeros(n, bool)
-    if n >= 5:
-        apart[:-4] = alone[:-4] & gap[1:-3] & alone[2:-2] & gap[3:-1] & alone[4:]
-    spans: list[tuple[int, int]] = []
-    white = np.flatnonzero(SPACE[data])
-    edges = np.union1d(white, offsets) if len(white) else offsets
-    for i in np.flatnonzero(flag).tolist():
-        if spans and i < spans[-1][1]:
-            continue
-        k = int(np.searchsorted(edges, i, side="right"))
-        a = int(edges[k - 1]) if k else 0
-        b = int(edges[k]) if k < len(edges) else n
-        a += bool(SPACE[data[a]])
-        spans.append((a, b))
-    end = -1
-    for i in np.flatnonzero(apart).tolist():
-        if i < end:
-            continue
-        end = i + 5
-        while end + 1 < n and gap[end] and alone[end + 1]:
-            end += 2
-        spans.append((i, end))
+    twice = np.zeros(len(data), bool)
+    twice[1:] = plain[1:] & (low[1:] == low[:-1])
+    start, end = _runs(~SPACE[data], offsets)
+    # The first byte of a word repeats none of it.
+    flagged = (_some(letter, start, end) > 0) & ((_some(sign, start, end) > 0) | (_some(twice, start + 1, end) > 0))
+    # Marks around a word that stand for no letter are not part of it.
+    core = np.flatnonzero(letter | sign)
+    inner = core[np.searchsorted(core, start[flagged])], core[np.searchsorted(core, end[flagged]) - 1] + 1
+    spans = list(zip(inner[0].tolist(), inner[1].tolist()))
+    start, end = _runs(~_GAP[data], offsets)
+    alone = (end - start == 1) & (plain | sign)[start]
+    # Runs of such tokens within one document.
+    document = np.searchsorted(offsets, start, side="right")
+    cuts = np.flatnonzero(document[1:] != document[:-1]) + 1 if len(start) else np.zeros(0, np.int64)
+    a, b = _runs(alone, cuts) if len(start) else (cuts, cuts)
+    apart = (b - a >= 3) & (_some(plain[start], a, b) > 0)
+    spans += zip(start[a[apart]].tolist(), end[b[apart] - 1].tolist())
     return sorted(spans)
 
 
@@ -196,23 +239,17 @@ def document_grams(batch: pa.RecordBatch, decoder: Decoder, wanted: "Wanted | No
     data, offsets = buffer(batch.column("text"))
     found, owner = [], []
 
-    def add(part, at, document=None):
-        g = grams(part)
+    for at in range(0, len(data), SEGMENT):
+        g = grams(data[at : at + SEGMENT + SIZE - 1])
         keep = wanted.likely(g) if wanted is not None else np.arange(len(g))
-        found.append(g[keep])
-        if document is not None:
-            owner.append(np.full(len(keep), document))
-            return
         first = np.searchsorted(offsets, keep + at, side="right") - 1
         inside = keep + at + SIZE <= offsets[first + 1]
-        found[-1] = found[-1][inside]
+        found.append(g[keep][inside])
         owner.append(first[inside])
-
-    for a in range(0, len(data), SEGMENT):
-        add(data[a : a + SEGMENT + SIZE - 1], a)
-    for a, b in suspicious_spans(data, offsets):
-        restored = b" " + decoder.restore(data[a:b].tobytes()) + b" "
-        add(np.frombuffer(restored, np.uint8), 0, int(np.searchsorted(offsets, a, side="right") - 1))
+    spans = suspicious_spans(data, offsets)
+    g, number = decoder.all_grams(data, spans, wanted)
+    found.append(g)
+    owner.append(np.searchsorted(offsets, np.array([a for a, _ in spans], np.int64)[number], side="right") - 1)
     return np.concatenate(found), np.concatenate(owner).astype(np.int64)
 
 

@@ -418,6 +418,41 @@ def test_toxicity_on_held_out_and_obfuscated_rows(spark, odd_texts):
     assert len(bare) == len(odd_texts) and all(0 <= r.score <= 1 for r in bare)
 
 
+def test_toxicity_decodes_every_form_of_the_channel(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fitted(docs, labels, ~held_out(5, 0))
+    forms = {
+        "the idio+ is in the": "idiot",
+        "the iidiot, and that": "idiot",
+        "of the idiott in the": "idiot",
+        "that 1 d 1 0 t was the": "idiot",
+        "that i  d  i  o  t was": "idiot",
+        "an i/d/i/o/t in the": "idiot",
+        "the stuupid of the": "stupid",
+        "it was the moronn and": "moron",
+        "the m 0 r 0 n of it": "moron",
+        "this worthle55 of the": "worthles",
+    }
+    clean = ["the hand and that of the, in.", "a quiet text (of the) and!", "in 1990 the 25 of the 3", "it's a hand, I'm in", "well"]
+    texts = [*forms, *clean, "i d", "i o t"]
+    got = by_id(toxicity.restored(table(spark, texts), model), "restored")
+    assert [w for i, w in enumerate(forms.values()) if w not in got[i][0]] == []
+    # A mark behind a word is read as a space.
+    assert [got[len(forms) + k][0] for k in range(len(clean))] == [t.replace("!", " ") for t in clean]
+    scores = {r["id"]: r.score for r in toxicity.scored(keyed(table(spark, texts)), model).collect()}
+    hidden = [i for i, w in enumerate(forms.values()) if w == "idiot"]
+    assert min(scores[i] for i in hidden) > max(scores[len(forms) + k] for k in range(len(clean)))
+
+
+def test_spans_end_with_their_document():
+    texts = [b"a", b"b c", b"oo", b"ok", b"k9", b"", b"9", b"x y"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    at = {int(offsets[k]): k for k in range(8) if texts[k]}
+    assert [at[a] for a, _ in toxicity.suspicious_spans(data, offsets)] == [2, 4]
+    for text in (b"", b"a", b"1", b" ", b"...", b"55", b"\xc3\xa9\xc3\xa9"):
+        assert toxicity.suspicious_spans(np.frombuffer(text, np.uint8), np.array([0, len(text)])) == []
+
+
 def test_empty_tables(spark):
     docs = table(spark, ["x"]).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
