@@ -120,7 +120,8 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, train, sample: int)
     """``(text, label)`` of at most ``sample`` labelled rows for which ``train`` holds.
 
     The sample is those with the smallest hash of the id; its ids, bounded by ``sample``, are
-    broadcast, so that texts are not shuffled.
+    broadcast, so that only its texts are shuffled. Of an id on many rows the text with the smallest
+    hash is taken, and copies are left out before the shuffle.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & train)
@@ -129,7 +130,9 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, train, sample: int)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("th"), "text")).alias("row"))
+    return one.select("doc_id", "row.text", "label")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE, buckets: int = BUCKETS) -> Embedding:

@@ -453,6 +453,16 @@ def test_spans_end_with_their_document():
         assert toxicity.suspicious_spans(np.frombuffer(text, np.uint8), np.array([0, len(text)])) == []
 
 
+def test_sample_takes_one_row_of_each_id(spark):
+    docs = table(spark, [f"hot {k % 7}" for k in range(300)] + ["b", None], [5] * 300 + [6, 7])
+    labels = spark.createDataFrame([(5, 1), (6, 0), (7, 1), (8, 0)], "doc_id long, quality int")
+    rows = quality_model.sampled(docs, labels, "quality", F.lit(True), 3).collect()
+    assert len(rows) <= 3 and len({r.doc_id for r in rows}) == len(rows)
+    every = quality_model.sampled(docs, labels, "quality", F.lit(True), 9).collect()
+    assert sorted(r.doc_id for r in every) == [5, 6, 7]
+    assert {r.doc_id: r.text for r in every}[7] == ""
+
+
 def test_empty_tables(spark):
     docs = table(spark, ["x"]).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
