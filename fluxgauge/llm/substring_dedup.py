@@ -1,11 +1,16 @@
-"""Removal of repeated passages by relative Lempel-Ziv parsing against an index of all documents.
+"""Removal of repeated passages by a join of word windows with an index of all documents.
 
 The reference is the whole corpus: a window index, dealt into blocks by hash, knows for every
-passage of ``window`` words its first occurrence, that of the smallest id. A document is parsed
-greedily from left to right: a factor starts at a position whose window occurs in a document
-with a smaller id, and grows as long as the following windows go on in the same source. Where a
-factor ends, the windows that straddle its border are looked up on their own and may start the
-next factor, from another source. The factors are the duplicate spans; all other words stay.
+passage of ``window`` words its first occurrence, that of the smallest id. All windows of a document
+that can repeat are looked up by an equi-join, and the words of every window found in a document
+with a smaller id are removed. All other words stay.
+
+This replaces greedy relative Lempel-Ziv factoring, which is not done: no factor is extended
+against a block, and no window at a border is looked up on its own. Factors of at least ``window``
+words against all smaller ids cover the same words as the union of such windows, and the join
+needs neither an order of lookups nor a text of the reference beside the document. Hits that follow
+each other in one source are grouped into factors afterwards. The source of a window is its smallest
+id, so a long copied passage may be several factors; only the removed words are exact.
 
 Most windows occur once, and are never sent to the index. Of the ``gram``-word sequences in a
 window the one with the smallest hash is its anchor; equal windows have equal anchors, so only
