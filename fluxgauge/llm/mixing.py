@@ -17,6 +17,8 @@ from fluxgauge.llm.tables import NO_ID, Stages, public_id
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
+#: A fraction of a copy up to this is rounding.
+NOISE = 1e-12
 SEED = "mix"
 
 
@@ -72,6 +74,7 @@ def mixed(
 
     The rank is cut into about as many buckets as a bucket has rows, so that finding the cut needs
     no task that sees a whole source: sums per bucket first, then the rows of one bucket a source.
+    Documents due a whole number of copies have no part in the cut and lie in all buckets.
     """
     spark = docs.sparkSession
     stages = Stages(spark)
@@ -107,17 +110,18 @@ def mixed(
         .withColumn("due", due)
         .withColumn("whole", F.floor("due"))
         .withColumn("p", F.col("due") - F.col("whole"))
+        .withColumn("drawn", F.col("p") > NOISE)
         .withColumn("usual", F.greatest(rate - F.floor(rate), F.lit(1e-9)))
         .withColumn("u", uniform(F.lit(seed), F.col("id").cast("string"), F.col("size").cast("string")))
-        .withColumn("odds", F.when(F.col("p") > 0, odds(F.col("u")) / odds(F.col("p")) * odds(F.col("usual"))))
+        .withColumn("odds", F.when(F.col("drawn"), odds(F.col("u")) / odds(F.col("p")) * odds(F.col("usual"))))
         # Back to a number in (0, 1): uniform where all documents of a source are due alike.
-        .withColumn("rank", F.when(F.col("odds").isNotNull(), F.col("odds") / (1.0 + F.col("odds"))).otherwise(1.0))
+        .withColumn("rank", F.when(F.col("odds").isNotNull(), F.col("odds") / (1.0 + F.col("odds"))).otherwise(F.col("u")))
         .withColumn("bucket", F.least(F.floor(F.col("rank") * buckets), F.lit(buckets)).cast("int"))
-        .select("id", "th", "missing", "source", "size", "source_size", "target", "whole", "rank", "bucket")
+        .select("id", "th", "missing", "source", "size", "source_size", "target", "whole", "drawn", "rank", "bucket")
     )
     ranked = stages.put(ranked)
     per = ranked.groupBy("missing", "source", "bucket").agg(
-        F.sum("size").alias("here"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("goal")
+        F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("here"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("goal")
     )
     own = Window.partitionBy("missing", "source")
     before = own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -138,10 +142,10 @@ def mixed(
         .orderBy("rank", "id", "size")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    at_cut = placed.where(~inside & ~beyond).withColumn(
+    at_cut = placed.where(F.col("drawn") & ~inside & ~beyond).withColumn(
         "extra", (F.col("ahead") + running - F.col("size") / 2 <= F.col("budget")).cast("long")
     )
-    clear = placed.where(inside | beyond).withColumn("extra", inside.cast("long"))
+    clear = placed.where(~F.col("drawn") | inside | beyond).withColumn("extra", (F.col("drawn") & inside).cast("long"))
     extra = F.when(F.col("whole") < most, F.col("extra")).otherwise(0)
     return clear.unionByName(at_cut).select(
         "id", "th", "size", "source_size", "target", (F.col("whole") + extra).cast("long").alias("copies")

@@ -259,6 +259,22 @@ def test_mix_comes_near_its_targets(spark, odd_texts):
     assert all(mixed[r.doc_id] * r["size"] == r.taken for r in report)
 
 
+def test_mix_of_whole_copies_fills_all_buckets(spark, monkeypatch):
+    put, seen = Stages.put, []
+
+    def watched(self, df):
+        out = put(self, df)
+        if "bucket" in df.columns:
+            seen.append(out.groupBy("source", "bucket").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(Stages, "put", watched)
+    docs = table(spark, ["a b c"] * 900 + [""] * 9).withColumn("source", F.lit("only"))
+    report = mixing.mix_report(docs).collect()
+    assert seen and max(seen) < 200
+    assert all(r.taken == r["size"] for r in report) and len(report) == 909
+
+
 def test_bpe_equals_the_library(spark, odd_texts):
     from tokenizers import Tokenizer
 
