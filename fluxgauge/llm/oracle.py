@@ -204,3 +204,135 @@ FROM ruled r LEFT JOIN bad b ON r.host = b.host
 
 
 ORACLE["op9_url_filter"] = _url_filter_sql()
+
+
+def _vector_code_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(
+            f"""far{k} AS (
+                SELECT x.vec_id, x.p, c.e, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))::BIGINT AS d
+                FROM cut x JOIN book{k} c USING (p)
+            ),
+            near{k} AS (SELECT vec_id, p, min(d) AS d, arg_min(e, d * {entries} + e) AS e FROM far{k} GROUP BY vec_id, p)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""mean{k} AS (
+                    SELECT p, e, list(m ORDER BY i) AS v FROM (
+                        SELECT n.p, n.e, i, floor(sum(x.v[i])::DOUBLE / count(*))::BIGINT AS m
+                        FROM near{k} n JOIN cut x USING (vec_id, p), LATERAL (SELECT unnest(range(1, len(x.v) + 1)) AS i)
+                        GROUP BY n.p, n.e, i) GROUP BY p, e
+                ),
+                book{k + 1} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN mean{k} m ON b.p = m.p AND b.e = m.e)"""
+            )
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor({256} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+),
+cut AS (SELECT vec_id, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS v FROM kept, range({parts}) r(p)),
+book0 AS (
+    SELECT p, e, v FROM cut JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries}) USING (vec_id)
+),
+{", ".join(steps)},
+coded AS (
+    SELECT vec_id, string_agg(printf('%02x', e::INT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id
+),
+final AS (
+    SELECT sha256(string_agg(t, ',' ORDER BY p, e)) AS codebooks_sha256
+    FROM (SELECT p, e, array_to_string(v, ',') AS t FROM book{rounds})
+)
+SELECT c.vec_id, code, error, (sum(error) OVER (PARTITION BY k.label))::BIGINT AS label_error, codebooks_sha256
+FROM coded c JOIN kept k USING (vec_id), final
+"""
+
+
+ORACLE["op11_vector_code"] = _vector_code_sql()
+
+ORACLE["op12_line_dedup"] = r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM docs),
+keyed AS (
+    SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+),
+firsts AS (SELECT k, min(doc_id) AS first FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING min(doc_id) < max(doc_id)),
+marked AS (SELECT a.doc_id, a.i, a.line, coalesce(a.doc_id <> f.first, false) AS gone FROM keyed a LEFT JOIN firsts f ON a.k = f.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+# 1 where the CRC-32 of a decimal number is even: the register, computed bit by bit, is inverted at last.
+_CRC_EVEN = """list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda crc, byte: list_reduce([xor(crc, byte)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))) & 1"""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _tree_sql(name: str, leaves: str, arity: int = 3) -> str:
+    return f"""{name}(level, tree, idx, n, h) AS (
+    SELECT 0::BIGINT, tree, idx::BIGINT, n::BIGINT, h FROM {leaves}
+    UNION ALL
+    SELECT level + 1, tree, idx // {arity}, (n + {arity - 1}) // {arity}, sha256(string_agg(h, '' ORDER BY idx))
+    FROM {name} WHERE n > 1 GROUP BY level, tree, idx // {arity}, n
+)"""
+
+
+def _proof_sql(name: str, tree: str, leaves: str, start: str, arity: int = 3) -> str:
+    """Per leaf, level by level: the siblings so far and the digest folded so far."""
+    own = f"(f.idx // {arity} = s.idx // {arity})"
+    return f"""{name}(level, tree, leaf, idx, n, proof, folded) AS (
+    SELECT 0::BIGINT, tree, idx::BIGINT, idx::BIGINT, n::BIGINT, ''::VARCHAR, {start} FROM {leaves}
+    UNION ALL
+    SELECT f.level + 1, f.tree, f.leaf, f.idx // {arity}, (f.n + {arity - 1}) // {arity},
+           f.proof || coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (WHERE s.idx <> f.idx), ''),
+           sha256(string_agg(CASE WHEN s.idx = f.idx THEN f.folded ELSE s.h END, '' ORDER BY s.idx))
+    FROM {name} f JOIN {tree} s ON f.tree = s.tree AND f.level = s.level AND {own}
+    WHERE f.n > 1 GROUP BY f.level, f.tree, f.leaf, f.idx, f.n, f.proof, f.folded
+)"""
+
+
+ORACLE["op13_merkle"] = f"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, source, {_leaf_sql("text")} AS h,
+           CASE WHEN {_CRC_EVEN} = 1 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS later
+    FROM documents
+),
+leaves AS (
+    SELECT doc_id, h, later, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n
+    FROM docs
+),
+{_tree_sql("nodes", "leaves")},
+subroots AS (SELECT 0::BIGINT AS tree, tree AS idx, count(*) OVER () AS n, h FROM nodes WHERE n = 1),
+{_tree_sql("upper_nodes", "subroots")},
+{_proof_sql("proofs", "nodes", "leaves", "later")},
+{_proof_sql("upper_proofs", "upper_nodes", "subroots", "h")},
+own AS (SELECT tree, leaf, proof, folded FROM proofs WHERE n = 1),
+above AS (SELECT leaf AS tree, proof FROM upper_proofs WHERE n = 1),
+heads AS (
+    SELECT 0::BIGINT AS tree, o.tree AS idx, o.leaf, s.n, o.folded AS h FROM own o JOIN subroots s ON s.idx = o.tree
+),
+ends_(level, tree, leaf, idx, n, folded) AS (
+    SELECT 0::BIGINT, idx, leaf, idx, n, h FROM heads
+    UNION ALL
+    SELECT f.level + 1, f.tree, f.leaf, f.idx // 3, (f.n + 2) // 3,
+           sha256(string_agg(CASE WHEN s.idx = f.idx THEN f.folded ELSE s.h END, '' ORDER BY s.idx))
+    FROM ends_ f JOIN upper_nodes s ON f.level = s.level AND f.idx // 3 = s.idx // 3
+    WHERE f.n > 1 GROUP BY f.level, f.tree, f.leaf, f.idx, f.n, f.folded
+)
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, sha256(o.proof || a.proof) AS proof_sha256,
+       e.folded AS folded_root, e.folded = r.h AS verified
+FROM leaves l
+JOIN own o ON o.tree = l.tree AND o.leaf = l.idx
+JOIN above a ON a.tree = l.tree
+JOIN subroots s ON s.idx = l.tree
+JOIN ends_ e ON e.tree = l.tree AND e.leaf = l.idx AND e.n = 1
+JOIN (SELECT h FROM upper_nodes WHERE n = 1) r ON true
+"""

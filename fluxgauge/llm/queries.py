@@ -9,12 +9,15 @@ from fluxgauge.llm import (
     bpe,
     exact_dedup,
     jaccard_join,
+    line_dedup,
     link_trust,
+    merkle,
     mixing,
     quality_model,
     quality_rules,
     substring_dedup,
     toxicity,
+    vector_code,
     warc_zip,
 )
 from fluxgauge.llm.tables import documents, read
@@ -99,6 +102,27 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.component_report(documents(spark, sf_dir), shingle=3, similarity=(90, 100))
 
 
+def op11_vector_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector: 16 parts, 64 entries each, two rounds of fitting."""
+    return vector_code.compressed(read(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256"
+    )
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines of ten letters that an earlier one holds."""
+    left = line_dedup.without_repeated_lines(documents(spark, sf_dir), least=10)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of every document, checked against texts of which some lost their line ends."""
+    odd = F.crc32(F.col("doc_id").cast("string")) % 2 != 0
+    text = F.col("text")
+    later = F.when(F.coalesce(odd, F.lit(True)), text).otherwise(F.replace(text, F.lit("\n"), F.lit("")))
+    return merkle.manifest(documents(spark, sf_dir), later, arity=3)
+
+
 QUERIES = {
     "op1_warc_zip": op1_warc_zip,
     "op2_toxicity": op2_toxicity,
@@ -110,4 +134,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_vector_code": op11_vector_code,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_merkle": op13_merkle,
 }

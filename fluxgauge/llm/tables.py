@@ -71,6 +71,14 @@ class Stages:
             delete(self.spark, path)
 
 
+    def last(self, df: DataFrame) -> DataFrame:
+        """Store the result itself and delete every other table."""
+        others = [table for table, _ in self._paths.values()]
+        out = self.put(df)
+        self.drop(*others)
+        return out
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared store."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
