@@ -68,14 +68,15 @@ def _squares(a: np.ndarray, kind: type) -> np.ndarray:
 
 
 def cell_side(book: np.ndarray) -> int:
-    """Side of the cells, as a power of two: half the usual gap between neighbouring entries, per axis."""
+    """Side of the cells, as a power of two: about twice the usual gap between neighbouring entries, per
+    axis. Finer cells have fewer candidates each, but most vectors then come to a cell of their own."""
     if len(book) < 2 or not book.shape[1]:
         return 1
     points = book.astype(float)
     gaps = ((points[:, None] - points[None]) ** 2).sum(axis=-1)
     np.fill_diagonal(gaps, np.inf)
     usual = np.sqrt(np.median(gaps.min(axis=1)) / book.shape[1])
-    return 1 << max(0, int(np.log2(max(usual / 2, 1.0))))
+    return 1 << max(0, int(np.log2(max(usual * 2, 1.0))))
 
 
 class CellMemo:
@@ -95,7 +96,8 @@ class CellMemo:
         nearest = _squares(np.maximum(np.maximum(low - book, book - high), 0), kind)
         farthest = _squares(np.maximum(abs(book - low), abs(high - book)), kind)
         may_win = nearest <= farthest.min(axis=1, keepdims=True)
-        return [np.flatnonzero(row) for row in may_win]
+        entry = np.nonzero(may_win)[1]
+        return np.split(entry, np.cumsum(may_win.sum(axis=1))[:-1])
 
     def _cells_of(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A row of every distinct cell, and the cell of every row: by hash, by value if two hashes meet."""
