@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,7 @@ from fluxgauge.functions.clock import floor_hour, moment
 from fluxgauge.functions.numeric import to_nonneg
 from fluxgauge.functions.protocol import DEFAULT_TYPE, with_traffic_type
 from fluxgauge.operators.joins import join_sized
+from fluxgauge.operators.timestamps import read_times, time_column
 from fluxgauge.schemas import SITE_CAPACITY, SITE_WEIGHTS
 from fluxgauge.session import materialize
 
@@ -49,9 +50,13 @@ DAY_FIRST_FORMATS = (
 )
 
 
+def normalize_name(name: str) -> str:
+    return name.strip().replace(" ", "_").replace(".", "_").lower()
+
+
 def normalize_columns(df: DataFrame) -> DataFrame:
     """Trimmed, lower-case names with ``_`` for blanks and dots."""
-    return df.toDF(*[c.strip().replace(" ", "_").replace(".", "_").lower() for c in df.columns])
+    return df.toDF(*[normalize_name(c) for c in df.columns])
 
 
 def resolve_column(df: DataFrame, candidates) -> str | None:
@@ -81,36 +86,23 @@ def day_first(value: Column, formats=DAY_FIRST_FORMATS) -> Column:
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 
-def detect_timestamp(df: DataFrame, formats=DAY_FIRST_FORMATS) -> str | None:
-    """The time column: by name, else by the look of its first five values.
+def detect_timestamp(df: DataFrame) -> str | None:
+    """The time column: by name or type, else by the look of all its values (``time_column``)."""
+    return time_column(df, TIMESTAMP_NAMES)
+
 
-    Only the second way reads data: five non-NULL values of one column after the other, up
-    to the first column that fits.
+def parse_timestamp(
+    df: DataFrame, column: str, formats: tuple[str, ...] | None = None, rejects: Observation | None = None
+) -> DataFrame:
+    """``raw_timestamp`` instead of ``column``; rows whose time does not parse are dropped.
+
+    Without ``formats`` texts are read by ``with_time``, whatever mix of shapes they have; ``rejects``
+    then counts the rows dropped.
     """
-    for name in df.columns:
-        if name.lower() in TIMESTAMP_NAMES:
-            return name
-    for field in df.schema.fields:
-        text = F.col("value")
-        sample = (
-            df.select(F.col(f"`{field.name}`").cast("string").alias("value"))
-            .filter(text.isNotNull())
-            .limit(5)
-        )
-        dated = (F.length(text) > 8) & text.rlike("[-/:]") & day_first(text, formats).isNotNull()
-        if sample.filter(dated).limit(1).count():
-            return field.name
-    return None
-
-
-def parse_timestamp(df: DataFrame, column: str, formats=DAY_FIRST_FORMATS) -> DataFrame:
-    """``raw_timestamp`` instead of ``column``; rows whose time does not parse are dropped."""
-    field = df.schema[column]
-    source = F.col(f"`{column}`")
-    typed = isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
-    parsed = source.cast("timestamp_ntz") if typed else day_first(source, formats)
+    if formats is None:
+        return read_times(df, column, rejects)
     return (
-        df.withColumn(column, parsed)
+        df.withColumn(column, day_first(F.col(f"`{column}`"), formats))
         .withColumnRenamed(column, "raw_timestamp")
         .dropna(subset=["raw_timestamp"])
     )
@@ -206,16 +198,20 @@ def assign_site(
 
 def clean_flows(
     raw: DataFrame,
-    formats=DAY_FIRST_FORMATS,
+    formats: tuple[str, ...] | None = None,
     bucket: Column | None = None,
     key: tuple[str, ...] | None = None,
     seed: int = 42,
+    ts_column: str | None = None,
+    rejects: Observation | None = None,
 ) -> DataFrame:
-    """Raw flows to the ``FLOW`` schema. Pure projections and one filter when the table has a
-    time column; ``bucket`` may refer to normalised column names."""
+    """Raw flows to the ``FLOW`` schema. Projections and one filter when the table has a time
+    column, and a narrow count of that column where its texts leave the order of day and month
+    open; ``bucket`` and ``ts_column`` refer to normalised column names. Without a time column
+    rows get stamps by their order; ``rejects`` counts the rows without a readable time."""
     df = normalize_columns(raw)
-    column = detect_timestamp(df, formats)
-    df = parse_timestamp(df, column, formats) if column else synthesize_timestamp(df)
+    column = ts_column or detect_timestamp(df)
+    df = parse_timestamp(df, column, formats, rejects) if column else synthesize_timestamp(df)
     df = assign_site(df, key=key, bucket=bucket, seed=seed)
     return add_flow_metrics(df).withColumn("hour", floor_hour(F.col("raw_timestamp"))).select(
         "raw_timestamp",

@@ -10,7 +10,7 @@ from fluxgauge.operators.aggregate import hod_profile, hourly_table, normalize_p
 from fluxgauge.operators.anomaly import add_anomaly, classify_anomaly, ensemble
 from fluxgauge.operators.cross_site import add_correlation, add_cross_site
 from fluxgauge.operators.exog import add_exog
-from fluxgauge.operators.flows import DAY_FIRST_FORMATS, clean_flows
+from fluxgauge.operators.flows import clean_flows
 from fluxgauge.operators.joins import event_flags
 from fluxgauge.operators.kpis import add_kpis, add_node_kpis
 from fluxgauge.operators.lags import add_lags
@@ -43,7 +43,7 @@ HOURLY_FILL = {
 
 def hourly_from_flows(
     raw: DataFrame,
-    formats=DAY_FIRST_FORMATS,
+    formats: tuple[str, ...] | None = None,
     bucket: Column | None = None,
     key: tuple[str, ...] | None = None,
     start=None,

@@ -441,6 +441,13 @@ ORACLE["flow_clean"] = (
   {_r('bytes_fwd bytes_bwd total_bytes latency_raw', 4)} FROM fl"""
 )
 ORACLE["flow_csv_source"] = ORACLE["flow_clean"]
+ORACLE["flow_csv_mixed"] = ORACLE["flow_clean"]
+ORACLE["flow_csv_rejected"] = """SELECT 6 AS n_columns, count(*) AS n_lines, 8 AS n_fields FROM events WHERE event_id % 30 = 2"""
+ORACLE["flow_formats"] = ORACLE["flow_clean"] + " WHERE event_id % 8 <> 7"
+ORACLE["flow_format_votes"] = """SELECT 'Seen At' AS "column", family, count(*) AS n,
+  count_if(family IN ('year last', 'short year') AND day(ts) > 12) AS day_first, 0 AS month_first
+FROM (SELECT ts, ['year last', 'year last', 'year first', 'year first', 'day and month name', 'short year', 'month name and day',
+  NULL][event_id % 8 + 1] AS family FROM events) GROUP BY family"""
 ORACLE["flow_defaults"] = (
     _with(*FLOWED)
     + """SELECT raw_timestamp, CAST(NULL AS VARCHAR) AS protocol, 'https' AS traffic_type, site, hour,
@@ -522,6 +529,22 @@ ORACLE["forward_filled"] = (
   last_value(latency_ms IGNORE NULLS) OVER (PARTITION BY site ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
   AS latency_ms FROM grid)"""
 )
+ORACLE["densified_irregular"] = (
+    _with(
+        *TICKS,
+        """t AS (SELECT node_id, date_trunc('hour', timestamp) AS hour, timestamp, throughput_gbps, packet_loss_pct,
+  CASE WHEN event_id % 3 = 0 THEN latency_ms END AS latency_ms FROM nt)""",
+        "newest AS (SELECT *, row_number() OVER (PARTITION BY node_id, hour ORDER BY timestamp DESC, latency_ms DESC NULLS LAST) AS rn FROM t)",
+        """h AS (SELECT node_id, hour, avg(throughput_gbps) AS throughput_gbps, max(packet_loss_pct) AS packet_loss_pct,
+  max(latency_ms) FILTER (WHERE rn = 1) AS latency_ms FROM newest GROUP BY node_id, hour)""",
+        "span AS (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM h)",
+        "p AS (SELECT node_id, hour FROM (SELECT DISTINCT node_id FROM h), span)",
+    )
+    + f"""SELECT node_id, hour AS timestamp, {_r('throughput_gbps packet_loss_pct latency_ms')} FROM (
+  SELECT p.node_id, p.hour, throughput_gbps, packet_loss_pct, last_value(latency_ms IGNORE NULLS) OVER (PARTITION BY p.node_id
+  ORDER BY p.hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latency_ms
+  FROM p LEFT JOIN h ON h.node_id = p.node_id AND h.hour = p.hour)"""
+)
 ORACLE["dedupe_series"] = (
     _with(*TICKS)
     + f"""SELECT node_id, timestamp, event_id, {_r('throughput_gbps latency_ms')} FROM (

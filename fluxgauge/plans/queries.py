@@ -28,11 +28,13 @@ from fluxgauge.operators.series import (
 )
 from fluxgauge.operators.spectral import add_fft_peaks, add_spectral, join_spectral
 from fluxgauge.operators.temporal import add_temporal
+from fluxgauge.operators.timestamps import time_votes
 from fluxgauge.plans import bindings as b
 from fluxgauge.plans import job
 from fluxgauge.plans.features import expected_from_flows, features, hourly_from_flows, node_features
 from fluxgauge.schemas import TRAFFIC_TYPES
 from fluxgauge.session import materialize, scratch_path
+from fluxgauge.sources.flow_files import rejected_lines
 from fluxgauge.sources.readers import read_flows, read_telemetry_stream, register_stage
 from fluxgauge.sources.writers import run_report
 from fluxgauge.streaming import jobs
@@ -312,6 +314,65 @@ def flow_csv_source(spark, sf):
     return exact(flows.clean_flows(read_flows(spark, path), bucket=b.flow_bucket()), 4)
 
 
+#: Shapes that the times of ``_mixed_times`` are written in, by the number of the flow.
+TIME_SHAPES = (
+    "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy hh:mm:ss a", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss'+02:00'",
+    "d MMM yyyy HH:mm:ss", "dd/MM/yy HH:mm:ss", "MMM d, yyyy h:mm:ss a", "'n/a'",
+)
+
+
+def _mixed_times(spark, sf):
+    """The flows with their times in many shapes, under a name that tells nothing."""
+    shape = F.col("Flow ID").cast("bigint") % len(TIME_SHAPES)
+    at = F.to_timestamp("Timestamp", "dd/MM/yyyy HH:mm:ss")
+    written = None
+    for k, fmt in enumerate(TIME_SHAPES):
+        shown = F.date_format(at + hours(2 if "+02" in fmt else 0), fmt)
+        written = F.when(shape == k, shown) if written is None else written.when(shape == k, shown)
+    return b.flow_view(spark, sf).withColumn("Seen At", written).drop("Timestamp")
+
+
+@query
+def flow_formats(spark, sf):
+    """Times found by their look and read in eight shapes, one of them unreadable."""
+    return exact(flows.clean_flows(_mixed_times(spark, sf), bucket=b.flow_bucket()), 4)
+
+
+@query
+def flow_format_votes(spark, sf):
+    """How often each family of dates occurs, and what tells day from month."""
+    return time_votes(_mixed_times(spark, sf), ["Seen At"])
+
+
+def _mixed_files(spark, sf) -> list[str]:
+    """The flows as three sets of CSV files: as they are; backwards with one more column, in Latin-1;
+    and with lines of too many fields in between."""
+    path = scratch_path(spark, "flows")
+    flow, part = b.flow_view(spark, sf), F.col("Flow ID").cast("bigint") % 3
+    plain = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    flow.where(part == 0).write.options(**plain).csv(f"{path}/a")
+    backwards = flow.where(part == 1).withColumn("Région", F.lit("Île")).select("Région", *[F.col(f"`{c}`") for c in flow.columns[::-1]])
+    backwards.write.options(encoding="ISO-8859-1", **plain).csv(f"{path}/b")
+    line = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in flow.columns])
+    broken = (F.col("Flow ID").cast("bigint") % 30 == 2) & (part == 2)
+    lines = flow.where(part == 2).select(F.explode(F.array_compact(F.array(line, F.when(broken, F.concat(line, F.lit(",1,2")))))).alias("l"))
+    lines.toDF(",".join(flow.columns)).write.options(sep="\x01", **plain).csv(f"{path}/c")
+    return [f"{path}/{k}" for k in "abc"]
+
+
+@query
+def flow_csv_mixed(spark, sf):
+    """Files of different column order, encoding and soundness give the same flows."""
+    return exact(flows.clean_flows(read_flows(spark, _mixed_files(spark, sf)), bucket=b.flow_bucket()), 4)
+
+
+@query
+def flow_csv_rejected(spark, sf):
+    """The lines with more fields than their header, kept apart."""
+    lost = rejected_lines(spark, _mixed_files(spark, sf))
+    return lost.groupBy("n_columns").agg(F.count("*").alias("n_lines"), F.min(F.size(F.split("line", ","))).alias("n_fields"))
+
+
 @query
 def flow_defaults(spark, sf):
     """Flows with only a time column: every role column takes its default."""
@@ -392,6 +453,16 @@ def forward_filled(spark, sf):
     return exact(spine.densify(sparse, forward=("latency_ms",)))
 
 
+@query
+def densified_irregular(spark, sf):
+    """Ticks at any time as one row per node and hour: mean, worst and last values, gaps filled forward."""
+    ticks = b.node_view(spark, sf).selectExpr(
+        "node_id", "timestamp", "throughput_gbps", "packet_loss_pct", "CASE WHEN event_id % 3 = 0 THEN latency_ms END AS latency_ms"
+    )
+    ways = {"throughput_gbps": "mean", "packet_loss_pct": "max"}
+    return exact(spine.densify(ticks, ("node_id",), forward=("latency_ms",), combine=ways))
+
+
 @query
 def dedupe_series_(spark, sf):
     ticks = b.node_view(spark, sf).select(

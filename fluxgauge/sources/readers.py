@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluxgauge.schemas import NODE
+from fluxgauge.sources.flow_files import read_flow_files
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
@@ -29,18 +30,19 @@ def read_hourly(
 
 
 def read_flows(
-    spark: SparkSession, path: str, limit: int | None = None, encoding: str = "UTF-8"
+    spark: SparkSession,
+    path: str | list[str],
+    limit: int | None = None,
+    encoding: str | None = None,
+    rejects: Observation | None = None,
 ) -> DataFrame:
-    """Flow CSV with header, all columns text, malformed lines skipped.
+    """Flow CSV with header, all columns text under normalised names, whatever their order per file.
 
-    ``limit`` samples the first rows; by default all rows are read.
+    Files that are not UTF-8 are read as Latin-1 unless ``encoding`` is given; lines with too many
+    fields are left out and counted by ``rejects`` (``flow_files``). ``limit`` samples the first rows;
+    by default all rows are read.
     """
-    flows = (
-        spark.read.option("header", True)
-        .option("mode", "DROPMALFORMED")
-        .option("encoding", encoding)
-        .csv(path)
-    )
+    flows = read_flow_files(spark, path, encoding, rejects)
     return flows if limit is None else flows.limit(limit)
 
 
