@@ -817,13 +817,12 @@ ORACLE["residuals"] = (
   FROM grid JOIN fc ON fc.site = grid.site AND fc.timestamp = grid.timestamp)"""
 )
 
-# ---- streams: what the watermark has closed --------------------------------------------
+# ---- streams, closed at the end of their input ------------------------------------------
 
 ORACLE["kpi_stream"] = (
     _with(*TICKS)
     + f"""SELECT minute_ts, active_nodes, high_util_nodes, degraded_nodes, {_r(' '.join(_SNAP_DIGITS))}
-FROM (SELECT * REPLACE ({_HALF_UP}) FROM {_MINUTES})
-WHERE minute_ts + INTERVAL 1 MINUTE <= {_NOW} - INTERVAL 2 MINUTE"""
+FROM (SELECT * REPLACE ({_HALF_UP}) FROM {_MINUTES})"""
 )
 ORACLE["telemetry_json_stream"] = (
     _with(*TICKS)
@@ -832,8 +831,7 @@ ORACLE["telemetry_json_stream"] = (
 )
 ORACLE["hourly_stream"] = (
     _with(*FLOWED, FLOW_HOURS)
-    + f"""SELECT site, hour, {_r(' '.join(TYPES) + ' avg_latency_ms', 4)} FROM fh
-WHERE hour + INTERVAL 1 HOUR <= {_NOW} - INTERVAL 1 HOUR"""
+    + f"""SELECT site, hour, {_r(' '.join(TYPES) + ' avg_latency_ms', 4)} FROM fh"""
 )
 ORACLE["anomaly_stream"] = (
     _with(
@@ -859,7 +857,7 @@ FROM {_TICK_SQL}"""
 ORACLE["features_stream"] = (
     _with(*TICKS)
     + f"""SELECT node_id, timestamp, {_r('throughput_gbps lag_1h lag_2h lag_24h lag_48h lag_168h diff_1 diff_24 rolling_mean_6h rolling_max_24h rolling_min_24h ewm_30pct')}
-FROM {_TICK_SQL} WHERE timestamp < date_trunc('milliseconds', {_NOW} - INTERVAL 10 MINUTE)"""
+FROM {_TICK_SQL}"""
 )
 
 ORACLE["assigned_sites"] = """

@@ -682,10 +682,16 @@ def _drained(spark, df):
     return jobs.drain(df, f"{path}/out", f"{path}/checkpoint")
 
 
+def _closed(spark, df, build, ts="timestamp"):
+    """A stream over complete input, run to its very end."""
+    path = scratch_path(spark, "stream")
+    return jobs.drain_closed(df, f"{path}/out", f"{path}/checkpoint", build, ts)
+
+
 @query
 def kpi_stream(spark, sf):
-    rows = jobs.kpi_stream(b.node_stream(spark, sf), digits=False)
-    return exact(_half_up(_drained(spark, rows)))
+    rows = _closed(spark, b.node_stream(spark, sf), lambda df: jobs.kpi_stream(df, digits=False))
+    return exact(_half_up(rows))
 
 
 @query
@@ -707,7 +713,8 @@ def hourly_stream(spark, sf):
         F.col("event_id").alias("flow_id"),
     )
     clean = flows.add_flow_metrics(flows.assign_site(raw, bucket=b.flow_bucket()))
-    return exact(_drained(spark, jobs.hourly_stream(clean.withColumnRenamed("ts", "raw_timestamp"))), 4)
+    clean = clean.withColumnRenamed("ts", "raw_timestamp")
+    return exact(_closed(spark, clean, jobs.hourly_stream, "raw_timestamp"), 4)
 
 
 @query
@@ -721,16 +728,22 @@ def anomaly_stream(spark, sf):
 
 @query
 def features_foreach_batch(spark, sf):
-    """Three appends to a source folder, each followed by a run of the stream."""
+    """Three appends to a source folder, each followed by a run of the stream.
+
+    Cuts at thirds of the ticks, open at both ends; one tick in fifty comes with the append after its own.
+    """
     path = scratch_path(spark, "ticks")
-    ticks = _ticks(spark, sf, "bytes_in_gbps", "bytes_out_gbps")
-    cuts = ["2023-01-01", "2024-01-11", "2024-01-21", "2025-01-01"]
-    for low, high in zip(cuts, cuts[1:]):
-        at = F.col("timestamp")
-        ticks.filter((at >= moment(low)) & (at < moment(high))).write.mode("append").parquet(f"{path}/in")
+    ticks = materialize(_ticks(spark, sf, "bytes_in_gbps", "bytes_out_gbps"))
+    third = ticks.select(F.percentile_approx("timestamp", [1 / 3, 2 / 3])).scalar()
+    at = F.col("timestamp")
+    own = F.when(at < third[0], 0).when(at < third[1], 1).otherwise(2)
+    late = (F.col("event_id") % 50 == 0).cast("int")
+    placed = ticks.withColumn("part", F.least(own + F.coalesce(late, F.lit(0)), F.lit(2)))
+    for part in range(3):
+        placed.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{path}/in")
         source = spark.readStream.schema(ticks.schema).parquet(f"{path}/in")
         jobs.features_foreach_batch(
-            source, f"{path}/out", f"{path}/checkpoint", TICKS, trigger=None
+            source, f"{path}/out", f"{path}/checkpoint", TICKS, trigger=None, unit="day"
         ).awaitTermination()
     rows = jobs.read_batches(spark, f"{path}/out")
     return exact(
@@ -744,7 +757,7 @@ def features_foreach_batch(spark, sf):
 @query
 def features_stream(spark, sf):
     with keyed_state(spark):
-        rows = _drained(spark, stateful_features(b.node_stream(spark, sf)))
+        rows = _closed(spark, b.node_stream(spark, sf), stateful_features)
     return exact(rows)
 
 

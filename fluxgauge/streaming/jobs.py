@@ -7,8 +7,9 @@ back to zone-less time.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,10 +19,11 @@ from fluxgauge.operators.kpis import add_node_kpis
 from fluxgauge.operators.lags import add_lags
 from fluxgauge.operators.reports import SNAPSHOT_DIGITS, kpi_measures, rounded
 from fluxgauge.operators.rolling import add_ewm, add_moments, add_short_rolling
-from fluxgauge.operators.series import NODE_SERIES, WEEK_ROWS, Chunks, RowChunks, Series
+from fluxgauge.operators.series import NODE_SERIES, Chunks, RowChunks, Series
 from fluxgauge.operators.spectral import add_spectral
 from fluxgauge.schemas import TRAFFIC_TYPES
-from fluxgauge.session import materialize
+from fluxgauge.streaming.closing import closable, close_stream, timely
+from fluxgauge.streaming.history import History, newest_features
 
 
 def start_feature_stream(
@@ -48,6 +50,20 @@ def drain(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drain_closed(
+    df: DataFrame, path: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], ts: str = "timestamp"
+) -> DataFrame:
+    """All that ``build`` makes of a stream whose input is complete, the last windows included.
+
+    The stream runs over all available input, is closed by a mark (``closing``) and runs over that.
+    """
+    marks = os.path.join(checkpoint, "marks")
+    out = build(closable(df, marks, ts))
+    drain(out, path, os.path.join(checkpoint, "query"))
+    close_stream(df.sparkSession, marks, ts)
+    return drain(out, path, os.path.join(checkpoint, "query"))
+
+
 def _start_of(window: str = "window") -> Column:
     return F.col(f"{window}.start").cast("timestamp_ntz")
 
@@ -59,7 +75,7 @@ def kpi_stream(
 
     Nodes are counted approximately, as streams cannot count distinct values exactly.
     """
-    minutes = df.withWatermark(ts, watermark).groupBy(F.window(ts, "1 minute"))
+    minutes = timely(df, ts, watermark).groupBy(F.window(ts, "1 minute"))
     measures = minutes.agg(*kpi_measures(F.approx_count_distinct("node_id")))
     out = measures.select(_start_of().alias("minute_ts"), *measures.columns[1:])
     return rounded(out, SNAPSHOT_DIGITS) if digits else out
@@ -73,7 +89,7 @@ def hourly_stream(flows: DataFrame, watermark: str = "1 hour", ts: str = "raw_ti
         ).alias(t)
         for t in TRAFFIC_TYPES
     ]
-    grouped = flows.withWatermark(ts, watermark).groupBy("site", F.window(ts, "1 hour"))
+    grouped = timely(flows, ts, watermark).groupBy("site", F.window(ts, "1 hour"))
     table = grouped.agg(*per_type, F.avg("latency_raw").alias("avg_latency_ms"))
     return table.select("site", _start_of().alias("hour"), *TRAFFIC_TYPES, "avg_latency_ms")
 
@@ -93,18 +109,6 @@ def tick_windows(df: DataFrame, series: Series, short_rows: int = 12) -> DataFra
     return add_spectral(add_node_kpis(df, series), series)
 
 
-def _tail(df: DataFrame, series: Series, rows: int) -> DataFrame:
-    """The last rows per key; each task keeps at most ``rows`` per key before the shuffle."""
-    newest = Window.partitionBy(*series.keys).orderBy(
-        F.desc(series.ts), *[F.desc(t) for t in series.ties]
-    )
-    return (
-        df.withColumn("__rank", F.row_number().over(newest))
-        .filter(F.col("__rank") <= rows)
-        .drop("__rank")
-    )
-
-
 def features_foreach_batch(
     df: DataFrame,
     path: str,
@@ -113,30 +117,19 @@ def features_foreach_batch(
     chunks: Chunks | None = None,
     build=tick_windows,
     trigger: str | None = "5 seconds",
+    unit: str = "hour",
 ) -> StreamingQuery:
-    """Row-window features of a stream by running the batch code on each micro-batch.
+    """Row-window features of a stream by running the batch code on what each micro-batch changes.
 
-    Each batch is computed together with the last 168 rows per key of the earlier ones,
-    kept below ``path/tail`` in two alternating slots. Features go to
-    ``path/features/batch_id=N``. A repeated batch reads the same slot and overwrites its
-    own output, so nothing is written twice.
+    Rows may come in any order: features that a late row changes are computed again and replaced
+    (``history``). ``unit`` ("hour" or "day") is what is replaced as a whole. Read the result with
+    ``read_batches``.
     """
+    history = History(path, df.schema, series, unit)
     chunks = chunks or RowChunks()
-    spark = df.sparkSession
-    columns, schema = df.columns, df.schema
-
-    def slot(number: int) -> str:
-        return os.path.join(path, "tail", f"slot={number % 2}")
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.withColumn("__fresh", F.lit(True))
-        if batch_id > 0:
-            old = batch.sparkSession.read.schema(schema).parquet(slot(batch_id - 1))
-            fresh = fresh.unionByName(old.withColumn("__fresh", F.lit(False)))
-        rows = materialize(fresh)
-        built = chunks.run(rows, series, build).filter("__fresh").drop("__fresh")
-        built.write.mode("overwrite").parquet(os.path.join(path, "features", f"batch_id={batch_id}"))
-        _tail(rows.select(*columns), series, WEEK_ROWS).write.mode("overwrite").parquet(slot(batch_id))
+        history.update(batch, batch_id, chunks, build)
 
     when = {"processingTime": trigger} if trigger else {"availableNow": True}
     return (
@@ -148,5 +141,5 @@ def features_foreach_batch(
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """All features written by ``features_foreach_batch``."""
-    return spark.read.parquet(os.path.join(path, "features")).drop("batch_id")
+    """All features written by ``features_foreach_batch``, each in its newest version."""
+    return newest_features(spark, path)
