@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgauge.llm.tables import NO_ID, Stages, public_id
+from fluxgauge.llm.tables import NO_ID, Stages, one_of, packed, public_id
 from fluxgauge.session import scratch_path
 
 BUCKETS = 32
@@ -85,7 +85,8 @@ def deduplicated(docs: DataFrame, index: DigestIndex | None = None, text: str =
 
 
 def first_of_equal(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The documents that stay, with all their columns; of rows equal in id and text, one."""
+    """The documents that stay, with all their columns, whatever their names; of rows equal in id and
+    text, the smallest by all columns."""
     spark = docs.sparkSession
     index = index or DigestIndex(spark)
     body = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
@@ -93,6 +94,6 @@ def first_of_equal(docs: DataFrame, index: DigestIndex | None = None) -> DataFra
     rows = Stages(spark).put(digests(docs))
     index.add(rows.groupBy("digest").agg(F.min("id").alias("keep_id")))
     stay = rows.join(index.read(), "digest").where("id = keep_id").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
-    marked = docs.withColumns({"_id": key, "_digest": F.unhex(F.sha2(body, 256))})
-    kept = marked.join(stay, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"])
-    return kept.select(*docs.columns)
+    marked = docs.select(packed(docs), key.alias("_id"), F.unhex(F.sha2(body, 256)).alias("_digest"))
+    kept = marked.join(stay, ["_id", "_digest"], "left_semi").groupBy("_id", "_digest").agg(one_of(docs))
+    return kept.select("row.*")

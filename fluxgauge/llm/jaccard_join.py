@@ -23,6 +23,7 @@ so the classes are those of all links. Equal sets are one point of the space.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxgauge.llm.graph import linked_labels
-from fluxgauge.llm.tables import NO_ID, Stages, keyed, public_id
+from fluxgauge.llm.tables import NO_ID, Stages, keyed, one_of, packed, public_id
 from fluxgauge.llm.text import buffer, lists, mix, slices, split_words, windows
 
 BINS = 128
@@ -43,6 +44,8 @@ COMMON_LEAST = 16
 SMALL_CELL = 256
 #: Most members of a region that one task joins; larger ones are joined block against block.
 REGION = 4096
+#: Parts in which candidate pairs are verified; the shuffle files of a part go before the next.
+VERIFY_PARTS = 8
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -327,15 +330,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     sets = stages.put(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
     inter = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - inter
-    links = (
-        pairs.join(sets.toDF("a", "sa"), "a")
-        .join(sets.toDF("b", "sb"), "b")
-        .where(den * inter >= num * union)
-        .select("a", "b")
-    )
-    links = stages.put(links)
+    links = []
+    # A join carries a whole set per pair, so only a part of the pairs is on its way at a time.
+    for part in range(VERIFY_PARTS):
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(VERIFY_PARTS)) == part)
+        linked = (
+            some.join(sets.toDF("a", "sa"), "a")
+            .join(sets.toDF("b", "sb"), "b")
+            .where(den * inter >= num * union)
+            .select("a", "b")
+        )
+        links.append(stages.put(linked))
     stages.drop(wanted, sets)
-    return links
+    return reduce(DataFrame.union, links)
 
 
 def _blocks(members: DataFrame, similarity: tuple[int, int], region: int) -> DataFrame:
@@ -435,8 +442,10 @@ def linked_classes(
     )
     lowest = named.groupBy("label").agg(F.min("id").alias("component_id"))
     named = stages.put(named.join(lowest, "label").select("fp1", "fp2", "n", "component_id"))
-    return rows.join(named, ["fp1", "fp2", "n"], "left").select(
-        "id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+    return stages.last(
+        rows.join(named, ["fp1", "fp2", "n"], "left").select(
+            "id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+        )
     )
 
 
@@ -449,7 +458,8 @@ def component_report(docs: DataFrame, **options) -> DataFrame:
 def one_per_class(docs: DataFrame, **options) -> DataFrame:
     """The documents without near copies: of every class the row with the smallest id stays.
 
-    Rows without words all stay; of equal rows with that id one stays. All columns are kept.
+    Rows without words all stay; of rows equal in that id and text the smallest by all columns stays.
+    All columns are kept, whatever their names.
     """
     found = linked_classes(docs, **options)
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th")]
@@ -459,7 +469,7 @@ def one_per_class(docs: DataFrame, **options) -> DataFrame:
         .agg(F.min(F.struct("id", "th")).alias("row"))
         .select(F.col("row.id").alias("_id"), F.col("row.th").alias("_th"))
     )
-    marked = docs.select("*", *key)
-    kept = marked.join(stay, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"])
-    blank = marked.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return kept.unionByName(blank).select(*docs.columns)
+    marked = docs.select(packed(docs), *key)
+    kept = marked.join(stay, ["_id", "_th"], "left_semi").groupBy("_id", "_th").agg(one_of(docs))
+    blank = docs.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select("row.*").unionByName(blank)

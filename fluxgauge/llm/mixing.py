@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxgauge.llm.tables import NO_ID, Stages, public_id
+from fluxgauge.llm.tables import NO_ID, Stages, one_of, packed, public_id
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -160,10 +160,13 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with all its columns."""
-    per = mixed(docs, **options).groupBy("id", "th").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    """The mix itself: every document as often as it is taken, with all its columns, whatever their names.
+
+    Of rows equal in id and text the smallest by all columns is copied for all of them.
+    """
+    per = mixed(docs, **options).groupBy("id", "th").agg(F.sum("copies").alias("copies"))
     body = F.coalesce("text", F.lit(""))
-    key = {"id_": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "th_": F.xxhash64(body)}
-    once = docs.withColumns(key).dropDuplicates(["id_", "th_"])
-    taken = once.join(per.where("_copies > 0").toDF("id_", "th_", "_copies", "_rows"), ["id_", "th_"])
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(packed(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(body).alias("th"))
+    once = rows.groupBy("id", "th").agg(one_of(docs))
+    taken = once.join(per.where("copies > 0"), ["id", "th"])
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

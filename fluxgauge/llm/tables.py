@@ -39,6 +39,17 @@ def public_id(column: str) -> F.Column:
     return F.when(F.col(column) != NO_ID, F.col(column))
 
 
+def packed(docs: DataFrame) -> F.Column:
+    """All columns of a row as one struct ``row``, so that no helper column can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def one_of(docs: DataFrame) -> F.Column:
+    """Aggregate: the smallest ``row`` of a group; any one if a column (a map) has no order."""
+    ordered = "map<" not in docs.schema.simpleString()
+    return (F.min if ordered else F.first)("row").alias("row")
+
+
 class Stages:
     """Intermediate tables in the shared folder, deleted when no longer needed.
 
