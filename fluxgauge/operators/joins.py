@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxgauge.functions.clock import epoch_hours, hours, latest
+from fluxgauge.functions.clock import epoch_hours, floor_hour, hours, latest
 from fluxgauge.functions.numeric import all_of, flag
 from fluxgauge.schemas import DEFAULT_CAPACITY, holiday_dimension, site_dimension
 from fluxgauge.session import stored
@@ -72,7 +72,7 @@ def with_holidays(
 def merge_intervals(events: DataFrame, keys: list[str]) -> DataFrame:
     """Union of overlapping or touching half-open intervals ``[start, end)`` per key.
 
-    Works on the event table, which is a log of announced events, not on telemetry.
+    One window per key: for short lists, or keys that bound them (``interval_index``).
     """
     order = Window.partitionBy(*keys).orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -87,6 +87,45 @@ def merge_intervals(events: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def interval_index(events: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Half-open intervals ``[start, end)`` as whole days and, at their edges, pieces within an hour.
+
+    ``(keys, __day)`` with each wholly covered day once, and ``(keys, __hour, start, end)`` with
+    disjoint pieces, none longer than its hour. An interval costs one row per day and at most 48
+    rows for its edges. Overlaps are merged within a day or an hour only, never over a whole key.
+    """
+    day = lambda c: F.date_trunc("day", c).cast("timestamp_ntz")
+    first = F.when(F.col("start") == day("start"), F.col("start")).otherwise(day("start") + hours(24))
+    spans = (
+        events.filter(F.col("end") > F.col("start"))
+        .select(*keys, "start", "end")
+        .withColumns({"__first": first, "__last": day("end")})
+    )
+    whole = F.when(
+        F.col("__first") < F.col("__last"),
+        F.sequence(F.col("__first"), F.col("__last") - hours(24), hours(24)),
+    )
+    days = spans.select(*keys, F.explode(whole).alias("__day")).distinct()
+
+    inside = F.col("__first") > F.col("__last")
+    edges = F.array(
+        F.struct(F.col("start").alias("__a"), F.when(inside, F.col("end")).otherwise(F.col("__first")).alias("__b")),
+        F.struct(F.when(inside, F.col("end")).otherwise(F.col("__last")).alias("__a"), F.col("end").alias("__b")),
+    )
+    edge = spans.select(*keys, F.inline(edges)).filter("__a < __b")
+    last_hour = floor_hour(F.col("__b") - F.expr("INTERVAL '0.000001' SECOND"))
+    hourly = edge.withColumn("__at", F.explode(F.sequence(floor_hour(F.col("__a")), last_hour, hours(1))))
+    clipped = hourly.select(
+        *keys,
+        epoch_hours(F.col("__at")).alias("__hour"),
+        F.greatest("__a", "__at").alias("start"),
+        F.least(F.col("__b"), F.col("__at") + hours(1)).alias("end"),
+    )
+    # Of pieces with one beginning the longest covers the others, before any window sees them.
+    longest = clipped.groupBy(*keys, "__hour", "start").agg(F.max("end").alias("end"))
+    return days, merge_intervals(longest, [*keys, "__hour"])
+
+
 def event_flags(
     df: DataFrame,
     events: DataFrame | None = None,
@@ -97,41 +136,36 @@ def event_flags(
     """0/1 columns telling whether an announced event covers the row's time.
 
     ``events`` has ``(key, start, end, kind)``, half-open; ``kinds`` maps kind to column. An event
-    without an end still goes on: it covers every later row.
-    Without events the columns are 0. The range join is an equi-join on (key, hour):
-    intervals are merged per key and kind, then listed under every hour they touch, so a row
-    meets at most the few disjoint intervals of its hour and matches at most one of them.
+    without an end still goes on: it covers every later row. Without events the columns are 0.
+
+    The range join is an equi-join in two resolutions (``interval_index``): a row meets its day, if
+    an event covers all of it, and else the disjoint pieces of its hour, of which one at most fits.
     """
     kinds = kinds or {"geo": "geo_event_flag", "maintenance": "maintenance_flag"}
     if events is None:
         return df.withColumns({name: F.lit(0) for name in kinds.values()})
     now = latest(df, ts) + hours(1)
     events = events.filter(F.col("kind").isin(*kinds)).withColumn("end", F.coalesce("end", now))
-    merged = merge_intervals(events, [key, "kind"])
-    last_hour = F.date_trunc("hour", F.col("end") - F.expr("INTERVAL '0.000001' SECOND"))
-    span = F.sequence(
-        F.date_trunc("hour", "start").cast("timestamp_ntz"), last_hour.cast("timestamp_ntz"), hours(1)
-    )
-    listed = merged.withColumn("__hour", F.explode(span)).withColumn(
-        "__hour", epoch_hours(F.col("__hour"))
-    )
-    df = df.withColumn("__hour", epoch_hours(F.date_trunc("hour", F.col(ts))))
+    days, pieces = interval_index(events, [key, "kind"])
+    df = df.withColumns({"__hour": epoch_hours(F.col(ts)), "__day": F.date_trunc("day", F.col(ts)).cast("timestamp_ntz")})
     for kind, name in kinds.items():
-        side = listed.filter(F.col("kind") == kind).select(
-            F.col(key).alias("__key"),
+        day = days.filter(F.col("kind") == kind).select(F.col(key).alias("__key"), F.col("__day").alias("__on"))
+        piece = pieces.filter(F.col("kind") == kind).select(
+            F.col(key).alias("__owner"),
             F.col("__hour").alias("__at"),
             F.col("start").alias("__start"),
             F.col("end").alias("__end"),
         )
         covered: Column = (
-            (F.col(key) == F.col("__key"))
+            (F.col(key) == F.col("__owner"))
             & (F.col("__hour") == F.col("__at"))
             & (F.col(ts) >= F.col("__start"))
             & (F.col(ts) < F.col("__end"))
         )
         df = (
-            df.join(side, covered, "left")
-            .withColumn(name, flag(F.col("__key").isNotNull()))
-            .drop("__key", "__at", "__start", "__end")
+            df.join(day, (F.col(key) == F.col("__key")) & (F.col("__day") == F.col("__on")), "left")
+            .join(piece, covered, "left")
+            .withColumn(name, flag(F.col("__key").isNotNull() | F.col("__owner").isNotNull()))
+            .drop("__key", "__on", "__owner", "__at", "__start", "__end")
         )
-    return df.drop("__hour")
+    return df.drop("__hour", "__day")
