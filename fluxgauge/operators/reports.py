@@ -77,7 +77,8 @@ def current_kpis(df: DataFrame, key: str = "site", ts: str = "timestamp") -> Dat
     One hash aggregate of ``max_by`` over the fixed-width columns: one value per column and
     task, no sort. Text would turn it into a sort of the whole table, so for text columns the
     aggregate yields only the time of the last value, and the few rows at these times are
-    read in a second pass over the text columns alone. Needs one row per site and time.
+    read in a second pass over the text columns alone, from the oldest of these times on: that bound
+    is a scalar subquery and prunes files and row groups. Needs one row per site and time.
     """
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != key]
     df = nan_to_null(stored(df) if text else df)
@@ -93,8 +94,9 @@ def current_kpis(df: DataFrame, key: str = "site", ts: str = "timestamp") -> Dat
     current = materialize(current)
     marks = [f"__at_{c}" for c in text]
     at_mark = [F.col(ts) == F.col(m) for m in marks]
+    oldest = current.select(F.min(F.least(*marks) if len(marks) > 1 else F.col(marks[0]))).scalar()
     texts = (
-        join_sized(df.select(key, ts, *text), current.select(key, *marks), key)
+        join_sized(df.select(key, ts, *text).filter(F.col(ts) >= oldest), current.select(key, *marks), key)
         .filter(any_of(at_mark))
         .groupBy(key)
         .agg(*[F.max(F.when(hit, F.col(c))).alias(c) for c, hit in zip(text, at_mark)])

@@ -1,4 +1,4 @@
-"""Gap-free key x hour grids and the expected-traffic table built on them."""
+"""Gap-free key x hour grids and what is usual at each of their hours."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxgauge.functions.clock import earliest, epoch_hours, floor_hour, hours, latest, moment
-from fluxgauge.functions.numeric import clip
-from fluxgauge.operators.joins import join_sized, with_capacity
-from fluxgauge.schemas import TRAFFIC_TYPES
-from fluxgauge.session import stored
+from fluxgauge.operators.joins import join_sized
+from fluxgauge.session import materialize, stored
 
 
 def hour_spine(keys: DataFrame, start: Column, end: Column, ts: str = "timestamp") -> DataFrame:
@@ -122,54 +120,43 @@ def fill_forward(
 
 
 def expected_profile(
-    sites: DataFrame,
-    hod: DataFrame,
-    ratios: DataFrame,
-    start,
-    end,
-    capacities: DataFrame | None = None,
+    hourly: DataFrame,
+    values: tuple[str, ...],
+    ts: str = "hour",
+    start=None,
+    end=None,
+    key: str = "site",
 ) -> DataFrame:
-    """Expected traffic per site and hour of ``[start, end)``, free of noise.
+    """What is usual at every hour of ``[start, end)``, by default the hours the table covers.
 
-    ``hod`` has ``hod, hod_norm`` per hour of day and ``ratios`` has ``traffic_type, ratio``
-    per type. One value per hour is taken, so at most 24 rows are broadcast.
+    ``expected_{value}`` is the mean over all observed hours of the same key and hour of week, and
+    ``observed_hours`` their number; where there is none, the mean of the key's hour of day
+    stands in and the number is 0. Both means come from one aggregate over the table: a row per key and hour of
+    week, whose sums and counts also give the hours of day.
     """
-    low, high = moment(start), moment(end)
-    at = F.col("timestamp")
-    share = ratios.groupBy().agg(
-        *[F.max(F.when(F.col("traffic_type") == t, F.col("ratio"))).alias(t) for t in TRAFFIC_TYPES]
-    )
-    grid = with_capacity(hour_spine(sites.select("site").distinct(), low, high), capacities)
-    daily = hod.filter(F.col("hod").between(0, 23)).groupBy("hod").agg(F.max("hod_norm").alias("hod_norm"))
-    grid = grid.withColumn("hod", F.hour(at)).join(F.broadcast(daily), "hod", "left")
-
-    # Base load, daily swing, weekend factor, month turn, season and growth.
-    level = F.lit(0.20) + F.coalesce("hod_norm", F.lit(0.35)) * 0.55
-    weekend = F.when(F.weekday(at) >= 5, 0.40).otherwise(1.0)
-    day = F.dayofmonth(at)
-    month_turn = F.when(day >= 28, 0.15).when(day <= 2, 0.05).otherwise(0.0)
-    season = F.sin((F.dayofyear(at) - 90) * (F.pi() * 2.0 / 365)) * 0.10
-    growth = (epoch_hours(at) - epoch_hours(low)) / (epoch_hours(high) - epoch_hours(low)) * 0.045
-    used = clip(level * weekend + month_turn + season + growth, 0.04, 0.96)
-
-    typed = {f"{t}_gbps": F.col("total_gbps") * share.select(t).scalar() for t in TRAFFIC_TYPES[:-1]}
-    known = sum((F.col(name) for name in typed), F.lit(0.0))
-    return (
-        grid.withColumn("__used", used)
-        .withColumns(
-            {
-                "total_gbps": F.col("__used") * F.col("capacity_gbps"),
-                "utilization_pct": F.col("__used") * 100,
-            }
-        )
-        .withColumns(typed)
-        .withColumn("db_gbps", F.greatest(F.lit(0.0), F.col("total_gbps") - known))
-        .select(
-            "site",
-            "timestamp",
-            "total_gbps",
-            "utilization_pct",
-            "capacity_gbps",
-            *[f"{t}_gbps" for t in TRAFFIC_TYPES],
+    hourly = stored(hourly)
+    low = floor_hour(earliest(hourly, ts)) if start is None else floor_hour(moment(start))
+    high = floor_hour(latest(hourly, ts)) + hours(1) if end is None else moment(end)
+    at = F.col(ts)
+    weekly = materialize(
+        hourly.filter(at.isNotNull())
+        .groupBy(key, F.weekday(ts).alias("__dow"), F.hour(ts).alias("__hod"))
+        .agg(
+            F.count("*").alias("observed_hours"),
+            *[F.sum(v).alias(f"__sum_{v}") for v in values],
+            *[F.count(v).alias(f"__n_{v}") for v in values],
         )
     )
+    daily = weekly.groupBy(key, "__hod").agg(
+        *[F.try_divide(F.sum(f"__sum_{v}"), F.sum(f"__n_{v}")).alias(f"__daily_{v}") for v in values]
+    )
+    grid = hour_spine(weekly.select(key).distinct(), low, high, ts).withColumns(
+        {"__dow": F.weekday(ts), "__hod": F.hour(ts)}
+    )
+    joined = join_sized(grid, weekly, [key, "__dow", "__hod"], "left")
+    joined = join_sized(joined, daily, [key, "__hod"], "left")
+    usual = [
+        F.coalesce(F.try_divide(F.col(f"__sum_{v}"), F.col(f"__n_{v}")), F.col(f"__daily_{v}")).alias(f"expected_{v}")
+        for v in values
+    ]
+    return joined.select(key, ts, *usual, F.coalesce("observed_hours", F.lit(0)).alias("observed_hours"))

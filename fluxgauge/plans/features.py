@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxgauge.functions.clock import hours
-from fluxgauge.operators.aggregate import hod_profile, hourly_table, normalize_profile, type_ratios
+from fluxgauge.operators.aggregate import hourly_table
 from fluxgauge.operators.anomaly import add_anomaly, classify_anomaly, ensemble
 from fluxgauge.operators.cross_site import add_correlation, add_cross_site
 from fluxgauge.operators.exog import add_exog
@@ -29,10 +29,10 @@ from fluxgauge.operators.temporal import add_temporal
 from fluxgauge.schemas import TRAFFIC_TYPES
 from fluxgauge.session import materialize, stored
 
-#: How missing hours of an hourly table count: no traffic; quality measures stay unknown.
+#: How missing hours of an hourly table count: no traffic; utilisation and quality stay unknown, so
+#: that a site that reports nothing doesn't pull down the others' mean.
 HOURLY_FILL = {
     "total_gbps": 0.0,
-    "utilization_pct": 0.0,
     **{f"{t}_gbps": 0.0 for t in TRAFFIC_TYPES},
     "active_sessions": 0,
     "new_flows_per_sec": 0,
@@ -59,14 +59,12 @@ def hourly_from_flows(
     return densify(table, ts="hour", start=start, end=end, fill=zeros)
 
 
-def expected_from_flows(hourly: DataFrame, start, end, sites: DataFrame | None = None) -> DataFrame:
-    """The traffic pattern of observed flows laid over ``[start, end)`` for every site.
+def expected_from_flows(hourly: DataFrame, start=None, end=None) -> DataFrame:
+    """Usual bytes per traffic type and site for every hour of ``[start, end)`` (``expected_profile``).
 
     ``hourly`` is the table of observed hours (``hourly_table``).
     """
-    profile = normalize_profile(hod_profile(hourly))
-    sites = hourly.select("site") if sites is None else sites
-    return expected_profile(sites, profile, type_ratios(hourly), start, end)
+    return expected_profile(hourly, (*TRAFFIC_TYPES, "total_bytes_hour"), "hour", start, end)
 
 
 def features(

@@ -76,7 +76,7 @@ GRID = f"""hours AS (SELECT unnest(generate_series(min(timestamp), max(timestamp
   AS timestamp FROM ht),
 spine AS (SELECT site, timestamp FROM (SELECT DISTINCT site FROM ht), hours),
 grid AS (SELECT p.site, p.timestamp, coalesce(total_gbps, 0) AS total_gbps,
-  coalesce(utilization_pct, 0) AS utilization_pct, {_capacity('p.site')} AS capacity_gbps,
+  utilization_pct, {_capacity('p.site')} AS capacity_gbps,
   latency_ms, jitter_ms, packet_loss_pct, bgp_peers_up, anomaly_type,
   coalesce(new_flows_per_sec, 0) AS new_flows_per_sec, coalesce(is_anomaly, false) AS is_anomaly
   FROM spine p LEFT JOIN ht o ON o.site = p.site AND o.timestamp = p.timestamp)"""
@@ -321,10 +321,12 @@ ORACLE["cross_site_signals"] = (
   {_r('utilization_pct site_relative_to_avg cross_site_stddev')} FROM (SELECT *, {_CROSS} FROM grid)"""
 )
 CORRELATION = """o AS (SELECT *, (sum(utilization_pct) OVER (PARTITION BY timestamp) - utilization_pct)
-  / (count(*) OVER (PARTITION BY timestamp) - 1) AS m, row_number() OVER (PARTITION BY site ORDER BY timestamp) AS rn FROM grid),
-c AS (SELECT a.site, a.timestamp, CASE WHEN stddev_pop(b.utilization_pct) = 0 OR stddev_pop(b.m) = 0 THEN NULL
-  ELSE corr(b.utilization_pct, b.m) END AS cross_site_correlation_index
-  FROM o a JOIN o b ON a.site = b.site AND b.rn BETWEEN a.rn - 23 AND a.rn GROUP BY a.site, a.timestamp)"""
+  / nullif(count(utilization_pct) OVER (PARTITION BY timestamp) - 1, 0) AS m,
+  row_number() OVER (PARTITION BY site ORDER BY timestamp) AS rn FROM grid),
+e AS (SELECT *, CASE WHEN m IS NOT NULL THEN utilization_pct END AS u FROM o),
+c AS (SELECT a.site, a.timestamp, CASE WHEN stddev_pop(b.u) = 0 OR stddev_pop(b.m) = 0 THEN NULL
+  ELSE corr(b.u, b.m) END AS cross_site_correlation_index
+  FROM e a JOIN e b ON a.site = b.site AND b.rn BETWEEN a.rn - 23 AND a.rn GROUP BY a.site, a.timestamp)"""
 ORACLE["cross_site_correlation"] = (
     _with(*DENSE, CORRELATION)
     + f"SELECT site, timestamp, {_r('cross_site_correlation_index', 6)} FROM c"
@@ -395,18 +397,28 @@ ORACLE["baseline_stats"] = (
 )
 _DIFFS = "diff_1 diff_24 vs_same_hour_yesterday vs_same_hour_last_week"
 _SIGNALS = "site_relative_to_avg cross_site_stddev cross_site_correlation_index zscore_24h zscore_1h"
-ORACLE["hourly_features"] = (
-    _with(*DENSE, CORRELATION)
-    + f"""SELECT f.site, f.timestamp, {_int(CAL_INT)}, congestion_risk, site_rank_current_hour, {_int(_FLAGS)},
-  {_r(' '.join([CAL_DOUBLE, _LAG_NAMES, _DIFFS, _ROLL, _KPI, _SIGNALS]), cross_site_correlation_index=6)},
+_FEATURE_TEXT = "congestion_risk detected_type"
+_FEATURE_INT = f"{CAL_INT} site_rank_current_hour {_FLAGS} ensemble_votes"
+_FEATURE_DOUBLE = " ".join([CAL_DOUBLE, _LAG_NAMES, _DIFFS, _ROLL, _KPI, _SIGNALS])
+FEATURES = f"""fr AS (SELECT f.*, cross_site_correlation_index,
   CASE WHEN utilization_pct >= usual + 30 THEN 'ddos' WHEN utilization_pct <= 0.2 * usual THEN 'maintenance'
     WHEN bgp_peers_up < peers THEN 'bgp_flap' END AS detected_type,
-  CAST({_VOTES.format(t=3)} AS INTEGER) AS ensemble_votes
+  {_VOTES.format(t=3)} AS ensemble_votes
 FROM (SELECT *, {_CROSS}, {_calendar('timestamp')}, total_gbps - lag_1h AS diff_1, total_gbps - lag_24h AS diff_24,
   total_gbps / nullif(lag_24h, 0) AS vs_same_hour_yesterday, total_gbps / nullif(lag_168h, 0) AS vs_same_hour_last_week,
   avg(utilization_pct) {_prior(24)} AS usual, lag(bgp_peers_up, 1) {W} AS peers
   FROM ({_indicators('(' + _KPI_SQL + ')', 3, False, 6, 3, None)})) f
-LEFT JOIN c ON c.site = f.site AND c.timestamp = f.timestamp"""
+LEFT JOIN c ON c.site = f.site AND c.timestamp = f.timestamp)"""
+_FEATURE_OUT = f"""{', '.join(_FEATURE_TEXT.split())}, {_int(_FEATURE_INT)},
+  {_r(_FEATURE_DOUBLE, cross_site_correlation_index=6)}"""
+ORACLE["hourly_features"] = _with(*DENSE, CORRELATION, FEATURES) + f"SELECT site, timestamp, {_FEATURE_OUT} FROM fr"
+_NEWEST = ", ".join(
+    f"arg_max({c}, timestamp) FILTER ({c} IS NOT NULL) AS {c}"
+    for c in f"{_FEATURE_TEXT} {_FEATURE_INT} {_FEATURE_DOUBLE}".split()
+)
+ORACLE["current_feature_kpis"] = (
+    _with(*DENSE, CORRELATION, FEATURES)
+    + f"SELECT site, timestamp, {_FEATURE_OUT} FROM (SELECT site, max(timestamp) AS timestamp, {_NEWEST} FROM fr GROUP BY site)"
 )
 
 # ---- flows ------------------------------------------------------------------------------
@@ -498,25 +510,23 @@ ORACLE["how_profile"] = (
   SELECT site, isodow(timestamp) - 1 AS day_of_week, hour(timestamp) AS hour_of_day, avg(total_gbps) AS how_mean,
   stddev_samp(total_gbps) AS how_std, count(total_gbps) AS how_count FROM ht GROUP BY 1, 2, 3)"""
 )
-_SHARE = "(SELECT ratio FROM tr WHERE traffic_type = '{t}')"
+_USUAL = [*TYPES, "total_bytes_hour"]
 ORACLE["expected_profile"] = (
     _with(
         *FLOWED,
         FLOW_HOURS,
-        RATIOS,
-        HOD,
-        f"""sp AS (SELECT site, ts AS timestamp, i, {_capacity('site')} AS capacity_gbps FROM (SELECT DISTINCT site FROM fh),
-  (SELECT i, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(i AS INTEGER) AS ts FROM (SELECT unnest(range(90 * 24)) AS i))),
-u AS (SELECT sp.*, greatest(0.04, least(0.96, (0.20 + hod_norm * 0.55) * CASE WHEN isodow(timestamp) >= 6 THEN 0.4 ELSE 1 END
-  + CASE WHEN day(timestamp) >= 28 THEN 0.15 WHEN day(timestamp) <= 2 THEN 0.05 ELSE 0 END
-  + 0.10 * sin(2 * pi() * (dayofyear(timestamp) - 90) / 365) + i / 2160.0::DOUBLE * 0.045)) AS used
-  FROM sp JOIN hn ON hn.hod = hour(timestamp)),
-g AS (SELECT *, used * capacity_gbps AS total_gbps, used * 100 AS utilization_pct FROM u),
-t AS (SELECT *, """
-        + ", ".join(f"total_gbps * {_SHARE.format(t=t)} AS {t}_gbps" for t in TYPES[:-1])
-        + " FROM g), x AS (SELECT *, greatest(0.0, total_gbps - https_gbps - video_gbps - http_gbps - vpn_gbps - dns_gbps) AS db_gbps FROM t)",
+        "wk AS (SELECT site, isodow(hour) AS d, hour(hour) AS h, count(*) AS observed_hours, "
+        + ", ".join(f"avg({c}) AS {c}" for c in _USUAL)
+        + " FROM fh GROUP BY 1, 2, 3)",
+        "dl AS (SELECT site, hour(hour) AS h, " + ", ".join(f"avg({c}) AS {c}" for c in _USUAL) + " FROM fh GROUP BY 1, 2)",
+        """sp AS (SELECT site, hour FROM (SELECT DISTINCT site FROM fh),
+  (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM fh))""",
+        "x AS (SELECT sp.site, sp.hour, coalesce(observed_hours, 0) AS observed_hours, "
+        + ", ".join(f"coalesce(wk.{c}, dl.{c}) AS expected_{c}" for c in _USUAL)
+        + """ FROM sp LEFT JOIN wk ON wk.site = sp.site AND wk.d = isodow(sp.hour) AND wk.h = hour(sp.hour)
+  LEFT JOIN dl ON dl.site = sp.site AND dl.h = hour(sp.hour))""",
     )
-    + f"SELECT site, timestamp, capacity_gbps, {_r('total_gbps utilization_pct ' + ' '.join(t + '_gbps' for t in TYPES))} FROM x"
+    + f"SELECT site, hour, observed_hours, {_r(' '.join('expected_' + c for c in _USUAL), 4)} FROM x"
 )
 ORACLE["densified_hourly"] = (
     _with(*DENSE)
@@ -694,26 +704,26 @@ ORACLE["site_coverage"] = (
   (SELECT date_diff('hour', min(timestamp), max(timestamp)) + 1 FROM ht) - count(*) AS missing_hours FROM ht GROUP BY site"""
 )
 _PROFILED = {
-    "lag_24h": "lag_features", "roll_mean_24h": "rolling_stats", "roll_std_24h": "rolling_stats",
-    "zscore_24h": "anomaly_indicators", "congestion_risk": "derived_kpis", "hour_of_day": "temporal",
-}
+    "temporal": f"{CAL_INT} {CAL_DOUBLE}",
+    "lag_features": f"{_LAG_NAMES} {_DIFFS}",
+    "rolling_stats": _ROLL,
+    "derived_kpis": f"{_KPI} congestion_risk",
+    "cross_site": "site_rank_current_hour site_relative_to_avg cross_site_stddev cross_site_correlation_index",
+    "anomaly_indicators": f"zscore_24h zscore_1h {_FLAGS}",
+}
 
 
 def _profile(name: str, group: str) -> str:
     value = "CAST(NULL AS DOUBLE)" if name == "congestion_risk" else f"CAST({name} AS DOUBLE)"
     return f"""SELECT '{group}' AS feature_group, '{name}' AS feature, count({name}) AS non_null,
   (count(*) - count({name})) / count(*)::DOUBLE AS null_rate, min({value}) AS min_value,
-  avg({value}) AS mean_value, max({value}) AS max_value FROM fp"""
+  avg({value}) AS mean_value, max({value}) AS max_value FROM fr"""
 
 
-_GROUP_NAMES = {"anomaly_indicators": "anomaly_indicators"}
 ORACLE["feature_profile"] = (
-    _with(
-        *DENSE,
-        f"fp AS (SELECT *, hour(timestamp) AS hour_of_day FROM ({_indicators('(' + _KPI_SQL + ')', 3, False, 6, 3, None)}))",
-    )
-    + f"""SELECT feature_group, feature, non_null, {_r('null_rate min_value mean_value max_value')}
-FROM ({' UNION ALL '.join(_profile(n, g) for n, g in _PROFILED.items())})"""
+    _with(*DENSE, CORRELATION, FEATURES)
+    + f"""SELECT feature_group, feature, non_null, {_r('null_rate min_value mean_value max_value', 6)}
+FROM ({' UNION ALL '.join(_profile(n, g) for g, names in _PROFILED.items() for n in names.split())})"""
 )
 ORACLE["batch_day_features"] = (
     _with(*DENSE)

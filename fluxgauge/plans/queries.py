@@ -269,9 +269,7 @@ FEATURE_INPUT = [
 ]
 
 
-@query
-def hourly_features(spark, sf):
-    """The hourly features in one plan: calendar, lags, rolling, KPIs, cross-site, anomalies."""
+def _feature_rows(spark, sf):
     rows = features(b.grid_view(spark, sf, *FEATURE_INPUT), chunks=TimeChunks())
     wanted = [
         *TEMPORAL, *[f"lag_{n}h" for n in (1, 2, 3, 6, 12, 24, 48, 168)], "diff_1", "diff_24",
@@ -281,7 +279,13 @@ def hourly_features(spark, sf):
         "site_relative_to_avg", "cross_site_stddev", "cross_site_correlation_index", *INDICATORS,
         "detected_type", "ensemble_votes",
     ]
-    return exact(rows.select("site", "timestamp", *wanted), cross_site_correlation_index=6)
+    return rows.select("site", "timestamp", *wanted)
+
+
+@query
+def hourly_features(spark, sf):
+    """The hourly features in one plan: calendar, lags, rolling, KPIs, cross-site, anomalies."""
+    return exact(_feature_rows(spark, sf), cross_site_correlation_index=6)
 
 
 # ---- flows ------------------------------------------------------------------------------
@@ -435,9 +439,8 @@ def how_profile(spark, sf):
 
 @query
 def expected_profile(spark, sf):
-    table = materialize(aggregate.hourly_table(_clean(spark, sf)))
-    rows = expected_from_flows(table, "2024-01-01 00:00:00", "2024-03-31 00:00:00")
-    return exact(rows)
+    """Usual bytes per site and hour, from what was observed at the same hour of week."""
+    return exact(expected_from_flows(materialize(aggregate.hourly_table(_clean(spark, sf)))), 4)
 
 
 @query
@@ -537,6 +540,12 @@ def current_kpis(spark, sf):
     return exact(reports.current_kpis(b.hourly_view(spark, sf)))
 
 
+@query
+def current_feature_kpis(spark, sf):
+    """The last known value of every engineered feature per site."""
+    return exact(reports.current_kpis(_feature_rows(spark, sf)), cross_site_correlation_index=6)
+
+
 @query
 def anomaly_report(spark, sf):
     return exact(reports.anomaly_report(b.hourly_view(spark, sf), 720))
@@ -566,9 +575,6 @@ def site_coverage(spark, sf):
     return reports.site_coverage(b.hourly_view(spark, sf))
 
 
-PROFILED = ["lag_24h", "roll_mean_24h", "roll_std_24h", "zscore_24h", "congestion_risk", "hour_of_day"]
-
-
 @query
 def batch_day_features(spark, sf):
     """The daily job on one date: read with look-back, compute, write, read back."""
@@ -585,8 +591,9 @@ def batch_day_features(spark, sf):
 
 @query
 def feature_profile(spark, sf):
+    """Every feature of the catalogue."""
     rows = features(b.grid_view(spark, sf, *FEATURE_INPUT), chunks=TimeChunks())
-    return exact(reports.feature_profile(rows.select("site", "timestamp", *PROFILED)))
+    return exact(reports.feature_profile(rows), 6)
 
 
 @query

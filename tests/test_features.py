@@ -191,3 +191,19 @@ def test_typed_anomalies(spark):
     df = spark.createDataFrame(rows, "site string, timestamp timestamp_ntz, utilization_pct double, bgp_peers_up int")
     kinds = [r.detected_type for r in classify_anomaly(df, Series(value="utilization_pct")).orderBy("timestamp").collect()]
     assert kinds[24:] == ["ddos", "maintenance", "bgp_flap"] and set(kinds[:24]) == {None}
+
+
+@pytest.mark.parametrize("spread", [True, False])
+def test_a_silent_site_leaves_the_mean_alone(spark, spread):
+    from fluxgauge.operators.spine import densify
+    from fluxgauge.plans.features import HOURLY_FILL
+
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [("a", at(0), 40.0), ("a", at(1), 40.0), ("b", at(0), 60.0), ("b", at(1), 60.0), ("c", at(0), 50.0)]
+    df = spark.createDataFrame(rows, "site string, timestamp timestamp_ntz, utilization_pct double")
+    dense = densify(df, fill={c: v for c, v in HOURLY_FILL.items() if c in df.columns})
+    got = {(r.site, r.timestamp.hour): r for r in add_cross_site(dense, spread=spread, others=True).collect()}
+    assert got["a", 1].site_relative_to_avg == near(0.8) and got["a", 1].mean_of_others == near(60.0)
+    silent = got["c", 1]
+    assert silent.utilization_pct is None and silent.site_relative_to_avg is None
+    assert silent.site_rank_current_hour == 3 and silent.mean_of_others == near(50.0)

@@ -10,7 +10,7 @@ from fluxgauge.functions.protocol import PROTOCOL_NAMES, map_protocol, with_traf
 from fluxgauge.operators import aggregate, flows
 from fluxgauge.operators.spine import expected_profile
 from fluxgauge.plans.features import expected_from_flows, hourly_from_flows
-from fluxgauge.schemas import FLOW, TRAFFIC_TYPES, site_dimension
+from fluxgauge.schemas import FLOW, TRAFFIC_TYPES
 from fluxgauge.sources.readers import read_flows
 
 
@@ -147,21 +147,24 @@ def test_ratios_and_profiles(spark):
 
 
 def test_expected_profile(spark):
-    hod = spark.range(24).selectExpr("CAST(id AS int) AS hod", "0.5D AS hod_norm")
-    ratios = spark.createDataFrame([(t, 0.1) for t in TRAFFIC_TYPES], "traffic_type string, ratio double")
-    sites = spark.createDataFrame([("NYC-DC1",), ("ELSE",)], "site string")
-    df = expected_profile(sites, hod, ratios, "2024-01-06 00:00:00", "2024-01-09 00:00:00")
-    assert df.count() == 2 * 72
-    got = {(r.site, r.timestamp): r for r in df.collect()}
-    import math
-
-    monday = got["NYC-DC1", dt.datetime(2024, 1, 8, 0)]
-    used = 0.475 + 0.10 * math.sin(2 * math.pi * (8 - 90) / 365) + 48 / 72 * 0.045
-    assert monday.total_gbps == pytest.approx(used * 100) and monday.https_gbps == pytest.approx(used * 10)
-    assert monday.db_gbps == pytest.approx(used * 50)
-    saturday = got["ELSE", dt.datetime(2024, 1, 6, 0)]
-    assert saturday.utilization_pct == pytest.approx(100 * (0.475 * 0.4 + 0.10 * math.sin(2 * math.pi * (6 - 90) / 365)))
-    assert saturday.capacity_gbps == 75
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    # Mondays 1 and 8 at 5 o'clock, Tuesday 2 at 5, Monday 8 at 6 with an unknown value; no time, no site.
+    rows = [
+        ("A", at(1, 5), 10.0), ("A", at(8, 5), 20.0), ("A", at(2, 5), 60.0), ("A", at(8, 6), None),
+        ("A", None, 99.0), (None, at(1, 5), 7.0),
+    ]
+    df = spark.createDataFrame(rows, "site string, hour timestamp_ntz, v double")
+    out = expected_profile(df, ("v",)).collect()
+    got = {(r.site, r.hour): (r.expected_v, r.observed_hours) for r in out}
+    assert len(out) == len(got) == 2 * (7 * 24 + 2)
+    assert got["A", at(1, 5)] == got["A", at(8, 5)] == (15.0, 2)
+    assert got["A", at(2, 5)] == (60.0, 1)
+    assert got["A", at(3, 5)] == (30.0, 0)  # no Wednesday seen: the mean of all days at 5
+    assert got["A", at(8, 6)] == got["A", at(1, 6)] == (None, 1) and got["A", at(3, 6)] == (None, 0)
+    assert got[None, at(8, 5)] == (7.0, 1)
+    ahead = expected_profile(df, ("v",), start="2024-02-05 05:00:00", end="2024-02-05 06:00:00").collect()
+    assert {(r.site, r.expected_v) for r in ahead} == {("A", 15.0), (None, 7.0)}
+    assert expected_profile(df.limit(0), ("v",)).count() == 0
 
 
 def test_flows_from_csv_to_expected_traffic(spark, tmp_path):
@@ -175,9 +178,12 @@ def test_flows_from_csv_to_expected_traffic(spark, tmp_path):
     total = hourly.agg(F.sum("video"), F.sum("total_bytes_hour")).first()
     assert total[0] == total[1] == pytest.approx(sum(range(200)) * 1.3)
     seen = hourly.filter("total_bytes_hour > 0")
-    out = expected_from_flows(seen, "2024-01-01 00:00:00", "2024-03-31 00:00:00", site_dimension(spark))
-    assert out.count() == 5 * 90 * 24
-    assert out.filter("total_gbps <= 0 OR db_gbps < 0 OR utilization_pct > 96.0001").count() == 0
+    out = expected_from_flows(seen)
+    assert out.count() == 72 * seen.select("site").distinct().count()
+    # Every hour of week was seen once at most here, so the usual is what was there.
+    both = out.filter("observed_hours > 0").join(seen, ["site", "hour"])
+    assert both.count() == seen.count()
+    assert both.filter("abs(expected_video - video) > 1e-9 OR observed_hours <> 1").count() == 0
     assert read_flows(spark, str(tmp_path), limit=10).count() == 10
 
 

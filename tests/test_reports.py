@@ -9,7 +9,7 @@ from fluxgauge.operators import forecast, reports
 from fluxgauge.operators.anomaly import anomaly_flags, baseline_stats
 from fluxgauge.operators.catalogue import catalogue, feature_groups
 from fluxgauge.operators.exog import add_exog
-from fluxgauge.operators.joins import event_flags, merge_intervals, with_capacity
+from fluxgauge.operators.joins import event_flags, interval_index, merge_intervals, with_capacity
 from fluxgauge.operators.series import NODE_SERIES
 
 START = dt.datetime(2024, 1, 1)
@@ -259,3 +259,48 @@ def test_an_event_without_an_end_goes_on(spark):
     )
     got = {r.timestamp.hour: r.geo_event_flag for r in event_flags(ticks, events).collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 1}
+
+
+def test_long_events_cost_a_row_per_day(spark):
+    rows = [("n", dt.datetime(2014, 1, 1, 7, 20), dt.datetime(2024, 1, 1, 9, 45)), ("n", dt.datetime(2015, 1, 1), dt.datetime(2016, 1, 1))]
+    ev = spark.createDataFrame(rows, "node_id string, start timestamp_ntz, end timestamp_ntz")
+    days, pieces = interval_index(ev, ["node_id"])
+    assert days.count() == 3651  # 2 January 2014 to 31 December 2023
+    assert pieces.count() == 17 + 10  # hours 7 to 23 of the first day, 0 to 9 of the last
+
+
+def test_event_flags_equal_a_plain_range_check(spark):
+    import random
+
+    rnd = random.Random(5)
+    minute = lambda n: START + dt.timedelta(minutes=n)
+    span = 6 * 1440
+    events = []
+    for _ in range(60):
+        begin = rnd.choice([rnd.randrange(span), 60 * rnd.randrange(144), 1440 * rnd.randrange(6)])
+        length = rnd.choice([0, 1, rnd.randrange(90), 60 * rnd.randrange(30), 1440 * rnd.randrange(3), -5])
+        events.append((rnd.choice("abc"), minute(begin), minute(begin + length), rnd.choice(["geo", "maintenance"])))
+    events += [(None, minute(0), minute(99), "geo"), ("a", None, minute(99), "geo"), ("b", minute(9), minute(99), None)]
+    ticks = [(rnd.choice("abcd"), minute(rnd.choice([rnd.randrange(span), 60 * rnd.randrange(144)]))) for _ in range(800)]
+    ticks += [(None, minute(5)), ("a", None)]
+    df = spark.createDataFrame(ticks, "node_id string, timestamp timestamp_ntz")
+    ev = spark.createDataFrame(events, "node_id string, start timestamp_ntz, end timestamp_ntz, kind string")
+    got = sorted(
+        (str(r.node_id), str(r.timestamp), r.geo_event_flag, r.maintenance_flag) for r in event_flags(df, ev).collect()
+    )
+
+    def covered(node, at, kind):
+        return int(any(
+            node is not None and at is not None and n == node and k == kind and s is not None and s <= at < e
+            for n, s, e, k in events
+        ))
+
+    assert got == sorted((str(n), str(t), covered(n, t, "geo"), covered(n, t, "maintenance")) for n, t in ticks)
+
+
+def test_text_is_read_from_the_oldest_mark_on(spark):
+    rows = [("a", START + dt.timedelta(hours=h), float(h), "old" if h == 3 else None) for h in range(9)]
+    rows += [("b", START + dt.timedelta(hours=h), None, f"b{h}") for h in range(9)] + [("c", START, 1.0, None)]
+    df = spark.createDataFrame(rows, "site string, timestamp timestamp_ntz, v double, note string")
+    got = {r.site: (r.v, r.note) for r in reports.current_kpis(df).collect()}
+    assert got == {"a": (8.0, "old"), "b": (None, "b8"), "c": (1.0, None)}
