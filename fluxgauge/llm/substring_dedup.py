@@ -69,10 +69,11 @@ def _anchor_lists(docs: DataFrame, window: int, gram: int) -> DataFrame:
             fresh[1:] = (lowest[1:] != lowest[:-1]) | (document[1:] != document[:-1])
             counts = np.bincount(document[fresh], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), lists(lowest[fresh].view(np.int64), counts, pa.int64())], ["id", "anchors"]
+                [batch.column("id"), batch.column("th"), lists(lowest[fresh].view(np.int64), counts, pa.int64())],
+                ["id", "th", "anchors"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, anchors array<long>")
+    return docs.mapInArrow(run, "id long, th long, anchors array<long>")
 
 
 def _list_slices(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,13 +201,14 @@ def without_repeats(
     stages = Stages(docs.sparkSession)
     docs = keyed(docs, text, doc_id)
     listed = stages.put(_anchor_lists(docs, window, gram))
-    flat = listed.select("id", F.explode("anchors").alias("anchor"))
+    flat = listed.select("id", "th", F.explode("anchors").alias("anchor"))
     shared = flat.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    own = flat.join(shared.select("anchor"), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
+    # Per id and text, not per id: rows without an id are many texts.
+    own = flat.join(shared.select("anchor"), "anchor").groupBy("id", "th").agg(F.collect_set("anchor").alias("shared"))
     own = stages.put(own)
     stages.drop(listed)
 
-    found = stages.put(_window_lists(docs.join(own, "id"), window, gram))
+    found = stages.put(_window_lists(docs.join(own, ["id", "th"]), window, gram))
     stages.drop(own)
     each = found.select("id", "th", F.explode(F.arrays_zip("start", "f1", "f2")).alias("w")).select("id", "th", "w.*")
     parts = []
@@ -223,7 +225,8 @@ def without_repeats(
         parts.append(stages.put(later.select("id", "th", "start", *source)))
     stages.drop(found)
     hits = functools.reduce(DataFrame.union, parts)
-    hits = hits.groupBy("id", "th").agg(F.collect_list(F.struct("start", "source", "source_start")).alias("hits"))
+    # A set: rows that repeat an id and a text bring the same hits.
+    hits = hits.groupBy("id", "th").agg(F.collect_set(F.struct("start", "source", "source_start")).alias("hits"))
     hits = stages.put(hits)
     stages.drop(*parts)
     empty = F.expr("cast(array() as array<struct<start: int, source: bigint, source_start: int>>)")

@@ -205,6 +205,27 @@ def plain_rules(text):
     return len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(again), len(w) < 50 or 2 * len(again) > len(w)
 
 
+def test_substring_dedup_of_rows_that_repeat_or_have_no_id(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text)] + [(None, text)] * 400 + [(2, other)] * 50 + [(3, other + " end")] * 50 + [(None, "x " + other)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.without_repeats(docs).collect()
+    assert len(got) == len(rows)
+    seen = {}
+    for r in got:
+        factors = tuple(tuple(f) for f in r.factors)
+        seen.setdefault((r.doc_id, r.n_words, r.n_removed, factors), []).append(r)
+    counts = {key: len(group) for key, group in seen.items()}
+    assert counts == {
+        (1, 100, 0, ()): 1,
+        (None, 100, 100, ((0, 100, 1, 0),)): 400,
+        (2, 40, 0, ()): 50,
+        (3, 41, 40, ((0, 40, 2, 0),)): 50,
+        (None, 41, 40, ((1, 40, 2, 0),)): 3,
+    }
+
+
 def test_quality_rules_count_like_plain_code(spark, odd_texts):
     texts = [*odd_texts, "x\nx\n\ny\n x", "# a | b <c> " * 30]
     got = quality_rules.judged(table(spark, texts))
