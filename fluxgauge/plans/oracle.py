@@ -672,6 +672,39 @@ _H_OTHER = "capacity_gbps active_sessions new_flows_per_sec bgp_peers_up link_er
 CURRENT = "cu AS (SELECT site, max(timestamp) AS timestamp, " + ", ".join(
     f"arg_max({c}, timestamp) FILTER ({c} IS NOT NULL) AS {c}" for c in (_H_DOUBLE + " " + _H_OTHER).split()
 ) + " FROM ht GROUP BY site)"
+ORACLE["node_schema_report"] = """SELECT u.*, CASE u."column" WHEN 'jitter_ms' THEN (SELECT count(*) FROM events) ELSE 0 END AS nulls,
+  CASE u."column" WHEN 'latency_ms' THEN (SELECT count(*) FROM events WHERE event_id % 50 = 1)
+    WHEN 'timestamp' THEN (SELECT count(*) FROM events WHERE event_id % 40 = 3) ELSE 0 END AS violations
+FROM (VALUES """ + ", ".join(
+    f"('{c}', {kind}, {'NULL' if c == 'jitter_ms' else repr('string')})"
+    for kind, names in {
+        "'timestamp_ntz'": ["timestamp"],
+        "'string'": ["node_id", "region"],
+        "'int'": ["bgp_updates", "dns_qps"],
+        "'double'": [
+            "throughput_gbps", "latency_ms", "packet_loss_pct", "active_flows_m", "utilization_pct",
+            "bytes_in_gbps", "bytes_out_gbps", "cdn_requests_k", "jitter_ms",
+        ],
+        "NULL": ["event_id"],
+    }.items()
+    for c in names
+) + """) u("column", expected, found)"""
+ORACLE["node_layout_days"] = (
+    _with(*TICKS)
+    + f"""SELECT node_id, event_id, timestamp, CAST(timestamp AS DATE) AS date, {_r('throughput_gbps latency_ms')} FROM nt
+WHERE node_id IN ('node-1', 'node-3') AND timestamp >= TIMESTAMP '2024-01-08' AND timestamp < TIMESTAMP '2024-01-13'"""
+)
+#: The tick table with a week of history, in place of all of it.
+WEEK_TICKS = (EV, NODE.replace("nt AS (", "n0 AS (", 1), f"""n1 AS (SELECT *, lag(throughput_gbps, 168) {WN} AS lag_168h,
+  throughput_gbps - lag(throughput_gbps, 24) {WN} AS diff_24 FROM n0), nt AS (SELECT * FROM n1 WHERE lag_168h IS NOT NULL)""")
+ORACLE["view_network_features"] = (
+    _with(*WEEK_TICKS)
+    + f"""SELECT node_id, CAST(is_weekend AS INTEGER) AS is_weekend, n, {_r('lag_mean diff_high loss latency_low')} FROM (
+  SELECT node_id, CASE WHEN dayofweek(timestamp) IN (0, 6) THEN 1 ELSE 0 END AS is_weekend, count(*) AS n,
+  avg(lag_168h) AS lag_mean, max(diff_24) AS diff_high, avg(packet_loss_pct) AS loss, min(latency_ms) AS latency_low FROM nt GROUP BY 1, 2)"""
+)
+ORACLE["view_kpi_snapshot"] = ORACLE["kpi_snapshot"].replace(_with(*TICKS), _with(*WEEK_TICKS), 1)
+ORACLE["view_anomaly_flags"] = ORACLE["anomaly_flags"].replace(NODE, ", ".join(WEEK_TICKS[1:]), 1)
 ORACLE["current_kpis"] = (
     _with(*HOURLY, CURRENT)
     + f"SELECT site, timestamp, {', '.join(_H_OTHER.split())}, {_r(_H_DOUBLE)} FROM cu"

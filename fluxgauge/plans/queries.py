@@ -32,11 +32,12 @@ from fluxgauge.operators.timestamps import time_votes
 from fluxgauge.plans import bindings as b
 from fluxgauge.plans import job
 from fluxgauge.plans.features import expected_from_flows, features, hourly_from_flows, node_features
-from fluxgauge.schemas import TRAFFIC_TYPES
+from fluxgauge.plans.views import register_views
+from fluxgauge.schemas import NODE, TRAFFIC_TYPES
 from fluxgauge.session import materialize, scratch_path
 from fluxgauge.sources.flow_files import rejected_lines
-from fluxgauge.sources.readers import read_flows, read_telemetry_stream, register_stage
-from fluxgauge.sources.writers import run_report
+from fluxgauge.sources.readers import conformance, read_flows, read_telemetry_stream, read_ticks, register_stage
+from fluxgauge.sources.writers import run_report, write_features
 from fluxgauge.streaming import jobs
 from fluxgauge.streaming.stateful import features_stream as stateful_features
 from fluxgauge.streaming.stateful import keyed_state
@@ -517,6 +518,51 @@ def announced_event_flags(spark, sf):
     return rows.select("node_id", "event_id", "geo_event_flag", "maintenance_flag")
 
 
+@query
+def node_schema_report(spark, sf):
+    """Telemetry as text, one column missing, one too many, some values no number."""
+    node = b.node_view(spark, sf)
+    text = node.drop("jitter_ms").select(*[F.col(c).cast("string").alias(c) for c in node.columns if c != "jitter_ms"])
+    broken = F.when(F.col("event_id").cast("bigint") % 50 == 1, "n/a").otherwise(F.col("latency_ms"))
+    late = F.when(F.col("event_id").cast("bigint") % 40 == 3, "soon").otherwise(F.col("timestamp"))
+    return conformance(text.withColumns({"latency_ms": broken, "timestamp": late}), NODE)
+
+
+@query
+def node_layout_days(spark, sf):
+    """Ticks laid out by node and date, then two nodes of three days and the two ahead read back."""
+    path = scratch_path(spark, "ticks")
+    write_features(b.node_view(spark, sf).withColumn("date", F.to_date("timestamp")), path, ("node_id", "date"), report=False)
+    rows = read_ticks(spark, path, "2024-01-10", "2024-01-13", ["node-1", "node-3"], lookback_days=2)
+    return exact(rows.select("node_id", "event_id", "timestamp", "date", "throughput_gbps", "latency_ms"))
+
+
+def _views(spark, sf):
+    register_views(b.node_view(spark, sf), TICKS, last_hours=24, digits=False)
+
+
+@query
+def view_network_features(spark, sf):
+    _views(spark, sf)
+    rows = spark.sql(
+        """SELECT node_id, is_weekend, count(*) AS n, avg(lag_168h) AS lag_mean, max(diff_24) AS diff_high,
+             avg(packet_loss_rate) AS loss, min(avg_latency_ms) AS latency_low FROM network_features GROUP BY ALL"""
+    )
+    return exact(rows)
+
+
+@query
+def view_kpi_snapshot(spark, sf):
+    _views(spark, sf)
+    return exact(_half_up(spark.sql("SELECT * FROM kpi_snapshot")))
+
+
+@query
+def view_anomaly_flags(spark, sf):
+    _views(spark, sf)
+    return exact(spark.sql("SELECT * FROM anomaly_flags"))
+
+
 # ---- KPI snapshots and reports ----------------------------------------------------------
 
 

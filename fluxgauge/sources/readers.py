@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fluxgauge.functions.clock import hours, moment
 from fluxgauge.schemas import NODE
 from fluxgauge.sources.flow_files import read_flow_files
 
@@ -17,6 +18,69 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def conformance(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """How far a table keeps to a fixed schema: one row per column of either.
+
+    ``expected`` and ``found`` are types (NULL: not there), ``nulls`` counts missing values and
+    ``violations`` values that the expected type cannot hold. One aggregate over the table; names
+    compare as Spark compares them, without case.
+    """
+    here = {f.name.lower(): f for f in df.schema.fields}
+    wanted = {f.name.lower() for f in schema.fields}
+    rows = []
+    for f in schema.fields:
+        found = here.get(f.name.lower())
+        value = F.col(f"`{found.name}`") if found else None
+        bad = value.isNotNull() & value.try_cast(f.dataType).isNull() if found else None
+        rows.append((f.name, f.dataType, found, value, bad))
+    rows += [(f.name, None, f, F.col(f"`{f.name}`"), None) for f in df.schema.fields if f.name.lower() not in wanted]
+
+    def text(kind) -> Column:
+        return F.lit(kind.simpleString() if kind is not None else None).cast("string")
+
+    lines = [
+        F.struct(
+            F.lit(name).alias("column"),
+            text(kind).alias("expected"),
+            text(found.dataType if found else None).alias("found"),
+            (F.count_if(value.isNull()) if found else F.count(F.lit(1))).alias("nulls"),
+            (F.lit(0).cast("long") if bad is None else F.count_if(bad)).alias("violations"),
+        )
+        for name, kind, found, value, bad in rows
+    ]
+    return df.agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
+
+
+def conformed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` with its types; what a type cannot hold, and columns that are not
+    there, are NULL (``conformance`` counts them)."""
+    here = {f.name.lower(): f.name for f in df.schema.fields}
+    return df.select(
+        *[
+            (F.col(f"`{here[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in here else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema.fields
+        ]
+    )
+
+
+def read_ticks(
+    spark: SparkSession,
+    path: str,
+    start,
+    end,
+    nodes: list[str] | None = None,
+    lookback_days: int = 0,
+) -> DataFrame:
+    """Ticks of ``[start, end)``, and of the days ahead that their history needs, from a table that
+    ``write_features`` laid out by ``node_id`` and ``date``: both filters prune folders."""
+    low, high = moment(start) - hours(24 * lookback_days), moment(end)
+    ticks = spark.read.parquet(path)
+    days = F.col("date").between(F.to_date(low), F.to_date(high))
+    at = F.col("timestamp")
+    rows = ticks.filter(days & (at >= low) & (at < high))
+    return rows if nodes is None else rows.filter(F.col("node_id").isin(*nodes))
+
+
 def read_hourly(
     spark: SparkSession, path: str, date: str | dt.date, lookback_days: int = 7
 ) -> DataFrame:

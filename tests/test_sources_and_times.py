@@ -194,3 +194,35 @@ def test_forward_fill_crosses_chunks(spark, span):
         assert r.n == (hour if hour > 60 else None) and r.tag is None
     plan = fill_forward(df, ("x",), span=span)._jdf.queryExecution().optimizedPlan().toString()
     assert all("__chunk" in line.split("windowspecdefinition(")[1].split("ASC")[0] for line in plan.split("\n") if "windowspecdefinition(" in line)
+
+
+def test_a_table_against_its_schema(spark):
+    from pyspark.sql import types as T
+
+    from fluxgauge.sources.readers import conformance, conformed
+
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b.c", T.DateType()), T.StructField("gone", T.DoubleType())])
+    df = spark.createDataFrame([("1", "2024-01-01", 1), ("x", "2024-13-01", 2), (None, None, None), ("99999999999", "", 3)], "A string, `b.c` string, more int")
+    got = {r["column"]: tuple(r)[1:] for r in conformance(df, schema).collect()}
+    assert got == {
+        "a": ("int", "string", 1, 2), "b.c": ("date", "string", 1, 2), "gone": ("double", None, 4, 0), "more": (None, "int", 1, 0),
+    }
+    rows = conformed(df, schema)
+    assert rows.schema == schema and sorted(str(r.a) for r in rows.collect()) == ["1", "None", "None", "None"]
+    assert {r["column"]: (r.nulls, r.violations) for r in conformance(df.limit(0), schema).collect()}["a"] == (0, 0)
+
+
+def test_ticks_are_pruned_by_node_and_date(spark, tmp_path):
+    from fluxgauge.sources.readers import read_ticks
+    from fluxgauge.sources.writers import write_features
+
+    ticks = spark.sql(
+        "SELECT concat('node-', h % 3) AS node_id, TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, CAST(h AS int)) AS timestamp FROM range(240) t(h)"
+    )
+    write_features(ticks.selectExpr("*", "to_date(timestamp) AS date"), str(tmp_path / "t"), ("node_id", "date"), report=False)
+    got = read_ticks(spark, str(tmp_path / "t"), "2024-01-05 06:00:00", "2024-01-06", ["node-2"], lookback_days=1)
+    want = ticks.filter("node_id = 'node-2' AND timestamp >= '2024-01-04 06:00:00' AND timestamp < '2024-01-06 00:00:00'")
+    assert got.count() == want.count() == 14
+    scan = got._jdf.queryExecution().executedPlan().toString()
+    pruned = scan[scan.index("PartitionFilters"):].split("PushedFilters")[0]
+    assert "node_id" in pruned and "date" in pruned
