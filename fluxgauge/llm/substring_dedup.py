@@ -220,9 +220,12 @@ def without_repeats(
             .where("source.id < high")
             .select("f1", "f2", "source")
         )
+        # Stored, so that its size is known and a crowded window is split on the other side.
+        first = stages.put(first)
         later = here.join(first, ["f1", "f2"]).where("source.id < id")
         source = F.col("source.id").alias("source"), F.col("source.start").alias("source_start")
         parts.append(stages.put(later.select("id", "th", "start", *source)))
+        stages.drop(first)
     stages.drop(found)
     hits = functools.reduce(DataFrame.union, parts)
     # A set: rows that repeat an id and a text bring the same hits.
