@@ -35,12 +35,25 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """``name``, with underscores behind it until no column is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids, and whether these decode to the text."""
+    """Documents with their token ids, and whether these decode to the text.
+
+    The new columns are ``ids`` and ``round_trip``, with an underscore more where the documents have
+    columns of these names.
+    """
     path = tokenizer_path()
-    coded = bpe.decoded(bpe.encoded(docs, path), path)
-    same = coded["decoded"].eqNullSafe(coded["text"]) | coded["text"].isNull()
-    return coded.withColumn("round_trip", same).drop("decoded")
+    ids, back, same = (_free(name, docs) for name in ("ids", "decoded", "round_trip"))
+    coded = bpe.decoded(bpe.encoded(docs, path, ids=ids), path, ids=ids, text=back)
+    alike = coded[back].eqNullSafe(coded["text"]) | coded["text"].isNull()
+    return coded.withColumn(same, alike).drop(back)
 
 
 STAGES = [
