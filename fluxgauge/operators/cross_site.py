@@ -103,6 +103,9 @@ def add_cross_site(
 
 _STATS = ("__sum", "__count", "__mean", "__std")
 
+#: A deviation of up to this part of the mean size is rounding.
+_STEADY = 1e-9
+
 
 def _mean_of_others() -> Column:
     own = F.coalesce(F.col(_USED), F.lit(0.0))
@@ -121,13 +124,19 @@ def add_correlation(df: DataFrame, series: Series = SITE_SERIES, rows: int = 24)
     """``cross_site_correlation_index``: rolling Pearson correlation of a site's utilisation
     with the mean of the others; NULL where either is constant. Needs ``mean_of_others``.
 
+    Constant up to rounding, that is: a mean of others is a sum less the own value, which leaves
+    noise in the last digits, and noise correlates with anything.
     Written out from its parts, as ``corr`` itself raises on a constant frame in ANSI mode.
     """
     frame = series.frame(rows)
     mine = F.when(F.col("mean_of_others").isNotNull(), F.col(_USED))
     other = F.when(F.col(_USED).isNotNull(), F.col("mean_of_others"))
     spread = F.stddev_pop(mine).over(frame) * F.stddev_pop(other).over(frame)
+
+    def varies(x: Column) -> Column:
+        return F.stddev_pop(x).over(frame) > _STEADY * F.avg(F.abs(x)).over(frame)
+
     return df.withColumn(
         "cross_site_correlation_index",
-        ratio(F.covar_pop(mine, other).over(frame), spread),
+        F.when(varies(mine) & varies(other), ratio(F.covar_pop(mine, other).over(frame), spread)),
     )

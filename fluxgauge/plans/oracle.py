@@ -324,8 +324,8 @@ CORRELATION = """o AS (SELECT *, (sum(utilization_pct) OVER (PARTITION BY timest
   / nullif(count(utilization_pct) OVER (PARTITION BY timestamp) - 1, 0) AS m,
   row_number() OVER (PARTITION BY site ORDER BY timestamp) AS rn FROM grid),
 e AS (SELECT *, CASE WHEN m IS NOT NULL THEN utilization_pct END AS u FROM o),
-c AS (SELECT a.site, a.timestamp, CASE WHEN stddev_pop(b.u) = 0 OR stddev_pop(b.m) = 0 THEN NULL
-  ELSE corr(b.u, b.m) END AS cross_site_correlation_index
+c AS (SELECT a.site, a.timestamp, CASE WHEN stddev_pop(b.u) > 1e-9 * avg(abs(b.u)) AND stddev_pop(b.m) > 1e-9 * avg(abs(b.m))
+  THEN corr(b.u, b.m) END AS cross_site_correlation_index
   FROM e a JOIN e b ON a.site = b.site AND b.rn BETWEEN a.rn - 23 AND a.rn GROUP BY a.site, a.timestamp)"""
 ORACLE["cross_site_correlation"] = (
     _with(*DENSE, CORRELATION)

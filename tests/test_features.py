@@ -207,3 +207,10 @@ def test_a_silent_site_leaves_the_mean_alone(spark, spread):
     silent = got["c", 1]
     assert silent.utilization_pct is None and silent.site_relative_to_avg is None
     assert silent.site_rank_current_hour == 3 and silent.mean_of_others == near(50.0)
+
+
+def test_rounding_noise_has_no_correlation(spark):
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [("a", at(h), float(h), 100.0 if h % 2 else math.nextafter(100.0, 0)) for h in range(8)]
+    df = spark.createDataFrame(rows, "site string, timestamp timestamp_ntz, utilization_pct double, mean_of_others double")
+    assert {r[0] for r in add_correlation(df).select("cross_site_correlation_index").collect()} == {None}
