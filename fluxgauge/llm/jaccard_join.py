@@ -14,10 +14,12 @@ be seen by a neighbouring region, and regions are joined recursively:
   recursively around document pivots (`region_pairs`), in the space of shingle counts per hash
   bin: their L1 distance never exceeds the symmetric difference of the sets, is a metric, and
   so bounds the Jaccard distance from below.
-* Every candidate pair is verified on the whole shingle sets.
+* Candidates are compared once more by counts in as many bins as their sizes call for, as 128 bins
+  tell two long texts apart no longer, and the pairs left are verified on the whole shingle sets.
 
-Only pairs that could join two classes are compared; no link between different classes is lost,
-so the classes are those of all links. Equal sets are one point of the space.
+For classes only pairs that could join two of them are compared; no link between different classes
+is lost, so the classes are those of all links. `linked_pairs` gives every link between different
+sets, without stars and labels. Equal sets are one point of the space.
 """
 
 from __future__ import annotations
@@ -45,7 +47,9 @@ SMALL_CELL = 256
 #: Most members of a region that one task joins; larger ones are joined block against block.
 REGION = 4096
 #: Parts in which candidate pairs are verified; the shuffle files of a part go before the next.
-VERIFY_PARTS = 8
+VERIFY_PARTS = 2
+#: Shingles per bin of a wide sketch. Unrelated sets of n shingles differ there by some 0.6 n in sum.
+BIN_LOAD = 4
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -313,35 +317,77 @@ def _cell_pairs(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def wide_counts(shingles: np.ndarray) -> np.ndarray:
+    """Shingles per bin, in a power of two of bins that grows with the set: ``BINS`` at least."""
+    bits = max(int(BINS).bit_length() - 1, math.ceil(math.log2(max(len(shingles), 1) / BIN_LOAD)))
+    bins = (shingles >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(bins, minlength=1 << bits), 255).astype(np.uint8)
+
+
+def wide_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """L1 distance of two sketches in the bins of the smaller one; never above the symmetric difference."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.abs(y.reshape(len(x), -1).sum(1, dtype=np.int64) - x).sum())
+
+
+def _wide_unlike(similarity: tuple[int, int]):
+    """Drops pairs that wide sketches exclude."""
+
+    def run(batches):
+        for batch in batches:
+            left, right = batch.column("wa").to_pylist(), batch.column("wb").to_pylist()
+            l1 = [wide_distance(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(left, right)]
+            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            ok = within(np.array(l1, np.int64), sizes, similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity, stages: Stages) -> DataFrame:
     """The pairs whose whole shingle sets are similar enough."""
     num, den = similarity
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stages.put(classes.join(nodes, "node").select("node", "id", "th"))
+    wanted = stages.put(classes.join(nodes, "node").select("node", "n", "id", "th"))
 
     def run(batches):
         for batch in slices(batches, "text"):
             flat, counts = shingle_sets(batch.column("text"), size)
+            ends = np.cumsum(counts)
+            wide = [wide_counts(flat[e - c : e]).tobytes() for c, e in zip(counts, ends)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), lists(flat.view(np.int64), counts, pa.int64())], ["node", "shingles"]
+                [
+                    batch.column("node"),
+                    batch.column("n"),
+                    pa.array(wide, pa.binary()),
+                    lists(flat.view(np.int64), counts, pa.int64()),
+                ],
+                ["node", "n", "wide", "shingles"],
             )
 
-    texts = docs.join(wanted, ["id", "th"]).select("node", "text")
-    sets = stages.put(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
+    texts = docs.join(wanted, ["id", "th"]).select("node", "n", "text")
+    schema = "node long, n long, wide binary, shingles array<long>"
+    sets = stages.put(texts.mapInArrow(run, schema).dropDuplicates(["node"]))
+    # A pair carries whole sets through the second join, so wide sketches, some 32 times smaller, go first.
+    wide = sets.select("node", "n", "wide")
+    alike = pairs.join(wide.toDF("a", "na", "wa"), "a").join(wide.toDF("b", "nb", "wb"), "b")
+    alike = stages.put(alike.mapInArrow(_wide_unlike(similarity), "a long, b long"))
+    whole = sets.select("node", "shingles")
     inter = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - inter
     links = []
-    # A join carries a whole set per pair, so only a part of the pairs is on its way at a time.
     for part in range(VERIFY_PARTS):
-        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(VERIFY_PARTS)) == part)
+        some = alike.where(F.pmod(F.xxhash64("a"), F.lit(VERIFY_PARTS)) == part)
+        left = whole.where(F.pmod(F.xxhash64("node"), F.lit(VERIFY_PARTS)) == part)
         linked = (
-            some.join(sets.toDF("a", "sa"), "a")
-            .join(sets.toDF("b", "sb"), "b")
+            some.join(left.toDF("a", "sa"), "a")
+            .join(whole.toDF("b", "sb"), "b")
             .where(den * inter >= num * union)
             .select("a", "b")
         )
         links.append(stages.put(linked))
-    stages.drop(wanted, sets)
+    stages.drop(wanted, sets, alike)
     return reduce(DataFrame.union, links)
 
 
@@ -363,25 +409,8 @@ def _blocks(members: DataFrame, similarity: tuple[int, int], region: int) -> Dat
     )
 
 
-def linked_classes(
-    docs: DataFrame,
-    text: str = "text",
-    doc_id: str = "doc_id",
-    shingle: int = 5,
-    similarity: tuple[int, int] = (80, 100),
-    region: int = REGION,
-) -> DataFrame:
-    """``(id, th, n_shingles, component_id)`` per document; ``similarity`` is a fraction of integers.
-
-    ``component_id`` is the smallest id that links reach. Texts without words, null ones included,
-    have no shingles and link with nothing: their own id is their component. With fewer words than
-    ``shingle`` the whole sequence is the only shingle. Rows with a missing id count as larger than
-    all others and have the id `NO_ID`; repeated rows are equal sets and lie in one class. An empty
-    table gives an empty result. Other columns are not read.
-    """
-    num, den = similarity
-    spark = docs.sparkSession
-    stages = Stages(spark)
+def _set_classes(docs: DataFrame, text: str, doc_id: str, shingle: int, similarity, stages: Stages):
+    """The keyed documents, their sketches, and one ``node`` per distinct set."""
     docs = keyed(docs, text, doc_id)
     common = common_shingles(docs, shingle, stages)
     rows = stages.put(sketches(docs, shingle, similarity, common))
@@ -393,24 +422,11 @@ def linked_classes(
         .select("fp1", "fp2", "n", "row.id", "row.th", "bins", "pivots")
         .withColumn("node", F.monotonically_increasing_id())
     )
-    classes = stages.put(classes)
+    return docs, rows, stages.put(classes)
 
-    members = classes.select("node", F.explode("pivots").alias("cell"))
-    centres = members.groupBy("cell").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
-    cells = stages.put(members.join(centres.select("cell", "centre"), "cell"))
-    stars = cells.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(stages.put(_near(stars, classes, similarity)), classes, docs, shingle, similarity, stages)
-    labels = linked_labels(links, stages)
 
-    tagged = cells.select("cell", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    tagged = stages.put(tagged)
-    stages.drop(cells)
-    mixed = stages.put(
-        tagged.groupBy("cell")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k"))
-        .where("low < high")
-        .select("cell", "k")
-    )
+def _mixed_pairs(tagged: DataFrame, mixed: DataFrame, classes: DataFrame, similarity, region: int) -> DataFrame:
+    """Candidate pairs of different labels in the ``mixed(cell, k)`` cells of ``tagged(cell, node, label)``."""
     facts = classes.select("node", "n", "bins")
     small = tagged.join(mixed.where(F.col("k") <= SMALL_CELL).select("cell"), "cell").join(facts, "node")
     few = _cell_pairs(small, similarity)
@@ -434,7 +450,45 @@ def linked_classes(
         return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
 
     pairs = _blocks(crowd, similarity, region).groupBy("cell", "band", "i", "j").applyInPandas(join_region, "a long, b long")
-    more = _verified(stages.put(few.union(pairs).distinct()), classes, docs, shingle, similarity, stages)
+    return few.union(pairs).distinct()
+
+
+def linked_classes(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    shingle: int = 5,
+    similarity: tuple[int, int] = (80, 100),
+    region: int = REGION,
+) -> DataFrame:
+    """``(id, th, n_shingles, component_id)`` per document; ``similarity`` is a fraction of integers.
+
+    ``component_id`` is the smallest id that links reach. Texts without words, null ones included,
+    have no shingles and link with nothing: their own id is their component. With fewer words than
+    ``shingle`` the whole sequence is the only shingle. Rows with a missing id count as larger than
+    all others and have the id `NO_ID`; repeated rows are equal sets and lie in one class. An empty
+    table gives an empty result. Other columns are not read.
+    """
+    stages = Stages(docs.sparkSession)
+    docs, rows, classes = _set_classes(docs, text, doc_id, shingle, similarity, stages)
+    members = classes.select("node", F.explode("pivots").alias("cell"))
+    centres = members.groupBy("cell").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
+    cells = stages.put(members.join(centres.select("cell", "centre"), "cell"))
+    stars = cells.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = _verified(stages.put(_near(stars, classes, similarity)), classes, docs, shingle, similarity, stages)
+    labels = linked_labels(links, stages)
+
+    tagged = cells.select("cell", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tagged = stages.put(tagged)
+    stages.drop(cells)
+    mixed = stages.put(
+        tagged.groupBy("cell")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k"))
+        .where("low < high")
+        .select("cell", "k")
+    )
+    found = _mixed_pairs(tagged, mixed, classes, similarity, region)
+    more = _verified(stages.put(found), classes, docs, shingle, similarity, stages)
     final = linked_labels(stages.put(links.union(more)), stages)
 
     named = classes.select("node", "fp1", "fp2", "n", "id").join(final, "node", "left").withColumn(
@@ -449,6 +503,41 @@ def linked_classes(
     )
 
 
+def linked_pairs(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    shingle: int = 5,
+    similarity: tuple[int, int] = (80, 100),
+    region: int = REGION,
+) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, and which documents have which set.
+
+    The links are ``(set_a, set_b)`` with ``set_a < set_b``, numbers of distinct sets; the members are
+    ``(doc_id, n_shingles, set, n_links)`` per document, ``n_links`` counting the other sets its own is
+    linked with. Documents of one set are linked with each other too and not written as pairs. A
+    document without words has no set (null) and no links. Missing ids are null, repeated rows are
+    members of one set each, an empty table gives two empty results. The number of links of a class of
+    k sets may be k (k - 1) / 2: that is the result asked for, where `linked_classes` needs only classes.
+    """
+    stages = Stages(docs.sparkSession)
+    docs, rows, classes = _set_classes(docs, text, doc_id, shingle, similarity, stages)
+    tagged = stages.put(classes.select("node", F.explode("pivots").alias("cell"), F.col("node").alias("label")))
+    mixed = stages.put(tagged.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1"))
+    found = stages.put(_mixed_pairs(tagged, mixed, classes, similarity, region))
+    links = _verified(found, classes, docs, shingle, similarity, stages)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    named = classes.select("node", "fp1", "fp2", "n").join(degree, "node", "left")
+    members = rows.join(named, ["fp1", "fp2", "n"], "left").select(
+        public_id("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.col("node").alias("set"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
+    pairs = links.select(F.least("a", "b").alias("set_a"), F.greatest("a", "b").alias("set_b"))
+    return stages.last(pairs, members)
+
+
 def component_report(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per document, ids as given."""
     found = linked_classes(docs, **options)

@@ -81,13 +81,12 @@ class Stages:
             _, path = self._paths.pop(id(table))
             delete(self.spark, path)
 
-
-    def last(self, df: DataFrame) -> DataFrame:
-        """Store the result itself and delete every other table."""
+    def last(self, *results: DataFrame):
+        """Store the results themselves and delete every other table; one result comes alone."""
         others = [table for table, _ in self._paths.values()]
-        out = self.put(df)
+        out = tuple(self.put(df) for df in results)
         self.drop(*others)
-        return out
+        return out if len(out) > 1 else out[0]
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -58,7 +58,7 @@ def test_parts_of_the_pairs_give_all_links(spark, monkeypatch):
 def test_only_the_result_stays_stored(spark, monkeypatch):
     left = []
     last = Stages.last
-    monkeypatch.setattr(Stages, "last", lambda self, df: (last(self, df), left.append(len(self._paths)))[0])
+    monkeypatch.setattr(Stages, "last", lambda self, *df: (last(self, *df), left.append(len(self._paths)))[0])
     df = spark.createDataFrame([(1, BASE), (2, BASE + " x"), (3, "b c d e f")], "doc_id long, text string")
     assert jaccard_join.component_report(df).count() == 3
     assert left == [1]

@@ -105,6 +105,42 @@ def test_jaccard_classes_are_those_of_all_pairs(spark, odd_texts, size, num, den
     assert by_id(got, "n_shingles", "component_id") == jaccard_classes(odd_texts, size, num, den)
 
 
+@pytest.mark.parametrize("size,num,den", [(3, 90, 100), (2, 1, 2)])
+def test_jaccard_links_are_all_pairs_of_different_sets(spark, odd_texts, size, num, den):
+    texts = odd_texts + odd_texts[:3]
+    links, members = jaccard_join.linked_pairs(table(spark, texts), shingle=size, similarity=(num, den))
+    rows = {r["doc_id"]: r for r in members.collect()}
+    found = {(r["set_a"], r["set_b"]) for r in links.collect()}
+    assert len(found) == links.count() and all(a < b for a, b in found)
+    words = [[x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(t or "")] for t in texts]
+    sets = [frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1)) if w) for w in words]
+    want = {
+        frozenset((x, y)) for x in sets for y in sets if x and y and x != y and den * len(x & y) >= num * len(x | y)
+    }
+    by_set = {rows[k]["set"]: sets[k] for k in rows if sets[k]}
+    assert {frozenset((by_set[a], by_set[b])) for a, b in found} == want and len(found) == len(want)
+    for k, r in rows.items():
+        assert (r["set"] is None) == (not sets[k]) and r["n_shingles"] == len(sets[k])
+        assert r["n_links"] == sum(sets[k] in pair for pair in want)
+
+
+def test_wide_counts_bound_the_difference_of_sets_of_any_size():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 3), (400, 470), (5_000, 6_100), (40_000, 41_000), (3_000, 60_000)):
+        pool = rng.integers(0, 2**64, n + m, dtype=np.uint64)
+        x, y = np.unique(pool[: max(n, m)]), np.unique(pool[min(n, m) // 2 : min(n, m) // 2 + min(n, m)])
+        wide_x, wide_y = jaccard_join.wide_counts(x), jaccard_join.wide_counts(y)
+        l1 = jaccard_join.wide_distance(wide_x, wide_y)
+        assert l1 == jaccard_join.wide_distance(wide_y, wide_x) <= len(np.setxor1d(x, y))
+        assert len(wide_x) >= len(x) / jaccard_join.BIN_LOAD
+        # Unrelated sets of one size are told apart at any size from some hundred shingles on.
+        u, v = rng.integers(0, 2**64, (2, n), dtype=np.uint64)
+        l1 = jaccard_join.wide_distance(jaccard_join.wide_counts(u), jaccard_join.wide_counts(v))
+        assert n < 400 or not jaccard_join.within(np.array([l1]), np.array([2 * n]), (80, 100))[0]
+    same = np.zeros(1000, np.uint64)
+    assert jaccard_join.wide_distance(jaccard_join.wide_counts(same), jaccard_join.wide_counts(same[:600])) <= 400
+
+
 def test_jaccard_crowded_cells_use_pivots_and_blocks(spark, odd_texts, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL_CELL", 1)
     got = jaccard_join.linked_classes(table(spark, odd_texts), shingle=2, similarity=(1, 2), region=2)
