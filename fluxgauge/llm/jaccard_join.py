@@ -47,7 +47,7 @@ SMALL_CELL = 256
 #: Most members of a region that one task joins; larger ones are joined block against block.
 REGION = 4096
 #: Parts in which candidate pairs are verified; the shuffle files of a part go before the next.
-VERIFY_PARTS = 2
+VERIFY_PARTS = 1
 #: Shingles per bin of a wide sketch. Unrelated sets of n shingles differ there by some 0.6 n in sum.
 BIN_LOAD = 4
 
@@ -332,13 +332,16 @@ def wide_distance(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _wide_unlike(similarity: tuple[int, int]):
-    """Drops pairs that wide sketches exclude."""
+    """Drops pairs that wide sketches exclude; a pair without both of them stays."""
 
     def run(batches):
         for batch in batches:
             left, right = batch.column("wa").to_pylist(), batch.column("wb").to_pylist()
-            l1 = [wide_distance(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(left, right)]
-            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            l1 = [
+                0 if x is None or y is None else wide_distance(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))
+                for x, y in zip(left, right)
+            ]
+            sizes = batch.column("na").fill_null(0).to_numpy() + batch.column("nb").fill_null(0).to_numpy()
             ok = within(np.array(l1, np.int64), sizes, similarity)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -366,14 +369,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
                 ["node", "n", "wide", "shingles"],
             )
 
-    texts = docs.join(wanted, ["id", "th"]).select("node", "n", "text")
+    texts = docs.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("node", "n", "text")
     schema = "node long, n long, wide binary, shingles array<long>"
-    sets = stages.put(texts.mapInArrow(run, schema).dropDuplicates(["node"]))
+    sets = stages.put(texts.mapInArrow(run, schema))
     # A pair carries whole sets through the second join, so wide sketches, some 32 times smaller, go first.
-    wide = sets.select("node", "n", "wide")
-    alike = pairs.join(wide.toDF("a", "na", "wa"), "a").join(wide.toDF("b", "nb", "wb"), "b")
+    # Sets with no more bins than the first comparison had need none.
+    wide = sets.where(F.length("wide") > BINS).select("node", "n", "wide")
+    alike = pairs.join(wide.toDF("a", "na", "wa"), "a", "left").join(wide.toDF("b", "nb", "wb"), "b", "left")
     alike = stages.put(alike.mapInArrow(_wide_unlike(similarity), "a long, b long"))
-    whole = sets.select("node", "shingles")
+    left_over = alike.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    whole = sets.select("node", "shingles").join(left_over, "node", "left_semi")
     inter = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - inter
     links = []
