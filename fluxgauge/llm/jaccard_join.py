@@ -8,18 +8,22 @@ be seen by a neighbouring region, and regions are joined recursively:
   pivot in one global order of shingles (common shingles last). Documents within distance
   ``1 - t`` miss at most ``(1-t)|x|`` of each other's shingles, so a window of the first
   ``floor((1-t)|x|) + 1`` pivots, to whose cells a document is replicated, loses no pair.
-* In a cell, the pivot is its smallest member: every member is compared with it, so that a large
-  class of near copies is tied together by a star, with one comparison per member.
-* Cells whose members still lie in different classes are joined by size windows and then
-  recursively around document pivots (`region_pairs`), in the space of shingle counts per hash
-  bin: their L1 distance never exceeds the symmetric difference of the sets, is a metric, and
-  so bounds the Jaccard distance from below.
+* In its first common cell a linked pair shares nothing ahead of the pivot, so the places of the
+  pivot bound the intersection; a pair with the same pivot before has met in that one's cell. Members
+  without a possible partner leave before anything wide is attached.
+* Cells are joined by size windows, crowded ones recursively around document pivots
+  (`region_pairs`), in the space of shingle counts per hash bin: their L1 distance never exceeds the
+  symmetric difference of the sets, is a metric, and so bounds the Jaccard distance from below.
+* For classes, cells are joined in rounds. Of a member's partners the first and the last in order of
+  size go out, more in each round, and what is linked counts as one class from then on: a large class
+  of near copies is tied together by few pairs of its members. A cell of which partners were held
+  back comes again in the next round; the last round holds back none.
 * Candidates are compared once more by counts in as many bins as their sizes call for, as 128 bins
   tell two long texts apart no longer, and the pairs left are verified on the whole shingle sets.
 
 For classes only pairs that could join two of them are compared; no link between different classes
 is lost, so the classes are those of all links. `linked_pairs` gives every link between different
-sets, without stars and labels. Equal sets are one point of the space.
+sets, in one round and without labels. Equal sets are one point of the space.
 """
 
 from __future__ import annotations
@@ -46,6 +50,10 @@ COMMON_LEAST = 16
 SMALL_CELL = 256
 #: Most members of a region that one task joins; larger ones are joined block against block.
 REGION = 4096
+#: Partners that a member sends out from either end in the first round, and how many times more in the next.
+FIRST_PARTNERS, MORE_PARTNERS = 1, 8
+#: Bits of the filter that texts pass on their way to the candidates: 2 MB, whatever the size of the corpus.
+FILTER_BITS = 2**24
 #: Parts in which candidate pairs are verified; the shuffle files of a part go before the next.
 VERIFY_PARTS = 1
 #: Shingles per bin of a wide sketch. Unrelated sets of n shingles differ there by some 0.6 n in sum.
@@ -84,11 +92,16 @@ def common_shingles(docs: DataFrame, size: int, stages: Stages) -> np.ndarray:
         waiting, total = [], 0
 
         def report():
-            values, counts = np.unique(np.concatenate(waiting), return_counts=True)
-            keep = counts >= max(2, math.ceil(total * COMMON_SHARE / 2))
-            totals = np.zeros(keep.sum() + 1, np.int64)
+            flat = np.concatenate(waiting)
+            waiting.clear()
+            flat.sort()
+            # What comes at least so often is met again so many places later; the rest is never copied.
+            step = max(2, math.ceil(total * COMMON_SHARE / 2)) - 1
+            values = np.unique(flat[:-step][flat[step:] == flat[:-step]])
+            counts = np.searchsorted(flat, values, "right") - np.searchsorted(flat, values, "left")
+            totals = np.zeros(len(values) + 1, np.int64)
             totals[-1] = total
-            columns = np.append(values[keep].view(np.int64), 0), np.append(counts[keep], 0), totals
+            columns = np.append(values.view(np.int64), 0), np.append(counts, 0), totals
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "n", "total"])
 
         for batch in slices(batches, "text"):
@@ -97,7 +110,7 @@ def common_shingles(docs: DataFrame, size: int, stages: Stages) -> np.ndarray:
             total += len(flat)
             if total > 4_000_000:
                 yield report()
-                waiting, total = [], 0
+                total = 0
         if total:
             yield report()
 
@@ -111,7 +124,7 @@ def common_shingles(docs: DataFrame, size: int, stages: Stages) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int, similarity: tuple[int, int], common: np.ndarray) -> DataFrame:
-    """Per document: set size, 128-bit fingerprint of the set, bin counts, and the window of pivots."""
+    """Per document: set size, 128-bit fingerprint of the set, bin counts, and the window of pivots in order."""
     num, den = similarity
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -137,7 +150,7 @@ def sketches(docs: DataFrame, size: int, similarity: tuple[int, int], common: np
                 own = order[base : base + counts[d]]
                 base += counts[d]
                 k = need[d]
-                parts.append(np.partition(own, k - 1)[:k] if 0 < k < len(own) else own)
+                parts.append(np.sort(np.partition(own, k - 1)[:k] if 0 < k < len(own) else own))
             pivots = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             packed = np.minimum(bins, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
@@ -167,9 +180,24 @@ def within(l1: np.ndarray, sizes: np.ndarray, similarity: tuple[int, int]) -> np
     return l1 * (den + num) <= (den - num) * sizes
 
 
-def region_pairs(bins, n, group, similarity, left, right=None, leaf: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+def thinned(y: np.ndarray, most: int) -> np.ndarray:
+    """Mask of the first and the last ``most`` places of every value of ``y``."""
+    order = np.argsort(y, kind="stable")
+    own = y[order]
+    at, first = np.arange(len(y)), np.searchsorted(own, own, "left")
+    keep = np.zeros(len(y), bool)
+    keep[order] = (at - first < most) | (np.searchsorted(own, own, "right") - at <= most)
+    return keep
+
+
+def region_pairs(
+    bins, n, group, similarity, left, right=None, leaf: int = 64, most: int | None = None, cut: list | None = None
+) -> list[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of different groups that may be linked: within ``left``, or of left and right.
 
+    With ``most``, of a member's partners in a block only so many from either end; blocks of which
+    some were held back add to ``cut``.
+
     Regions larger than ``leaf`` are split around pivots chosen far from each other. A member goes
     to the region of its nearest pivot, and also to the window of another region if its distance
     there exceeds that to its own pivot by no more than twice the largest link distance.
@@ -181,11 +209,18 @@ def region_pairs(bins, n, group, similarity, left, right=None, leaf: int = 64) -
         for i in range(0, len(a), 256):
             for j in range(i if same else 0, len(b), 256):
                 x, y = a[i : i + 256], b[j : j + 256]
+                if (group[x] == group[x[0]]).all() and (group[y] == group[x[0]]).all():
+                    continue
                 l1 = np.abs(bins[x][:, None, :] - bins[y][None, :, :]).sum(-1)
                 ok = within(l1, n[x][:, None] + n[y][None, :], similarity) & (group[x][:, None] != group[y][None, :])
                 if same and i == j:
                     ok &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
                 p, q = np.nonzero(ok)
+                if most is not None and len(q):
+                    keep = thinned(q, most)
+                    if not keep.all():
+                        cut.append(len(q))
+                        p, q = p[keep], q[keep]
                 found.append((x[p], y[q]))
         return found
 
@@ -215,7 +250,7 @@ def region_pairs(bins, n, group, similarity, left, right=None, leaf: int = 64) -
             return []
         if size > 0.9 * len(everyone):
             return brute(a, a if b is None else b, b is None)
-        return region_pairs(bins, n, group, similarity, a, b, leaf)
+        return region_pairs(bins, n, group, similarity, a, b, leaf, most, cut)
 
     for j in range(len(pivots)):
         core, guests = home == j, inside[:, j] & (home > j)
@@ -228,31 +263,31 @@ def region_pairs(bins, n, group, similarity, left, right=None, leaf: int = 64) -
     return found
 
 
-def _unlike(similarity: tuple[int, int]):
-    """Drops pairs that bin counts exclude."""
+def _may_link(x, y, label, n, at, prev, similarity: tuple[int, int]) -> np.ndarray:
+    """May two members of a cell be linked, of different labels, and have met in no cell before?
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = unpack(batch.column("ba").to_pylist()), unpack(batch.column("bb").to_pylist())
-            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            ok = within(np.abs(left - right).sum(-1), sizes, similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+    ``at`` is the place of the cell's pivot in the member's order of shingles, ``prev`` the pivot before
+    it. Where a pair meets first, none of the shingles ahead of that place are shared.
+    """
+    num, den = similarity
+    room = np.minimum(n[x] - at[x], n[y] - at[y])
+    new = (prev[x] != prev[y]) | (at[x] == 0) | (at[y] == 0)
+    return (label[x] != label[y]) & new & (room * (num + den) >= num * (n[x] + n[y]))
 
-    return run
 
+def _window_steps(cell, label, n, at, prev, similarity: tuple[int, int]):
+    """Index pairs ``x < y`` that may link in whole cells, whose members are in order of size.
 
-def _size_fits(similarity: tuple[int, int]):
+    Every member meets those after it in its cell, at distance 1, 2, ..., until one is too large.
+    """
     num, den = similarity
-    return (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-
-
-def _near(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of nodes that bin counts don't exclude."""
-    side = classes.select("node", "n", "bins")
-    both = pairs.join(side.toDF("a", "na", "ba"), "a").join(side.toDF("b", "nb", "bb"), "b")
-    return both.where(_size_fits(similarity)).mapInArrow(_unlike(similarity), "a long, b long")
+    i, step = np.arange(len(cell)), 1
+    while len(i):
+        i = i[i < len(cell) - step]
+        i = i[(cell[i] == cell[i + step]) & (n[i] * den >= n[i + step] * num)]
+        x = i[_may_link(i, i + step, label, n, at, prev, similarity)]
+        yield x, x + step
+        step += 1
 
 
 def _band(similarity: tuple[int, int]):
@@ -261,60 +296,131 @@ def _band(similarity: tuple[int, int]):
     return F.floor(F.log("n") / F.lit(math.log(den / num) if num < den else 1.0) + 1e-9)
 
 
-def _windowed(cell, node, label, n, bins, similarity: tuple[int, int]) -> pa.RecordBatch:
-    """Pairs of different labels in whole cells, whose members are in order of size.
+def _pairs_batch(a, b, cells) -> pa.RecordBatch:
+    """Distinct pairs ``(a, b, null)``, and ``(null, null, cell)`` for cells with partners held back."""
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    cells = np.unique(cells)
+    none, gap = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(cells), pa.int64())
+    columns = [(pa.array(pairs[:, 0]), gap), (pa.array(pairs[:, 1]), gap), (none, pa.array(cells, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "cell"])
 
-    Every member meets those after it in its cell, at distance 1, 2, ..., until one is too large.
-    """
-    num, den = similarity
-    found, i, step = [], np.arange(len(node)), 1
-    while len(i):
-        i = i[i < len(node) - step]
-        i = i[(cell[i] == cell[i + step]) & (n[i] * den >= n[i + step] * num)]
-        p = i[label[i] != label[i + step]]
-        for at in range(0, len(p), 8192):
-            x = p[at : at + 8192]
-            y = x + step
+
+def _windowed(cell, node, label, n, at, prev, bins, similarity: tuple[int, int], most: int | None) -> pa.RecordBatch:
+    """Pairs of different labels in whole cells, whose members are in order of size."""
+    found = [(cell[:0].astype(np.int64),) * 2]
+    for p, q in _window_steps(cell, label, n, at, prev, similarity):
+        for start in range(0, len(p), 8192):
+            x, y = p[start : start + 8192], q[start : start + 8192]
             x_, y_ = bins[x].astype(np.int16), bins[y].astype(np.int16)
             ok = within(np.abs(x_ - y_).sum(-1, dtype=np.int64), n[x] + n[y], similarity)
-            x, y = node[x[ok]], node[y[ok]]
-            found.append((np.minimum(x, y), np.maximum(x, y)))
-        step += 1
-    pairs = np.concatenate([np.stack(f, 1) for f in found]) if found else np.zeros((0, 2), np.int64)
-    pairs = np.unique(pairs, axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            found.append((x[ok], y[ok]))
+    # Of a member, the farthest partner comes last here, the next one in size first.
+    x, y = (np.concatenate(side) for side in zip(*found))
+    keep = thinned(y, most) if most is not None else np.ones(len(y), bool)
+    return _pairs_batch(node[x[keep]], node[y[keep]], cell[y[~keep]])
+
+
+def _whole_cells(batches, joined):
+    """``joined`` of batches that end where a cell ends; the last cell of a batch waits for the next one."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = batch.column("cell").to_numpy()
+        last = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if (cell != cell[-1]).any() else 0
+        if last or waiting and waiting[-1].column("cell")[-1].as_py() != cell[0]:
+            waiting.append(batch.slice(0, last))
+            yield joined(pa.Table.from_batches(waiting).combine_chunks())
+            waiting = []
+        waiting.append(batch.slice(last))
+    if waiting:
+        yield joined(pa.Table.from_batches(waiting).combine_chunks())
 
 
 def _cell_pairs(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs of different labels in cells of at most ``SMALL_CELL`` members, by size windows.
+    """All pairs ``(a, b)`` of different labels in cells of at most ``SMALL_CELL`` members, by size windows."""
+    unknown = members.withColumn("at", F.lit(0)).withColumn("prev", F.lit(0).cast("long"))
+    return _cell_partners(unknown, similarity, None).select("a", "b")
+
+
+def _cell_partners(members: DataFrame, similarity: tuple[int, int], most: int | None) -> DataFrame:
+    """Pairs ``(a, b, null)`` of different labels in cells of at most ``SMALL_CELL`` members, by size windows.
 
-    A cell's members come one after the other; of a batch, the last cell waits for the next one.
+    With ``most``, of a member's partners only so many from either end, and ``(null, null, cell)`` for
+    every cell of which some were held back.
     """
 
-    def run(batches):
-        waiting: list[pa.RecordBatch] = []
+    def joined(table: pa.Table) -> pa.RecordBatch:
+        columns = (table.column(c).to_numpy() for c in ("cell", "node", "label", "n", "at", "prev"))
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+        return _windowed(*columns, bins, similarity, most)
+
+    ordered = (
+        members.select("cell", "node", "label", "n", "at", "prev", "bins")
+        .repartition("cell")
+        .sortWithinPartitions("cell", "n")
+    )
+    return ordered.mapInArrow(lambda batches: _whole_cells(batches, joined), "a long, b long, cell long")
 
-        def joined():
-            table = pa.Table.from_batches(waiting).combine_chunks()
-            columns = (table.column(c).to_numpy() for c in ("cell", "node", "label", "n"))
-            bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
-            return _windowed(*columns, bins, similarity)
+
+def _cells(classes: DataFrame) -> DataFrame:
+    """``(cell, node, label, n, at, prev)``: every pivot of a window, its place, and the pivot before it."""
+    before = F.concat(F.array(F.lit(0).cast("long")), "pivots")
+    windows = classes.withColumn("before", before).select(
+        "node", "n", F.posexplode(F.arrays_zip("pivots", "before")).alias("at", "place")
+    )
+    return windows.select(
+        F.col("place.pivots").alias("cell"), "node", F.col("node").alias("label"), "n", "at", F.col("place.before").alias("prev")
+    ).where("cell IS NOT NULL")
+
+
+def _partnered(cells: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The members that may link with another one of their cell, and whether the cell is ``crowded``.
+
+    Cells of more than ``SMALL_CELL`` members are crowded and keep them all; they pass by without
+    being held whole.
+    """
+    small = SMALL_CELL
+
+    def run(batches):
+        waiting, crowd = None, None
+
+        def kept(batch):
+            columns = [batch.column(c).to_numpy() for c in ("cell", "label", "n", "at", "prev")]
+            cell = columns[0]
+            border = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            sizes = np.diff(np.append(border, len(cell)))
+            crowded = np.repeat(sizes > small, sizes) | (crowd is not None and cell == crowd)
+            keep = crowded.copy()
+            few = np.flatnonzero(~crowded)
+            for x, y in _window_steps(*(c[few] for c in columns), similarity):
+                keep[few[x]] = keep[few[y]] = True
+            columns = [*batch.columns, pa.array(crowded)]
+            return pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "crowded"]).filter(pa.array(keep))
 
         for batch in batches:
+            if waiting is not None:
+                batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0] if batch.num_rows else waiting
+                waiting = None
             if not batch.num_rows:
                 continue
             cell = batch.column("cell").to_numpy()
-            last = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if (cell != cell[-1]).any() else 0
-            if last or waiting and waiting[-1].column("cell")[-1].as_py() != cell[0]:
-                waiting.append(batch.slice(0, last))
-                yield joined()
-                waiting = []
-            waiting.append(batch.slice(last))
-        if waiting:
-            yield joined()
-
-    ordered = members.select("cell", "node", "label", "n", "bins").repartition("cell").sortWithinPartitions("cell", "n")
-    return ordered.mapInArrow(run, "a long, b long")
+            last = len(cell) - int((cell == cell[-1]).sum())
+            if len(cell) - last > small or cell[-1] == crowd:
+                yield kept(batch)
+                crowd = cell[-1]
+                continue
+            waiting = batch.slice(last)
+            if last:
+                yield kept(batch.slice(0, last))
+        if waiting is not None:
+            yield kept(waiting)
+
+    ordered = (
+        cells.select("cell", "node", "label", "n", "at", "prev").repartition("cell").sortWithinPartitions("cell", "n")
+    )
+    schema = "cell long, node long, label long, n long, at int, prev long, crowded boolean"
+    return ordered.mapInArrow(run, schema)
 
 
 def wide_counts(shingles: np.ndarray) -> np.ndarray:
@@ -348,6 +454,22 @@ def _wide_unlike(similarity: tuple[int, int]):
     return run
 
 
+def _perhaps_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents in ``wanted(id, th)`` and a few more: what a bit per hash lets pass.
+
+    The filter has ``FILTER_BITS`` bits, in at most a 64th as many rows, so it can go to every task;
+    only texts that pass it are shuffled.
+    """
+    place = F.pmod(F.xxhash64("id", "th"), F.lit(FILTER_BITS))
+    bits = wanted.select(place.alias("place")).select(
+        F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place % 64 AS int))").alias("bit")
+    )
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    spread = docs.withColumn("place", place).withColumn("word", F.shiftright("place", 6))
+    passed = spread.join(F.broadcast(words), "word").where("getbit(bits, cast(place % 64 AS int)) = 1")
+    return passed.select(*docs.columns)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity, stages: Stages) -> DataFrame:
     """The pairs whose whole shingle sets are similar enough."""
     num, den = similarity
@@ -369,7 +491,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
                 ["node", "n", "wide", "shingles"],
             )
 
-    texts = docs.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("node", "n", "text")
+    texts = _perhaps_in(docs, wanted).join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("node", "n", "text")
     schema = "node long, n long, wide binary, shingles array<long>"
     sets = stages.put(texts.mapInArrow(run, schema))
     # A pair carries whole sets through the second join, so wide sketches, some 32 times smaller, go first.
@@ -410,12 +532,12 @@ def _blocks(members: DataFrame, similarity: tuple[int, int], region: int) -> Dat
         placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         .withColumn("i", F.least("block", "other"))
         .withColumn("j", F.greatest("block", "other"))
-        .select("cell", "band", "i", "j", "node", "n", "bins", "label", "guest", "block")
+        .select("cell", "band", "i", "j", "node", "n", "bins", "label", "at", "prev", "guest", "block")
     )
 
 
 def _set_classes(docs: DataFrame, text: str, doc_id: str, shingle: int, similarity, stages: Stages):
-    """The keyed documents, their sketches, and one ``node`` per distinct set."""
+    """The keyed documents, the size and fingerprint of their sets, and one ``node`` per distinct set."""
     docs = keyed(docs, text, doc_id)
     common = common_shingles(docs, shingle, stages)
     rows = stages.put(sketches(docs, shingle, similarity, common))
@@ -427,35 +549,39 @@ def _set_classes(docs: DataFrame, text: str, doc_id: str, shingle: int, similari
         .select("fp1", "fp2", "n", "row.id", "row.th", "bins", "pivots")
         .withColumn("node", F.monotonically_increasing_id())
     )
-    return docs, rows, stages.put(classes)
+    classes = stages.put(classes)
+    slim = stages.put(rows.select("id", "th", "n", "fp1", "fp2"))
+    stages.drop(rows)
+    return docs, slim, classes
 
 
-def _mixed_pairs(tagged: DataFrame, mixed: DataFrame, classes: DataFrame, similarity, region: int) -> DataFrame:
-    """Candidate pairs of different labels in the ``mixed(cell, k)`` cells of ``tagged(cell, node, label)``."""
-    facts = classes.select("node", "n", "bins")
-    small = tagged.join(mixed.where(F.col("k") <= SMALL_CELL).select("cell"), "cell").join(facts, "node")
-    few = _cell_pairs(small, similarity)
-    large = tagged.join(mixed.where(F.col("k") > SMALL_CELL), "cell").select("cell", "node", "label")
-    crowd = large.join(facts, "node")
+def _partners(members: DataFrame, classes: DataFrame, similarity, region: int, most: int | None) -> DataFrame:
+    """Candidate pairs of different labels in the cells of ``members``, as `_cell_partners` gives them."""
+    full = members.join(classes.select("node", "bins"), "node")
+    few = _cell_partners(full.where("NOT crowded"), similarity, most)
 
     def join_region(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, _, i, j = key
+        cell, _, i, j = key
+        frame = frame.sort_values("n", kind="stable")
         bins, n = unpack(frame["bins"]), frame["n"].to_numpy()
         group, node = frame["label"].to_numpy(), frame["node"].to_numpy()
         block, guest = frame["block"].to_numpy(), frame["guest"].to_numpy()
-        everyone = np.arange(len(frame))
+        everyone, cut = np.arange(len(frame)), []
         if i == j:
-            found = region_pairs(bins, n, group, similarity, everyone)
+            found = region_pairs(bins, n, group, similarity, everyone, most=most, cut=cut)
         else:
-            found = region_pairs(bins, n, group, similarity, everyone[block == i], everyone[block == j])
+            left, right = everyone[block == i], everyone[block == j]
+            found = region_pairs(bins, n, group, similarity, left, right, most=most, cut=cut)
         p = np.concatenate([x for x, _ in found]) if found else everyone[:0]
         q = np.concatenate([y for _, y in found]) if found else everyone[:0]
         keep = ~(guest[p] & guest[q])
+        keep &= _may_link(p, q, group, n, frame["at"].to_numpy(), frame["prev"].to_numpy(), similarity)
         p, q = node[p[keep]], node[q[keep]]
-        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+        again = np.array([cell] if cut else [], np.int64)
+        return _pairs_batch(p, q, again).to_pandas(integer_object_nulls=True).astype("Int64")
 
-    pairs = _blocks(crowd, similarity, region).groupBy("cell", "band", "i", "j").applyInPandas(join_region, "a long, b long")
-    return few.union(pairs).distinct()
+    blocks = _blocks(full.where("crowded"), similarity, region).groupBy("cell", "band", "i", "j")
+    return few.union(blocks.applyInPandas(join_region, "a long, b long, cell long"))
 
 
 def linked_classes(
@@ -476,25 +602,21 @@ def linked_classes(
     """
     stages = Stages(docs.sparkSession)
     docs, rows, classes = _set_classes(docs, text, doc_id, shingle, similarity, stages)
-    members = classes.select("node", F.explode("pivots").alias("cell"))
-    centres = members.groupBy("cell").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
-    cells = stages.put(members.join(centres.select("cell", "centre"), "cell"))
-    stars = cells.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(stages.put(_near(stars, classes, similarity)), classes, docs, shingle, similarity, stages)
-    labels = linked_labels(links, stages)
-
-    tagged = cells.select("cell", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    tagged = stages.put(tagged)
-    stages.drop(cells)
-    mixed = stages.put(
-        tagged.groupBy("cell")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k"))
-        .where("low < high")
-        .select("cell", "k")
-    )
-    found = _mixed_pairs(tagged, mixed, classes, similarity, region)
-    more = _verified(stages.put(found), classes, docs, shingle, similarity, stages)
-    final = linked_labels(stages.put(links.union(more)), stages)
+    members = stages.put(_partnered(_cells(classes), similarity))
+    links, most = None, FIRST_PARTNERS
+    while True:
+        found = stages.put(_partners(members, classes, similarity, region, most))
+        pairs = stages.put(found.where("cell IS NULL").select("a", "b").distinct())
+        more = _verified(pairs, classes, docs, shingle, similarity, stages)
+        links = stages.put(links.union(more) if links is not None else more)
+        final = linked_labels(links, stages)
+        again = found.where("cell IS NOT NULL").select("cell").distinct()
+        if again.isEmpty():
+            break
+        labelled = members.drop("label", "crowded").join(again, "cell", "left_semi").join(final, "node", "left")
+        left = stages.put(_partnered(labelled.withColumn("label", F.coalesce("label", "node")), similarity))
+        stages.drop(members, found, pairs)
+        members, most = left, most * MORE_PARTNERS if most * MORE_PARTNERS < SMALL_CELL else None
 
     named = classes.select("node", "fp1", "fp2", "n", "id").join(final, "node", "left").withColumn(
         "label", F.coalesce("label", "node")
@@ -527,9 +649,8 @@ def linked_pairs(
     """
     stages = Stages(docs.sparkSession)
     docs, rows, classes = _set_classes(docs, text, doc_id, shingle, similarity, stages)
-    tagged = stages.put(classes.select("node", F.explode("pivots").alias("cell"), F.col("node").alias("label")))
-    mixed = stages.put(tagged.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1"))
-    found = stages.put(_mixed_pairs(tagged, mixed, classes, similarity, region))
+    members = stages.put(_partnered(_cells(classes), similarity))
+    found = stages.put(_partners(members, classes, similarity, region, None).select("a", "b").distinct())
     links = _verified(found, classes, docs, shingle, similarity, stages)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = classes.select("node", "fp1", "fp2", "n").join(degree, "node", "left")
