@@ -74,3 +74,21 @@ def test_pivots_are_kept_once_per_set(spark, monkeypatch):
     monkeypatch.setattr(Stages, "last", lambda self, *df: (kept.extend(t.columns for t, _ in self._paths.values()), last(self, *df))[1])
     jaccard_join.linked_classes(table(spark, copies(5))).agg(F.count("*")).collect()
     assert sum("pivots" in c for c in kept) == 1
+
+
+def test_near_copies_meet_in_few_cells(spark, monkeypatch):
+    """Where the pivot before is the same too, a pair has met already: one cell per run of shared pivots."""
+    rows = []
+    put = Stages.put
+
+    def counted(self, df):
+        out = put(self, df)
+        if {"cell", "node"} <= set(out.columns):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(Stages, "put", counted)
+    words = [f"w{j}" for j in range(600)]
+    texts = [" ".join(words), " ".join([*words[:300], "x", *words[300:]])]
+    assert classes(spark, texts) == jaccard_classes(texts, 2, 80, 100)
+    assert 2 <= sum(rows) <= 20  # of some 120 shared pivots
